@@ -1 +1 @@
-"""Analytics for document and media catalogs on Spark."""
+"""Queries over the driver tables; importing the modules below registers them."""
