@@ -40,8 +40,8 @@ UNION ALL SELECT 1000000000 + id AS id, library_id, concat(path, '.gone') AS pat
     # media with coordinates and times
     "media_v": """
 SELECT event_id AS id, user_id % 10 AS library_id, user_id, @epoch(ts) AS t, event_type AS type,
-  CASE WHEN event_type = 'error' THEN 0.0 ELSE 31.0 + (user_id % 40) * 0.01 + (event_id % 3) * 0.001 END AS latitude,
-  CASE WHEN event_type = 'error' THEN 0.0 ELSE 121.0 + (user_id % 60) * 0.01 + (event_id % 5) * 0.001 END AS longitude,
+  CASE WHEN event_type = 'error' THEN 0e0 ELSE 31e0 + (user_id % 40) * 1e-2 + (event_id % 3) * 1e-3 END AS latitude,
+  CASE WHEN event_type = 'error' THEN 0e0 ELSE 121e0 + (user_id % 60) * 1e-2 + (event_id % 5) * 1e-3 END AS longitude,
   640 + event_id % 2000 AS width, 480 + event_id % 1500 AS height FROM events""",
     "vectors_v": "SELECT vec_id, vec_id // 4 AS file_id, vec_id % 4 AS chunk_index, embedding, label, 1704067200 + (vec_id // 4) * 3600 - CASE WHEN vec_id % 11 = 0 THEN 60 ELSE 0 END AS mtime_s FROM embeddings",
     "feedback_v": "SELECT event_id AS id, user_id, event_id % 1000 AS file_id, user_id % 40 AS query_id, CASE WHEN event_type = 'click' THEN 'relevant' WHEN event_type = 'error' THEN 'irrelevant' ELSE 'other' END AS verdict, @epoch(ts) AS t FROM events WHERE event_type IN ('click', 'error', 'view')",
@@ -55,7 +55,7 @@ SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'index' WHEN 1 THEN 'sc
     "members_v": "SELECT c.c_custkey AS project_id, n.n_nationkey AS user_id, n.n_name AS user_name, CASE n.n_nationkey % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'editor' ELSE 'manager' END AS role FROM customer c JOIN nation n ON (c.c_custkey + n.n_nationkey) % 6 = 0 WHERE c.c_custkey % 5 = 0",
     "assets_v": "SELECT o_orderkey AS id, o_custkey AS project_id, concat('asset ', CAST(o_orderkey AS STRING)) AS title, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 7 END AS folder_id, CASE o_orderkey % 6 WHEN 0 THEN 'todo' WHEN 1 THEN 'doing' WHEN 2 THEN 'done' ELSE 'unknown' END AS status_name, o_orderkey % 25 AS assignee_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 10 + 1 ELSE NULL END AS cover_version_id, @epoch(o_orderdate) AS updated_s FROM orders WHERE o_custkey % 5 = 0",
     "versions_v": "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS asset_id, (l_partkey * 7 + l_suppkey) % 1000 AS file_id, @epoch(l_shipdate) AS created_s, l_returnflag AS scope FROM lineitem",
-    "comments_v": "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS asset_id, l_suppkey % 25 AS author_id, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS resolved, CASE WHEN l_returnflag = 'A' THEN 'external' ELSE 'internal' END AS visibility, l_linenumber * 1.5 AS t, concat('note on ', CAST(l_partkey AS STRING)) AS body, @epoch(l_shipdate) AS created_s, l_suppkey % 4 AS session_id FROM lineitem",
+    "comments_v": "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS asset_id, l_suppkey % 25 AS author_id, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS resolved, CASE WHEN l_returnflag = 'A' THEN 'external' ELSE 'internal' END AS visibility, l_linenumber * 15e-1 AS t, concat('note on ', CAST(l_partkey AS STRING)) AS body, @epoch(l_shipdate) AS created_s, l_suppkey % 4 AS session_id FROM lineitem",
     "queries_v": "SELECT item_id AS query_id, lower(text) AS query FROM benchmark",
     "messages_v": "SELECT conv_id, turn, role, text FROM conversations",
     "grants_v": "SELECT CAST(n_nationkey AS BIGINT) AS user_id, n_name AS user_name, r_regionkey AS region, CAST(n_nationkey * 3 % 20 AS BIGINT) AS library_id, CASE WHEN n_nationkey % 8 = 0 THEN 1 ELSE 0 END AS admin FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT CAST(n_nationkey AS BIGINT), n_name, n_regionkey, CAST(n_nationkey * 7 % 20 AS BIGINT), CASE WHEN n_nationkey % 8 = 0 THEN 1 ELSE 0 END FROM nation WHERE n_nationkey % 3 <> 0",
