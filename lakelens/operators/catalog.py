@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import compact, count_where, one_of, present, ranked, valid_point
+from ..functions.columns import count_where, one_of, present, valid_point
 
 #: Extensions of each kind of file.
 KINDS = {
@@ -261,4 +261,3 @@ def public_view(rows: DataFrame, json_col: str) -> DataFrame:
     return rows.withColumn("metadata", F.coalesce(F.from_json(json_col, "map<string,string>"), F.create_map().cast("map<string,string>")))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "F", "compact", "ranked")]
