@@ -96,7 +96,7 @@ def duckdb_sql(sql: str) -> str:
     body = sql.strip()
     if names:
         body = f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
-    return _macro(_macro(body, "epoch", "CAST(epoch({}) AS BIGINT)"), "ts", "make_timestamp(({}) * 1000000)")
+    return _macro(_macro(body, "epoch", "CAST(floor(epoch({})) AS BIGINT)"), "ts", "make_timestamp(({}) * 1000000)")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
