@@ -95,7 +95,10 @@ def duckdb_sql(sql: str) -> str:
     head = ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
     body = sql.strip()
     if names:
-        body = f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
+        if body[:15].upper() == "WITH RECURSIVE ":
+            body = f"WITH RECURSIVE {head}, {body[15:]}"
+        else:
+            body = f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
     return _macro(_macro(body, "epoch", "CAST(floor(epoch({})) AS BIGINT)"), "ts", "make_timestamp(({}) * 1000000)")
 
 
