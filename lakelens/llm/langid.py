@@ -113,7 +113,7 @@ def training_sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, id_col:
     for r in counts:
         rate = F.when(F.col(lang_col) == r[0], F.lit(rows_per_lang / r[1])).otherwise(rate)
     picked = usable.filter(share(id_col) < rate).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return picked.limit(3 * rows_per_lang * max(1, len(counts))).toPandas().sort_values(["lang", "id"], kind="stable").reset_index(drop=True)
+    return picked.limit(3 * rows_per_lang * max(1, len(counts))).toArrow().to_pandas().sort_values(["lang", "id"], kind="stable").reset_index(drop=True)
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:

@@ -187,7 +187,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # the labelled side is bounded by max_rows above, so it may be sent to every task
     src = src.join(F.broadcast(rows), src["id"] == rows["lid"]).select(F.struct("id", "y").alias("id"), "text")
-    got = _feature_rows(src).select("id.id", "id.y", "out").toPandas()
+    got = _feature_rows(src).select("id.id", "id.y", "out").toArrow().to_pandas()
     return got.sort_values(["id", "y"], kind="stable").reset_index(drop=True)
 
 

@@ -143,7 +143,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
         # a hash deals the queries over blocks of about BLOCK rows; each is broadcast on its own
         block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
         for i in range(n_blocks if total else 0):
-            rows = mine.filter(block == i).toPandas()
+            rows = mine.filter(block == i).toArrow().to_pandas()
             if len(rows):
                 part = _block(cands, rows["vec_id"].to_numpy(np.int64), np.vstack(rows["v"].to_list()).astype(np.int64), reach, k)
                 parts.append(saved(part, "topk") if n_blocks > 1 else part)
