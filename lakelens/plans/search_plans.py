@@ -144,12 +144,12 @@ def _rr(t):
     """Synthetic rows with every column that the rerank blend reads."""
     e, i = t.events, F.col("event_id")
     return e.select(
-        F.col("user_id").alias("query_id"), i.alias("id"), (F.col("value") / 1000).alias("score"), F.when(i % 11 == 0, F.lit(0.4)).alias("media_score"), ((i % 5) / 4.0).alias("coverage"), (i % 3 + 1).cast("int").alias("n_groups"),
+        F.col("user_id").alias("query_id"), i.alias("id"), (F.col("value") / 997).alias("score"), F.when(i % 11 == 0, F.lit(0.4)).alias("media_score"), ((i % 5) / 4.0).alias("coverage"), (i % 3 + 1).cast("int").alias("n_groups"),
         (i % 7 == 0).alias("screenshot"), F.lit(False).alias("wants"),
     )
 
 
-RR = """rr AS (SELECT user_id AS query_id, event_id AS id, value / 1000 AS score, CASE WHEN event_id % 11 = 0 THEN 0.4 END AS media_score, (event_id % 5) / 4.0 AS coverage, event_id % 3 + 1 AS n_groups, event_id % 7 = 0 AS screenshot FROM events),
+RR = """rr AS (SELECT user_id AS query_id, event_id AS id, value / 997 AS score, CASE WHEN event_id % 11 = 0 THEN 0.4 END AS media_score, (event_id % 5) / 4.0 AS coverage, event_id % 3 + 1 AS n_groups, event_id % 7 = 0 AS screenshot FROM events),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, media_score IS NULL ORDER BY score DESC, id) AS k FROM rr),
 r1 AS (SELECT *, (id % 10) / 10.0 AS re, CASE id % 4 WHEN 0 THEN '无关' WHEN 1 THEN '仅' ELSE 'ok' END AS reason, id % 2 = 0 AND media_score IS NULL AND k <= 4 AS used FROM rk),
 r2 AS (SELECT *, CASE WHEN n_groups > 1 THEN re * (0.45 + 0.55 * coverage) ELSE re END AS s FROM r1),
@@ -164,9 +164,9 @@ def _reranked(t):
     return r.reranked(_rr(t), re)
 
 
-@query("c16_reranked", f"WITH {RR} SELECT query_id, id, round(final, 5) AS score, used AS reranked FROM r5")
+@query("c16_reranked", f"WITH {RR} SELECT query_id, id, round(final, 6) AS score, used AS reranked FROM r5")
 def _(t):
-    return _reranked(t).select("query_id", "id", F.round("score", 5).alias("score"), "reranked")
+    return _reranked(t).select("query_id", "id", F.round("score", 6).alias("score"), "reranked")
 
 
 @query("c17_partial_cap", "SELECT event_id, CASE WHEN event_id % 9 / 8.0 >= 0.75 THEN 0.74 WHEN event_id % 9 / 8.0 >= 0.6 THEN 0.68 WHEN event_id % 9 / 8.0 >= 0.5 THEN 0.58 WHEN event_id % 9 > 0 THEN 0.45 ELSE 0.3 END AS cap FROM events")
