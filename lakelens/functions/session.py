@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -27,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """The table, marked for broadcast if it has at most ``most`` rows; Spark chooses the join of a larger one."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/lakelens/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where, one_of, present, valid_point
+from ..functions.session import small
 
 #: Extensions of each kind of file.
 KINDS = {
@@ -153,7 +154,7 @@ def scoped(files: DataFrame, *members: DataFrame) -> DataFrame:
 def visible(files: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
     """(user_id, file id) by library grants: an admin sees all; a user without grants sees none."""
     libs = files.select("library_id").distinct()
-    admins = users.filter("admin = 1").select("user_id").distinct().crossJoin(F.broadcast(libs))  # libraries are few by definition
+    admins = users.filter("admin = 1").select("user_id").distinct().crossJoin(small(libs, 10_000))
     allowed = grants.filter("admin = 0").select("user_id", "library_id").union(admins).distinct()
     return files.select("id", "library_id").join(allowed, "library_id").select("user_id", "id")
 
@@ -164,7 +165,7 @@ def matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     Conditions are structs of field and value: kind, extension, library_id, name_contains, min_size, max_size.
     """
     r = rules.select("rule_id", "conditions")
-    joined = files.crossJoin(F.broadcast(r.limit(1000)))  # rules are written by people; their number is bounded here
+    joined = files.crossJoin(small(r, 1000))
 
     def holds(c):
         f, v = c["field"], c["value"]

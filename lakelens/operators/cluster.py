@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot, haversine_m, ranked, unit, valid_point
+from ..functions.session import small
 
 HOUR, DAY = 3600, 86_400
 
@@ -31,7 +32,7 @@ def place_members(media: DataFrame, centre: DataFrame) -> DataFrame:
 
 def named_places(centre: DataFrame, names: DataFrame, most_m: float = 65_000.0) -> DataFrame:
     """Name of the nearest listed place within reach, else the coordinates. ``names`` is a short fixed list."""
-    c = centre.crossJoin(F.broadcast(names.limit(10_000)).withColumnsRenamed({"name": "pname", "lat": "plat", "lon": "plon"}))
+    c = centre.crossJoin(small(names, 10_000).withColumnsRenamed({"name": "pname", "lat": "plat", "lon": "plon"}))
     c = c.withColumn("d", haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")))
     near = c.groupBy("gy", "gx").agg(F.min_by("pname", F.struct("d", "pname")).alias("pname"), F.min("d").alias("d"))
     out = centre.join(near, ["gy", "gx"], "left")
@@ -115,13 +116,11 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
 def identified(vectors: DataFrame, centre: DataFrame, threshold: float = 0.45, label: str = "label") -> DataFrame:
     """Each vector's best identity and score, where the score reaches the threshold.
 
-    Identities are people, a small table; the limit on what is sent to every
-    task is checked, and above it the table is dealt by blocks instead.
+    Identities are people, a small table: it is sent to every task if its size allows.
     """
     centre = centre.withColumnRenamed(label, "identity")
     vectors = vectors.select("vec_id", "embedding")
-    few = centre.limit(20_001).count() <= 20_000
-    pairs = vectors.crossJoin(F.broadcast(centre) if few else centre)
+    pairs = vectors.crossJoin(small(centre, 20_000))
     best = pairs.select("vec_id", "identity", dot(F.col("embedding"), F.col("c")).alias("score"))
     best = best.groupBy("vec_id").agg(F.max_by("identity", F.struct("score", (-F.col("identity")).alias("i"))).alias("identity"), F.max("score").alias("score"))
     return best.filter(F.col("score") >= threshold)

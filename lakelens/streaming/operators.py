@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.columns import ranked, retry_delay_s
-from ..functions.session import written
+from ..functions.session import small, written
 from ..operators.catalog import apply_changes, matches, snapshot_changes
 from ..operators.dedup import refreshed
 
@@ -60,7 +60,7 @@ def arrival_runs(files: DataFrame, rules: DataFrame, owners: DataFrame, output_p
 def due_runs(clock: DataFrame, rules: DataFrame, late: str = "5 minutes") -> DataFrame:
     """(rule_id, minute_key): schedules due at a clock tick, once a minute. ``clock``: ts; ``rules``: rule_id, hour, minute, weekday (null: daily)."""
     on = (F.hour("ts") == F.col("hour")) & (F.minute("ts") == F.col("minute")) & (F.col("weekday").isNull() | (F.weekday("ts") == F.col("weekday")))
-    hit = clock.join(F.broadcast(rules.limit(10_000)), on).select("rule_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute_key"), "ts")
+    hit = clock.join(small(rules, 10_000), on).select("rule_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute_key"), "ts")
     if clock.isStreaming:
         return hit.withWatermark("ts", late).dropDuplicatesWithinWatermark(["rule_id", "minute_key"]).select("rule_id", "minute_key")
     return hit.select("rule_id", "minute_key").distinct()
