@@ -18,6 +18,8 @@ from .common import WORD, saved
 
 #: Weights of the sources in the order of their names, and the most times a source may repeat.
 WEIGHTS, MAX_REPEAT = (5, 2, 1), 3
+#: Most sources whose one-row-a-source tables are sent to every task; beyond, Spark chooses the join.
+FEW_SOURCES = 100_000
 #: Bits of the rank that each histogram tells apart, and how many histograms follow one another.
 STEP_BITS, STEPS = 12, 4
 
@@ -70,20 +72,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
     d = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
     d = saved(d, "mix-sizes")
     goal = saved(targets(d, weights, max_repeat).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "mix-targets")
+    few = goal.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    sent = lambda x: F.broadcast(x) if few else x
     certain, extra = F.floor("ratio"), F.col("ratio") - F.floor("ratio")
     goal = goal.select("source", "source_size", "target", certain.alias("certain"), extra.alias("p"), (F.col("target") - certain * F.col("source_size")).alias("room"))
     # key of the ranking, folded into 48 bits: u-odds over p-odds, as q / (1 + q)
     u = uniform(F.col("id"), seed)
     q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     bits = STEP_BITS * STEPS
-    ranked = d.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    ranked = d.join(sent(goal.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ranked = ranked.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), F.floor(q / (1 + q) * float(1 << bits)).cast("long")))
     # histograms: at each step the bin in which the source's room ends, and what lies before it
     cut = goal.select("source", "room", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
     for step in range(1, STEPS + 1):
         shift = bits - STEP_BITS * step
         c = cut.select(F.col("source").alias("s"), "room", "prefix", "before")
-        inside = ranked.filter("rank IS NOT NULL").drop("room").join(c, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("rank", shift + STEP_BITS) == F.col("prefix")))
+        inside = ranked.filter("rank IS NOT NULL").drop("room").join(sent(c), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("rank", shift + STEP_BITS) == F.col("prefix")))
         bins = inside.groupBy("source", "room", "before", F.shiftright("rank", shift).alias("bin")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source").orderBy("bin")
         bins = bins.withColumn("upto", F.col("before") + F.sum("words").over(run))
@@ -94,11 +98,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
         cut = saved(found.select("source", "room", F.col("bin").alias("prefix"), (F.col("upto") - F.col("words")).cast("long").alias("before")), "mix-cut")
     # only documents of equal 48-bit rank are left to be ordered
     c = cut.select(F.col("source").alias("s"), F.col("prefix"), F.col("before"), F.col("room").alias("r"))
-    edge = ranked.filter("rank IS NOT NULL").join(c, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("prefix")))
+    edge = ranked.filter("rank IS NOT NULL").join(sent(c), F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("prefix")))
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("upto", upto).filter(F.col("upto") - F.col("size") / 2 <= F.col("r")).groupBy("source").agg(F.max(F.struct("id", "size")).alias("edge_last"))
     c = c.drop("before", "r").join(edge.withColumnRenamed("source", "es"), F.col("s").eqNullSafe(F.col("es")), "left").select("s", "prefix", "edge_last")
-    out = ranked.join(c, F.col("source").eqNullSafe(F.col("s")), "left")
+    out = ranked.join(sent(c), F.col("source").eqNullSafe(F.col("s")), "left")
     taken = F.coalesce((F.col("rank") < F.col("prefix")) | ((F.col("rank") == F.col("prefix")) & (F.struct("id", "size") <= F.col("edge_last"))), F.lit(False))
     copies = (F.col("certain") + taken.cast("int")).cast("int")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
