@@ -18,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-first rules keep, without their failing lines."""
-    judged = quality_rules.judge(docs.withColumn("_row", F.struct(*COLUMNS)), id_col="_row").filter("kept")
+    judged = quality_rules.judge(docs.select(F.struct("doc_id", "lang", "source").alias("_row"), "text"), id_col="_row").filter("kept")
     return judged.select("_row.doc_id", F.col("clean_text").alias("text"), "_row.lang", "_row.source", F.length("clean_text").cast("long").alias("n_chars"))
 
 
