@@ -2,8 +2,10 @@
 
 import os
 import sys
+from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
@@ -44,7 +46,10 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
     def text(v):
         if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
             return "null"
-        return repr(round(float(v), 6)) if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v)
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
+        # a nullable integer column is of floats on one side and of integers on the other
+        return repr(round(float(v), 6)) if isinstance(v, (int, float, np.number, Decimal)) else str(v)
 
     out = df[sorted(df.columns)].astype(object).map(text)
     return out.sort_values(list(out.columns)).reset_index(drop=True) if len(out) else out
