@@ -32,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of near duplicates."""
-    drop = jaccard_join.classes(docs).filter("doc_id != component_id").select("doc_id")
+    drop = jaccard_join.classes(docs, with_links=False).filter("doc_id != component_id").select("doc_id")
     return docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -13,7 +13,9 @@ fixed size: a false hit makes a rare token frequent or keeps a key too many,
 which costs time but loses nothing. Exact copies are one set throughout. In
 long posting lists every document is first compared with a pivot; only
 documents of different components are then paired, and sketches of fixed size
-a set rule most of these pairs out before their sets are fetched.
+a set rule most of these pairs out before their sets are fetched. Links never
+leave a component, so their number is then counted over all pairs of sets of
+each component, in cells of two blocks of sets that write no pairs.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ ROUNDS = 2
 BITS = 1 << 25
 #: Sets below this size index frequent tokens one by one too.
 SMALL = 24
+#: About the most sets, and tokens of sets, of a block of one component when its links are counted.
+BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 20
+#: Distinct tokens that a cell of two blocks compares at a time.
+WIDTH = 4096
 
 
 @dataclass(frozen=True)
@@ -376,20 +382,108 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(step.select("id", "comp"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def classes(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set on the left has in common with each on the right (rows: left)."""
+    sides = []
+    for sets in (left, right):
+        tokens, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(tokens, kind="stable")
+        sides.append((tokens[order], rows[order]))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    common = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(shared), WIDTH):
+        part = shared[at : at + WIDTH]
+        dense = []
+        for (tokens, rows), sets in zip(sides, (left, right)):
+            lo, hi = np.searchsorted(tokens, part[0], "left"), np.searchsorted(tokens, part[-1], "right")
+            place = np.searchsorted(part, tokens[lo:hi])
+            own = part[place] == tokens[lo:hi]
+            x = np.zeros((len(sets), len(part)), np.float32)
+            x[rows[lo:hi][own], place[own]] = 1
+            dense.append(x)
+        common += (dense[0] @ dense[1].T).astype(np.int64)
+    return common
+
+
+def _cell(ids: list, before: list[bool], sets: list[np.ndarray], inside: bool, j: Join) -> Iterator[tuple]:
+    """(id, n_links) of the sets of a cell: links inside its one block, or between its two."""
+    left = [k for k, x in enumerate(before) if x]
+    right = left if inside else [k for k, x in enumerate(before) if not x]
+    if not left or not right:
+        return
+    common = common_counts([sets[k] for k in left], [sets[k] for k in right])
+    na, nb = (np.array([len(sets[k]) for k in side], np.int64) for side in (left, right))
+    linked = common * j.den >= (na[:, None] + nb[None, :] - common) * j.num
+    if inside:
+        np.fill_diagonal(linked, False)
+    yield from zip((ids[k] for k in left), linked.sum(axis=1).tolist())
+    if not inside:
+        yield from zip((ids[k] for k in right), linked.sum(axis=0).tolist())
+
+
+def link_counts(src: DataFrame, sets: DataFrame, found: DataFrame, j: Join) -> DataFrame:
+    """(id, n_links) of the sets (id, n, comp) of components of several sets: all other sets at or above the threshold.
+
+    Where the links found so far are all pairs of a component, each set links
+    with all others. The sets of any other component are dealt into blocks of
+    bounded size; every pair of blocks is a cell of its own, which adds up links a set.
+    """
+    per = found.join(sets.select(F.col("id").alias("a"), "comp"), "a").groupBy("comp").agg(F.count("*").alias("links"))
+    size = sets.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).filter("m > 1")
+    size = saved(size.join(per, "comp").withColumn("whole", F.col("links") * 2 == F.col("m") * (F.col("m") - 1)), "jaccard-sizes")
+    known = sets.join(size.filter("whole"), "comp").select("id", (F.col("m") - 1).alias("n_links"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("long")
+    rest = sets.join(size.filter("NOT whole").select("comp", blocks.alias("blocks")), "comp")
+    rest = saved(rest.select("id", "comp", "blocks", F.pmod(F.xxhash64(F.lit(3), "id"), "blocks").alias("block")), "jaccard-rest")
+    wanted = src.sparkSession.sparkContext.broadcast(bitmap(rest.select("id")))
+    toks = _sets(src, j, "id long, toks array<long>", lambda i, s, _: (i, s), wanted).join(rest, "id").dropDuplicates(["id"])
+    cells = toks.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = ["comp", "lo", "hi"]
+    cells = cells.select("comp", F.least("block", "x").alias("lo"), F.greatest("block", "x").alias("hi"), (F.col("block") <= F.col("x")).alias("before"), "id", "toks")
+    cells = cells.repartition(*cell).sortWithinPartitions(*cell)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(key, rows):
+            out = list(_cell(*map(list, zip(*rows)), key[1] == key[2], j))
+            ids, n = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "n_links"])
+
+        key, rows = None, []
+        for b in slices(batches, 512):
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
+            for k, before, i, t in zip(keys, b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5)):
+                if k != key and rows:
+                    yield result(key, rows)
+                    rows = []
+                key = k
+                rows.append((i, before, t.values.to_numpy(zero_copy_only=False).copy()))
+        if rows:
+            yield result(key, rows)
+
+    counted = cells.mapInArrow(run, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+    return saved(known.union(counted), "jaccard-link-counts")
+
+
+def classes(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", text_col: str = "text", with_links: bool = True) -> DataFrame:
     """Near-duplicate class of every document: id, ``n_shingles``, ``component_id`` and ``n_links``.
 
     A document's set is its distinct ``width``-word shingles of the text with
     A-Z lower-cased (fewer words: the whole sequence; no words or a null text:
     empty, linked with nothing). Two documents link if num/den of the union is
     common. ``component_id`` is the smallest id reachable by links;
-    ``n_links`` counts the other sets a document's set was verified against
-    successfully. One row comes out for each row that goes in; a row without
-    an id belongs to no class (null). Extra columns are ignored.
+    ``n_links`` counts all other sets that a document's set links with
+    (left out, and not counted, if ``with_links`` is false). One row comes out
+    for each row that goes in; a row without an id belongs to no class (null).
+    Extra columns are ignored.
     """
     mapped, found = links(docs, j, id_col, text_col)
-    comp = components(mapped.filter("id = rep").select("id").distinct(), found)
-    n_links = found.select(F.col("a").alias("id")).union(found.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    of = saved(comp.join(n_links, "id", "left").select(F.col("id").alias("rep"), "comp", F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-classes")
+    comp = saved(components(mapped.filter("id = rep").select("id").distinct(), found), "jaccard-comp")
+    of = comp.select(F.col("id").alias("rep"), "comp")
+    if with_links:
+        src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        sets = comp.join(mapped.filter("id = rep").groupBy("id").agg(F.max("n").alias("n")), "id")
+        counts = link_counts(src, sets, found, j).withColumnRenamed("id", "rep")
+        of = saved(of.join(counts, "rep", "left"), "jaccard-classes")
     out = mapped.join(of, "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if with_links else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), *n_links)

@@ -258,6 +258,27 @@ def test_jaccard_components(spark, monkeypatch, frequent):
     assert {i: r.component_id for i, r in got.items()} == brute_components(sets) and all(r.n_shingles == len(sets[i]) for i, r in got.items())
 
 
+@pytest.mark.parametrize("block", [7, 512])
+def test_all_links_of_large_classes_are_counted(spark, monkeypatch, block):
+    rng = random.Random(block)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for m in (60, 25, 3, 2):
+        base = [rng.choice(words) for _ in range(150)]
+        for _ in range(m):
+            t = list(base)
+            for _ in range(rng.randint(1, 5)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+    texts += [texts[0], "solo", None]
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    sets = word_sets(enumerate(texts))
+    different = set(sets.values())
+    want = {i: sum(x != y and bool(x) and 100 * len(x & y) >= 75 * len(x | y) for y in different) for i, x in sets.items()}
+    got = {r.doc_id: r.n_links for r in jaccard_join.classes(docs(spark, texts)).collect()}
+    assert got == want and max(want.values()) > 30
+
+
 def test_prefixes_of_linked_sets_meet():
     """Any two linked sets share a key, whichever tokens are frequent."""
     rng, j = np.random.default_rng(4), jaccard_join.Join()
