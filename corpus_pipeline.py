@@ -23,11 +23,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; one that had lines and lost them all is held whole by others and goes."""
-    rest = line_templates.dedup_lines(docs).filter("n_dropped = 0 OR n_dropped < n_lines").select("doc_id", F.col("text").alias("left"))
-    meta = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
-    out = rest.join(meta, "doc_id", "left")
-    return out.select("doc_id", F.col("left").alias("text"), "lang", "source", F.length("left").cast("long").alias("n_chars"))
+    """Documents without recurring lines; one that had lines and lost them all is held whole by others and goes.
+
+    Every other row stays, also one without an id or with an id that repeats, with its own language and source.
+    """
+    rest = line_templates.dedup_lines(docs, keep=("lang", "source")).filter("n_dropped = 0 OR n_dropped < n_lines")
+    return rest.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies").dropDuplicates(["doc_id"])
-    out = docs.join(copies, "doc_id")
+    """Each row as often as the mix takes it, also one without an id."""
+    out = mixing.mix(docs, keep=("text", "lang", "n_chars")).filter("copies > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 

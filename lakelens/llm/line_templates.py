@@ -44,17 +44,17 @@ def masked(line: Column) -> Column:
     return F.regexp_replace(F.trim(line), "[0-9]+", "0")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, free_from: int = FREE_FROM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, free_from: int = FREE_FROM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines of recurring templates: id, ``text`` (what is left), ``n_lines`` and ``n_dropped``.
 
     Lines end at ``\\n``; a line of blanks alone is never dropped or counted. A
     template recurs if at least ``min_docs`` documents have it; the document
     with the smallest id among them keeps its lines. A null text stays null
     with zero lines; rows of one id count as one document and rows without an
-    id drop nothing; one row comes out for each row that goes in; extra columns
-    are ignored. Lines of any length are hashed whole.
+    id drop nothing; one row comes out for each row that goes in, with its
+    own columns named in ``keep``; other extra columns are ignored. Lines of any length are hashed whole.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*keep).alias("_row")] if keep else []))
     # keys of all lines, written once: the count and the join back both read them
     lines = base.filter("id IS NOT NULL AND text IS NOT NULL").select("id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.select("id", F.xxhash64("line").alias("h"), masked(F.col("line")).alias("m")).filter(F.length("m") > 0)
@@ -74,6 +74,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, f
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias(text_col),
         F.coalesce(F.size(F.filter(all_lines, lambda x: ~blank(x))), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size(left)).cast("long").alias("n_dropped"),
+        *[F.col("_row")[k].alias(k) for k in keep],
     )
     return rows.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
 

@@ -60,16 +60,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: float = MAX_REPEAT) -
     return per.select("source", "source_size", F.coalesce(F.least(F.col("limit"), F.col("final") * F.col("w")), F.col("limit")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """Copies of every document in the mix: id, source, size, source_size, target, copies, taken.
 
     ``copies`` is from 0 to ``max_repeat``; ``taken`` is copies times size. A
     null text has size 0; null is a source of its own, ordered last; documents
     of size 0 get their certain copies only. Ranks come from the id alone, so
-    reruns agree; rows of one id tie and are taken in one order of size. Extra
-    columns are ignored; an empty table gives an empty result.
+    reruns agree; rows of one id tie and are taken in one order of size. Each
+    row keeps its own columns named in ``keep``, other extra columns are ignored; an empty table gives an empty result.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *([F.struct(*keep).alias("_row")] if keep else []))
     d = saved(d, "mix-sizes")
     goal = saved(targets(d, weights, max_repeat).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "mix-targets")
     few = goal.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: in
     out = ranked.join(sent(c), F.col("source").eqNullSafe(F.col("s")), "left")
     taken = F.coalesce((F.col("rank") < F.col("prefix")) | ((F.col("rank") == F.col("prefix")) & (F.struct("id", "size") <= F.col("edge_last"))), F.lit(False))
     copies = (F.col("certain") + taken.cast("int")).cast("int")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *[F.col("_row")[k].alias(k) for k in keep])
 
 
 def oracle_sql(size: str, table: str = "documents", id_col: str = "doc_id", keep: str = "", seed: int = 0) -> str:

@@ -38,6 +38,16 @@ def test_stages(spark, con, sf, same):
     assert tokens.count() == mixed.count() and tokens.filter("n_tokens > 0").count() > 0
 
 
+def test_rows_without_an_id_or_of_one_id_keep_their_own_columns(spark, sf):
+    rows = [(None, "no id at all here", "en", "web", 17), (None, "none here either, longer", "de", "books", 24), (1, "first of the id", "en", "web", 15), (1, "second of it, other words", "fr", "books", 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda d: sorted(map(str, map(tuple, d.collect())))
+    assert key(corpus_pipeline.lines(spark, docs, sf)) == sorted(map(str, rows))
+    copies = [r for r in mixing.mix(docs, keep=("text",)).collect()]
+    want = [r for r in rows for c in copies if c.text == r[1] for _ in range(c.copies)]
+    assert key(corpus_pipeline.mixture(spark, docs, sf)) == sorted(map(str, want)) and any(r[0] is None for r in want)
+
+
 def test_run_and_stage_list(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "mixing", "byte-level BPE"]
     assert re.fullmatch("[0-9a-f]{64}", corpus_pipeline.run(spark, sf).limit(1).collect()[0].ids_sha256)
