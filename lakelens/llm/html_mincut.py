@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from .common import importable, slices
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|button)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|</?([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|svg|iframe|object|select|button)(?=[\s/>])[^>]*>|</?([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
+#: End tags of the elements that are skipped only up to their own end.
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in "noscript template svg iframe object select button".split()}
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -70,31 +72,45 @@ class Block:
 
 
 def blocks(page: str) -> list[tuple[Block, str]]:
-    """The page's non-empty text blocks in order, with their text."""
+    """The page's non-empty text blocks in order, with their text.
+
+    Of elements outside the text, an unclosed script, style or textarea runs to
+    the end of the page; another one that is unclosed or closes itself skips its tag alone.
+    """
     # of each open element: tag, state, whether it is a link, its number
     stack: list[tuple[str, tuple, bool, int]] = [("", (False, False, False, False), False, 0)]
     out: list[Block] = []
     current: Block | None = None
-    serial = 0
-    for m in _TOKEN.finditer(page):
-        if m[4] is not None:
+    serial, at = 0, 0
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if m[2] is not None:
+            name = m[2].lower()
+            if not m[0].endswith("/>") and name not in unclosed:
+                if end := _ENDS[name].search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(name)
+            continue
+        if m[5] is not None:
             tag, state, linked, number = stack[-1]
             if current is None:
-                if m[4].isspace():
+                if m[5].isspace():
                     continue
                 current = Block(state, next((t for t, *_ in reversed(stack) if t in BLOCK_TAGS), ""), next((n for t, _, _, n in reversed(stack) if t in BLOCK_TAGS and t not in ("p", "li")), 0))
                 out.append(current)
-            elif current.outside != state[0] and not m[4].isspace():
+            elif current.outside != state[0] and not m[5].isspace():
                 current = Block(state, current.tag, current.parent)
                 out.append(current)
-            current.parts.append(m[4])
-            current.chars += len(m[4])
+            current.parts.append(m[5])
+            current.chars += len(m[5])
             if linked:
-                current.linked += len(m[4])
+                current.linked += len(m[5])
             continue
-        if m[2] is None:
+        if m[3] is None:
             continue  # comment, declaration or an element outside the text
-        tag = m[2].lower()
+        tag = m[3].lower()
         if tag in BLOCK_TAGS:
             current = None
         elif tag == "br" and current is not None:
@@ -119,7 +135,7 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         if tag in VOID_TAGS or m[0].endswith("/>"):
             continue
         outside, article, named, header = stack[-1][1]
-        attributes = m[3] or ""
+        attributes = m[4] or ""
         if attributes:
             words = {w for g in _NAMES.findall(attributes) for w in _WORDS.findall("".join(g).lower())}
             if tag not in ("html", "body", "article", "main"):

@@ -46,6 +46,15 @@ def test_html_extraction_keeps_the_article():
     assert html_mincut.extract(page)[0] == "Title & more\nFirst para.\nSecond one."
 
 
+@pytest.mark.parametrize("tag", ['<svg width="1"/>', '<iframe src="x"/>', "<button-group>", "<template-card>", "<object>", "<button>", "<SVG />"])
+def test_html_skips_no_article_after_a_tag_without_an_end(tag):
+    text = "The first sentence of the article is here. It goes on for a while. And it ends."
+    for later in ("", "<div><svg><text>drawn</text></svg><button>Press</button></div>" if tag[1:-1] not in ("object", "button") else ""):
+        got = html_mincut.extract(f"<html><body><article>{tag}<p>{text}</p></article>{later}</body></html>")[0]
+        assert text in got and "drawn" not in got and "Press" not in got
+    assert html_mincut.extract(f"<article><p>{text}</p><button>Press</button><script>var a = 1; <p>x</p>")[0] == text
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<<<>>>&&"), (4, "u", "<p>" * 5000 + "x"), (4, "u", "<p>" * 5000 + "x")], "page_id long, url string, html string").withColumn("id", F.lit(1)).withColumn("text", F.lit("clash"))
     got = html_mincut.extract_pages(pages).collect()
