@@ -1,53 +1,57 @@
 """Exact n-gram Jaccard join by token-combination prefixes, and its components.
 
 Tokens (shingle hashes) have one global order: rare ones by value, then
-frequent ones by value. A document indexes a prefix of its tokens, rare tokens
-one by one and frequent tokens as pairs inside a class, and the prefix is long
-enough that two linked documents share an indexed key: with at most ``e`` of
-its tokens missing from any partner, a prefix in which the rare tokens and, for
-each class, the tokens but one sum to e + 1 always leaves a common key.
-Candidates are then verified on whole sets.
-
-Which tokens are frequent, and which keys occur twice, is kept in bitmaps of
-fixed size: a false hit makes a rare token frequent or keeps a key too many,
-which costs time but loses nothing. Exact copies are one set throughout. In
-long posting lists every document is first compared with a pivot; only
-documents of different components are then paired, and sketches of fixed size
-a set rule most of these pairs out before their sets are fetched. Links never
-leave a component, so their number is then counted over all pairs of sets of
-each component, in cells of two blocks of sets that write no pairs.
+frequent ones, then very frequent ones. A set indexes a prefix of its tokens:
+rare tokens one by one, frequent tokens as pairs and very frequent ones as
+triples inside a class. The prefix is extended until, with at most ``e`` of the
+set's tokens missing from any partner, a common key is left: rare tokens, the
+tokens but one of each class of pairs and the tokens but two of each class of
+triples must sum to e + 1.
+
+Short posting lists give pairs of sets, which sketches of fixed size a set rule
+out or leave open; a long list ties all its sets together. What is tied
+together is a territory, so every link lies inside one. Whole sets are then
+compared once, in cells of one or two blocks of a territory's sets that write a
+row a set and no pairs: its number of links and the smallest set it reaches in
+the cell. Blocks follow the long lists, and two blocks meet only if some key or
+open pair is common to them.
+
+Which tokens are frequent, and which keys occur twice, is kept in bitmaps sized
+by what they hold, up to a bound: a false hit makes a rare token frequent or
+keeps a key too many, which costs time but loses nothing. Exact copies are one
+set throughout. Sets and shingles are told apart by 64-bit hashes; among 10^8
+different sets one pair is mistaken with a chance of about 3 in 10,000.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, importable, saved, slices
 from .shingles import Hasher, mix
 
-#: A token of more documents than this is frequent.
-FREQUENT = 10
-#: Central pivots that a set is compared with first.
-PIVOTS = 2
-#: Drawn pivots that a set is compared with in a round.
-DRAWN = 8
-#: Rounds of drawn pivots before the lists that still hold several components are paired.
-ROUNDS = 2
-#: Bits of the bitmaps (their size is the bound of what is broadcast).
-BITS = 1 << 25
-#: Sets below this size index frequent tokens one by one too.
+#: A token of more sets than this is frequent, and very frequent.
+FREQUENT, VERY_FREQUENT = 10, 1000
+#: Longest posting list whose pairs are written; a longer one ties its sets to one territory.
+SHORT = 16
+#: Least and most bits of a bitmap (the latter bounds what is broadcast), and bits for each value in it.
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 28, 16
+#: Bands of sets below this size have one class of pairs.
 SMALL = 24
-#: About the most sets, and tokens of sets, of a block of one component when its links are counted.
+#: About the sets, and the tokens of sets, of a block; a large home has blocks of up to 8 times as many sets.
 BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 20
 #: Distinct tokens that a cell of two blocks compares at a time.
 WIDTH = 4096
+#: Most long lists whose keys are sent to every task; beyond, Spark chooses the join.
+FEW_LISTS = 250_000
 
 
 @dataclass(frozen=True)
@@ -63,35 +67,39 @@ class Join:
         return n - -(-(n * self.num) // self.den)
 
 
-def _bit_places(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(BITS)).astype(np.int64)
+def _bit_places(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(tokens.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 class Bitmap:
-    """A set of hashed values of fixed size; it may hold more than was put in, never less."""
+    """A set of hashed values; it may hold more than was put in, never less."""
 
-    def __init__(self, words: np.ndarray | None = None):
-        self.bits = np.zeros(BITS // 8, np.uint8) if words is None else words
+    def __init__(self, words: np.ndarray):
+        self.bits = words
 
     def has(self, tokens: np.ndarray) -> np.ndarray:
-        at = _bit_places(np.ascontiguousarray(tokens, np.int64))
+        at = _bit_places(np.ascontiguousarray(tokens, np.int64), len(self.bits) * 8)
         return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def bitmap(tokens: DataFrame) -> Bitmap:
-    """The bitmap of a one-column table of long tokens; what is collected is at most BITS bits."""
+    """The bitmap of a one-column table of long values; what is collected is at most MOST_BITS bits."""
+    bits = LEAST_BITS
+    n = tokens.count()
+    while bits < min(MOST_BITS, BITS_EACH * n):
+        bits *= 2
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS // 8, np.uint8)
+        own = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            p = _bit_places(np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False), np.int64))
-            np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        words = bits.view(np.int64)
+            p = _bit_places(np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False), np.int64), bits)
+            np.bitwise_or.at(own, p >> 3, (1 << (p & 7)).astype(np.uint8))
+        words = own.view(np.int64)
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], names=["at", "word"])
 
     rows = tokens.mapInArrow(places, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    words = np.zeros(BITS // 64, np.int64)
+    words = np.zeros(bits // 64, np.int64)
     words[rows["at"].to_numpy()] = rows["word"].to_numpy()
     return Bitmap(words.view(np.uint8))
 
@@ -105,66 +113,77 @@ def bands(upto: int = 1 << 40, j: Join = Join()) -> np.ndarray:
 
 
 _BANDS: dict[Join, np.ndarray] = {}
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, n: int, j: Join) -> tuple[np.ndarray, np.ndarray] | None:
-    """Index keys of a set of ``n`` tokens from its smallest ones in order, and their frequent flags.
+@lru_cache(256)
+def _choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), np.int64).reshape(-1, k).T
 
-    None if the prefix needs tokens beyond those given. Keys are token values
-    for rare tokens and, apart from them, hashes of (band, pair) for frequent ones; as the number
-    of classes belongs to a band, a set makes the keys of its own band and of
-    the next.
+
+def combination_keys(tokens: np.ndarray, level: np.ndarray, need: int, band: int, size: int, j: Join) -> np.ndarray:
+    """Keys of a set's frequent tokens (level 1 or 2, in that order) in one band, from the shortest prefix that is enough.
+
+    A class of pairs adds its tokens but one to the prefix, a class of triples its tokens but two.
+    """
+    if size < SMALL:
+        cls, k = np.zeros(len(tokens), np.int64), np.full(len(tokens), 2)
+    else:
+        classes = max(1, j.missing(size) // 4)
+        cls = (mix(tokens.view(np.uint64)) % np.uint64(classes)).astype(np.int64) + classes * (level - 1)
+        k = level + 1
+    order = np.argsort(cls, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], np.diff(cls[order]) != 0])) if len(order) else np.zeros(0, np.int64)
+    place = np.zeros(len(tokens), np.int64)
+    place[order] = np.arange(len(order)) - np.repeat(start, np.diff(np.concatenate([start, [len(order)]])))
+    stop = min(len(tokens), int(np.searchsorted(np.cumsum(place >= k - 1), need)) + 1)
+    v, c, k = tokens[:stop].view(np.uint64), cls[:stop], k[:stop]
+    out = [np.zeros(0, np.int64)]
+    for x in np.unique(c):
+        own, width = v[c == x], int(k[c == x][0])
+        if len(own) >= width:
+            key = np.full(1, band * 8 + width, np.uint64)
+            for at in _choices(len(own), width):
+                key = mix((key + own[at]) * _FACTOR)
+            out.append(key.view(np.int64))
+    return np.concatenate(out)
+
+
+def prefix_keys(tokens: np.ndarray, level: np.ndarray, n: int, j: Join) -> tuple[np.ndarray, np.ndarray] | None:
+    """Index keys of a set of ``n`` tokens from its smallest ones in order: rare tokens, and keys of combinations.
+
+    ``level`` is 0 for a rare token, 1 for a frequent one, 2 for a very
+    frequent one. None if the prefix needs tokens beyond those given. As the
+    number of classes belongs to a band of sizes, a set makes the keys of its
+    own band and of the next. A set of one token links with no other set and needs none.
     """
+    level = np.asarray(level).astype(np.int64)
     need = j.missing(n) + 1
-    rare = tokens[~frequent]
+    rare = tokens[level == 0]
     if len(rare) >= need:
         return rare[:need], rare[:0]
     if len(tokens) < n:
         return None  # frequent tokens come after all rare ones, so the whole set is needed
-    often = tokens[frequent]
     if j not in _BANDS:
         _BANDS[j] = bands(j=j)
     band = int(np.searchsorted(_BANDS[j], n, side="right")) - 1
-    out = [rare[:0]]
-    for b in (band, band + 1):
-        size = int(_BANDS[j][b])
-        if size < SMALL:
-            take = often[: need - len(rare)]
-            out.append(mix(take.view(np.uint64) + np.uint64(b)).view(np.int64))
-            continue
-        # about four tokens a class in the smallest prefix of all frequent tokens
-        classes = max(1, j.missing(size) // 4)
-        cls = (mix(often.view(np.uint64)) % np.uint64(classes)).astype(np.int64)
-        order = np.argsort(cls, kind="stable")
-        first = np.zeros(len(often), bool)
-        first[order] = np.concatenate([[True], np.diff(cls[order]) != 0]) if len(order) else []
-        # a token adds to the prefix unless it is the first of its class
-        gained = np.cumsum(~first)
-        stop = int(np.searchsorted(gained, need - len(rare))) + 1
-        if stop > len(often):
-            stop = len(often)  # cannot happen for sets of SMALL tokens or more; whole set otherwise
-        v, c = often[:stop].view(np.uint64), cls[:stop]
-        for k in range(int(c.max(initial=-1)) + 1):
-            own = v[c == k]
-            if len(own) > 1:
-                a, d = np.triu_indices(len(own), 1)
-                out.append(mix(mix(own[a] + np.uint64(b)) ^ (own[d] * np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
-    return rare, np.unique(np.concatenate(out))
-
-
-def _sets(docs: DataFrame, j: Join, schema: str, row, wanted=None, state=None) -> DataFrame:
-    """Run ``row(id, tokens, state) -> tuple`` over the sets of (id, text); ``wanted``: broadcast bitmap of ids."""
+    often, lev = np.concatenate([tokens[level == 1], tokens[level == 2]]), np.sort(level[level > 0])
+    keys = [combination_keys(often, lev, need - len(rare), b, int(_BANDS[j][b]), j) for b in (band, band + 1)]
+    return rare, np.unique(np.concatenate(keys))
+
+
+def _sets(docs: DataFrame, j: Join, schema: str, row, wanted=None) -> DataFrame:
+    """Run ``row(id, tokens) -> tuple`` over the sets of (id, text); ``wanted``: broadcast bitmap of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held = Hasher(), state.value if state is not None else None
+        hasher = Hasher()
         kinds = [f.type for f in pa_schema]
         for b in slices(batches, 256):
             ids, texts = b.column(0), b.column(1)
             if wanted is not None:
-                at = np.flatnonzero(wanted.value.has(ids.to_numpy(zero_copy_only=False).astype(np.int64)))
+                at = np.flatnonzero(wanted.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & ids.is_valid().to_numpy(zero_copy_only=False))
                 ids, texts = ids.take(pa.array(at)), texts.take(pa.array(at))
-            ids = ids.to_pylist()
-            rows = [row(i, s, held) for i, s in zip(ids, hasher.sets(texts.to_pylist(), j.width))]
+            rows = [row(i, s) for i, s in zip(ids.to_pylist(), hasher.sets(texts.to_pylist(), j.width))]
             cols = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], schema=pa_schema)
 
@@ -175,119 +194,90 @@ def _sets(docs: DataFrame, j: Join, schema: str, row, wanted=None, state=None) -
     return docs.mapInArrow(run, schema)
 
 
+def signature(s: np.ndarray) -> int:
+    """A 64-bit hash of a whole set."""
+    u = s.view(np.uint64)
+    with np.errstate(over="ignore"):
+        x = np.array([u.sum(dtype=np.uint64), mix(u ^ np.uint64(0xD1B54A32D192ED03)).sum(dtype=np.uint64)], np.uint64)
+        return int(mix(mix(x[:1]) * _FACTOR + x[1:] + np.uint64(len(s))).view(np.int64)[0])
+
+
 def _first_tokens(j: Join):
-    def row(i, s, _):
+    def row(i, s):
         need = j.missing(len(s)) + 1
-        u = s.view(np.uint64)
-        with np.errstate(over="ignore"):
-            sums = [int(x.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for x in (u, mix(u ^ np.uint64(0xD1B54A32D192ED03)))]
-        return i, int.from_bytes(os.urandom(8), "little", signed=True), len(s), *sums, s[: need + need // 4], sketch(s)
+        return i, signature(s), len(s), s[: need + need // 4], sketch(s)
 
     return row
 
 
-def links(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Sets and verified links: ``(id, n, rep)`` of every row, and ``(a, b, common)`` between representatives.
+def _whole(i, s):
+    return signature(s), len(s), s
 
-    ``rep`` is the smallest id with the same set of shingles (null for a row
-    without words or an id); links are between different sets, a < b; every pair of
-    sets at or above the threshold that is not already joined by other links is found.
-    """
-    spark = docs.sparkSession
-    importable(spark)
-    sc = spark.sparkContext
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sigs = saved(_sets(src, j, "id long, uid long, n long, h1 long, h2 long, toks array<long>, sketch array<long>", _first_tokens(j)), "jaccard-sigs")
-    some = sigs.filter("n > 0 AND id IS NOT NULL").select("id", "uid", "n", "h1", "h2")
-    groups = saved(some.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "uid")).alias("r")).select("h1", "h2", "n", F.col("r.id").alias("rep"), F.col("r.uid").alias("uid")), "jaccard-groups")
-    mapped = sigs.select("id", "n", "h1", "h2").join(groups.drop("uid"), ["h1", "h2", "n"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.col("rep")))
-    mapped = saved(mapped.select("id", "n", "rep"), "jaccard-map")
-    # one row a representative, even if rows repeat an id: its written number picks the row
-    one = groups.groupBy("rep").agg(F.min("uid").alias("uid")).select("uid")
-    first = saved(sigs.join(one, "uid", "left_semi").select("id", "n", "toks", "sketch"), "jaccard-first")
-    drop(groups)
 
+def candidates(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """From (id, text) the tables that the comparison of whole sets needs.
+
+    ``mapped``: (id, n, sid) of every row, sid being the number of its set (null
+    without words or an id); ``groups``: (sid, n, rep), rep being the smallest id of a set;
+    ``pairs``: (a, b) of sets that short lists leave open; ``long``: (key, sid, m, tie) of the
+    lists of m > SHORT sets, tie being the smallest of them.
+    """
+    sc = docs.sparkSession.sparkContext
+    sigs = _sets(docs, j, "id long, sid long, n long, toks array<long>, sketch array<long>", _first_tokens(j))
+    sigs = saved(sigs.withColumn("row", F.monotonically_increasing_id()), "jaccard-sigs")
+    some = sigs.filter("n > 0 AND id IS NOT NULL")
+    groups = saved(some.groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.min("row").alias("row")), "jaccard-groups")
+    mapped = saved(sigs.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("sid")).alias("sid")), "jaccard-map")
+    first = saved(sigs.join(groups.select("row"), "row", "left_semi").select("sid", "n", "toks", "sketch"), "jaccard-first")
     drop(sigs)
-    # documents a token has, counted over the beginnings of all sets
+
+    # sets that a token has, counted over the beginnings of all sets
     counted = saved(first.select(F.explode("toks").alias("t")).groupBy("t").count().filter("count > 1"), "jaccard-df")
-    frequent = sc.broadcast(bitmap(counted.filter(F.col("count") > FREQUENT).select("t")))
+    over = lambda *tables: [t.filter(F.col("count") > FREQUENT) for t in tables]
+    frequent = sc.broadcast(bitmap(over(counted)[0].select("t")))
     hot = _hot(first, frequent, j)
-    hot_ids = sc.broadcast(bitmap(hot))
-    full = "id long, n long, toks array<long>"
-    whole = lambda i, s, _: (i, len(s), s)
+    full = "sid long, n long, toks array<long>"
+
+    def whole(sids: DataFrame) -> DataFrame:
+        reps = sc.broadcast(bitmap(groups.join(sids, "sid", "left_semi").select("rep")))
+        return _sets(docs, j, full, _whole, reps).join(sids, "sid", "left_semi").dropDuplicates(["sid"])
+
     # sets made of frequent tokens are counted whole
-    hot_sets = saved(_sets(src, j, full, whole, hot_ids).join(hot, "id", "left_semi").dropDuplicates(["id"]), "jaccard-hot")
+    hot_sets = saved(whole(hot), "jaccard-hot")
     counted_hot = saved(hot_sets.select(F.explode("toks").alias("t")).groupBy("t").count(), "jaccard-df-hot")
-    often = counted.filter(F.col("count") > FREQUENT).select("t").union(counted_hot.filter(F.col("count") > FREQUENT).select("t"))
-    frequent = sc.broadcast(bitmap(often))
+    a, b = over(counted, counted_hot)
+    often = saved(a.union(b).groupBy("t").agg(F.max("count").alias("count")), "jaccard-often")
+    frequent = sc.broadcast(bitmap(often.select("t")))
+    very = sc.broadcast(bitmap(often.filter(F.col("count") > VERY_FREQUENT).select("t")))
     hot2 = _hot(first, frequent, j)
-    more = hot2.join(hot, "id", "left_anti")
-    more_ids = sc.broadcast(bitmap(more))
-    more_sets = _sets(src, j, full, whole, more_ids).join(more, "id", "left_semi").dropDuplicates(["id"])
-    few = hot_sets
-    hot_sets = saved(few.union(more_sets), "jaccard-hot")
-    drop(few)
+    more = saved(hot2.join(hot, "sid", "left_anti"), "jaccard-hot-ids")
+    more_sets = saved(whole(more), "jaccard-hot")
     # a rare token matters if two beginnings have it or a hot set does
-    twice = sc.broadcast(bitmap(counted.select("t").union(counted_hot.select("t")).union(hot_sets.select(F.explode("toks").alias("t")))))
-    post = _postings(first.join(hot_sets.select("id"), "id", "left_anti"), frequent, twice, j).union(_postings(hot_sets, frequent, twice, j))
+    twice = counted.select("t").union(counted_hot.select("t")).union(more_sets.select(F.explode("toks").alias("t")))
+    twice = sc.broadcast(bitmap(twice))
+    all_hot = hot_sets.union(more_sets)
+    post = _postings(first.join(all_hot.select("sid"), "sid", "left_anti"), frequent, very, twice, j).union(_postings(all_hot, frequent, very, twice, j))
     post = saved(post, "jaccard-postings")
-    drop(counted, counted_hot, hot, hot2, hot_sets)
-
-    sizes = post.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    multi = saved(post.join(sizes, "key"), "jaccard-lists")
-    drop(post)
-    # the pivot of a list is its most central set: an original shares its tokens with all its copies, an edited copy with few
-    central = multi.groupBy("id").agg(F.avg("m").alias("w"))
-    pivots = multi.join(central, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("pivot"))
-    star = saved(_tries(multi.join(pivots, "key").filter("id != pivot"), first, j, PIVOTS), "jaccard-star")
-    ok = verified(src, star, j)
-    comp = components(first.select("id"), ok)
-    # lists that still hold several components try pivots of another component, drawn anew each round
-    seen = star.select("a", "b")
-    for k in range(ROUNDS):
-        open_ = saved(_open(multi, comp), "jaccard-open")
-        drawn = open_.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", "key", F.lit(k))).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pcomp"))
-        more = saved(_tries(open_.join(drawn, "key").filter("comp != pcomp"), first, j, DRAWN).join(seen, ["a", "b"], "left_anti"), "jaccard-star")
-        seen = seen.union(more.select("a", "b"))
-        ok = ok.union(verified(src, more, j))
-        comp = components(first.select("id"), ok)
-        drop(open_)
-    # what still holds several components is paired across them, but for pairs already seen
-    open_ = saved(_open(multi, comp), "jaccard-open")
-    cross = saved(_across(open_, first, j), "jaccard-cross")
-    ok2 = verified(src, cross.join(seen, ["a", "b"], "left_anti"), j)
-    drop(cross, multi, open_, first)
-    return mapped, ok.union(ok2)
-
-
-def _tries(shared: DataFrame, first: DataFrame, j: Join, most: int) -> DataFrame:
-    """(a, b, na, nb), a < b: each set of (key, id, pivot) with the pivots it shares most lists with, unless ruled out."""
-    shared = shared.groupBy("id", "pivot").agg(F.count("*").alias("lists"))
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("lists"), "pivot"))
-    pairs = shared.withColumn("k", best).filter(F.col("k") <= most).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    sizes = first.select("id", "n")
-    pairs = pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
-    return _paired(pairs, first, "sketch").filter(near(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), j)).select("a", "b", "na", "nb")
-
-
-def _open(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, id, n, comp) of the lists that hold more than one component."""
-    tagged = lists.select("key", "id", "n").join(comp, "id")
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    return tagged.join(mixed, "key", "left_semi")
-
-
-def _across(lists: DataFrame, first: DataFrame, j: Join) -> DataFrame:
-    """(a, b, na, nb) of all pairs of a list that are of different components and not ruled out."""
-    rows = lists.join(first.select("id", "sketch"), "id")
-    x, y = rows.alias("x"), rows.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
-    pairs = x.join(y, on & near(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), j))
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+    drop(counted, counted_hot, often, hot, hot2, more, hot_sets, more_sets)
+
+    lists = saved(post.groupBy("key").agg(F.count("*").alias("m"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("m > 1"), "jaccard-lists")
+    own = post.join(lists.filter(F.col("m").between(3, SHORT)).select("key"), "key", "left_semi").groupBy("key")
+    # many keys have the same sets
+    own = own.agg(F.sort_array(F.collect_list("sid")).alias("sids")).select("sids").distinct()
+    own = own.select("sids", F.explode("sids").alias("a")).select("a", F.explode(F.filter("sids", lambda x: x > F.col("a"))).alias("b"))
+    tried = lists.filter("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(own).distinct()
+    side = lambda x: first.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
+    near_ = tried.join(side("b"), "b").join(side("a"), "a").filter(near(F.col("na"), F.col("nb"), F.col("xa"), F.col("xb"), j))
+    pairs = saved(near_.select("a", "b"), "jaccard-pairs")
+    long = lists.filter(F.col("m") > SHORT).select("key", "m", F.col("lo").alias("tie"))
+    long = F.broadcast(long) if long.limit(FEW_LISTS + 1).count() <= FEW_LISTS else long
+    long = saved(post.join(long, "key").select("key", "sid", "m", "tie"), "jaccard-long")
+    drop(post, lists, first)
+    return mapped, groups, pairs, long
 
 
 def _hot(first: DataFrame, frequent, j: Join) -> DataFrame:
-    """Ids of sets whose kept beginning has too few rare tokens for a prefix."""
+    """Numbers of the sets whose kept beginning has too few rare tokens for a prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
@@ -298,34 +288,28 @@ def _hot(first: DataFrame, frequent, j: Join) -> DataFrame:
             total = np.concatenate([[0], np.cumsum(rare)])
             n = b.column(1).to_numpy(zero_copy_only=False)
             short = total[edge[1:]] - total[edge[:-1]] < j.missing(n) + 1
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(short))], names=["id"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(short))], names=["sid"])
 
-    return saved(first.select("id", "n", "toks").mapInArrow(run, "id long"), "jaccard-hot-ids")
+    return saved(first.select("sid", "n", "toks").mapInArrow(run, "sid long"), "jaccard-hot-ids")
 
 
-def _postings(sets: DataFrame, frequent, twice, j: Join) -> DataFrame:
-    """(key, id, n) of every set; rare tokens that occur once are left out."""
+def _postings(sets: DataFrame, frequent, very, twice, j: Join) -> DataFrame:
+    """(key, sid) of every set; rare tokens that occur once are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
-            out, ids, ns = [], [], []
+            out, sids = [], []
             for i, n, toks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 t = toks.values.to_numpy(zero_copy_only=False)
-                rare, pairs = prefix_keys(t, frequent.value.has(t), n, j)
-                k = np.concatenate([rare[twice.value.has(rare)], pairs])
+                often = frequent.value.has(t)
+                rare, combined = prefix_keys(t, often + (often & very.value.has(t)).astype(np.int64), n, j)
+                k = np.concatenate([rare[twice.value.has(rare)], combined])
                 out.append(k)
-                ids.append(np.full(len(k), i))
-                ns.append(np.full(len(k), n))
+                sids.append(np.full(len(k), i))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out, ids, ns)], names=["key", "id", "n"])
-
-    return sets.select("id", "n", "toks").mapInArrow(run, "key long, id long, n long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out, sids)], names=["key", "sid"])
 
-def _paired(pairs: DataFrame, sets: DataFrame, col: str) -> DataFrame:
-    """Pairs with one column of both sides, as xa and xb."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col(col).alias(f"x{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a")
+    return sets.select("sid", "n", "toks").mapInArrow(run, "key long, sid long")
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -349,21 +333,8 @@ def near(na, nb, xa, xb, j: Join):
     return (na * j.den >= nb * j.num) & (nb * j.den >= na * j.num) & (F.size(xa) <= 2 * n) & (F.size(xb) <= 2 * n) & (apart <= na + nb - 2 * common)
 
 
-def verified(src: DataFrame, pairs: DataFrame, j: Join) -> DataFrame:
-    """Of pairs (a, b, na, nb) those whose whole sets reach the threshold, with their common tokens."""
-    pairs = saved(pairs, "jaccard-pairs")
-    ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-ids")
-    wanted = src.sparkSession.sparkContext.broadcast(bitmap(ids))
-    sets = _sets(src, j, "id long, toks array<long>", lambda i, s, _: (i, s), wanted).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = saved(sets, "jaccard-sets")
-    both = _paired(pairs, sets, "toks").withColumn("common", F.size(F.array_intersect("xa", "xb")).cast("long"))
-    good = saved(both.filter(F.col("common") * j.den >= (F.col("na") + F.col("nb") - F.col("common")) * j.num).select("a", "b", "common"), "jaccard-links")
-    drop(sets, ids, pairs)
-    return good
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id of each node's component.
+def components(edges: DataFrame) -> DataFrame:
+    """(id, comp) of the nodes of edges (a, b): the smallest id of each node's component.
 
     Each round takes the smallest label among the neighbours and then the label
     of that label, so that long chains shorten by half; every round is a written
@@ -376,10 +347,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         nearer = label.join(around, "id").select("id", F.col("comp").alias("was"), F.least("comp", "c").alias("comp"))
         up = label.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
         step = saved(nearer.join(up, "comp", "left").select("id", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "components")
-        if step.filter("comp != was").isEmpty():
-            break
+        drop(label)
         label = step.select("id", "comp")
-    return nodes.join(step.select("id", "comp"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+        label._lakelens_path = step._lakelens_path
+        if step.filter("comp != was").isEmpty():
+            drop(both)
+            return label
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -405,63 +378,111 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return common
 
 
-def _cell(ids: list, before: list[bool], sets: list[np.ndarray], inside: bool, j: Join) -> Iterator[tuple]:
-    """(id, n_links) of the sets of a cell: links inside its one block, or between its two."""
+def _cell(sids: list[int], before: list[bool], sets: list[np.ndarray], inside: bool, j: Join) -> Iterator[tuple[int, int, int]]:
+    """(sid, n_links, root) of the linked sets of a cell: links inside its one block, or between its two."""
     left = [k for k, x in enumerate(before) if x]
     right = left if inside else [k for k, x in enumerate(before) if not x]
-    if not left or not right:
+    if not left or not right or inside and len(left) < 2:
         return
-    common = common_counts([sets[k] for k in left], [sets[k] for k in right])
     na, nb = (np.array([len(sets[k]) for k in side], np.int64) for side in (left, right))
-    linked = common * j.den >= (na[:, None] + nb[None, :] - common) * j.num
+    linked = np.zeros((len(left), len(right)), bool)
+    for at in range(0, len(left), 512):
+        part = slice(at, at + 512)
+        common = common_counts([sets[k] for k in left[part]], [sets[k] for k in right])
+        linked[part] = common * j.den >= (na[part, None] + nb[None, :] - common) * j.num
     if inside:
         np.fill_diagonal(linked, False)
-    yield from zip((ids[k] for k in left), linked.sum(axis=1).tolist())
-    if not inside:
-        yield from zip((ids[k] for k in right), linked.sum(axis=0).tolist())
-
-
-def link_counts(src: DataFrame, sets: DataFrame, found: DataFrame, j: Join) -> DataFrame:
-    """(id, n_links) of the sets (id, n, comp) of components of several sets: all other sets at or above the threshold.
-
-    Where the links found so far are all pairs of a component, each set links
-    with all others. The sets of any other component are dealt into blocks of
-    bounded size; every pair of blocks is a cell of its own, which adds up links a set.
-    """
-    per = found.join(sets.select(F.col("id").alias("a"), "comp"), "a").groupBy("comp").agg(F.count("*").alias("links"))
-    size = sets.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).filter("m > 1")
-    size = saved(size.join(per, "comp").withColumn("whole", F.col("links") * 2 == F.col("m") * (F.col("m") - 1)), "jaccard-sizes")
-    known = sets.join(size.filter("whole"), "comp").select("id", (F.col("m") - 1).alias("n_links"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("long")
-    rest = sets.join(size.filter("NOT whole").select("comp", blocks.alias("blocks")), "comp")
-    rest = saved(rest.select("id", "comp", "blocks", F.pmod(F.xxhash64(F.lit(3), "id"), "blocks").alias("block")), "jaccard-rest")
-    wanted = src.sparkSession.sparkContext.broadcast(bitmap(rest.select("id")))
-    toks = _sets(src, j, "id long, toks array<long>", lambda i, s, _: (i, s), wanted).join(rest, "id").dropDuplicates(["id"])
-    cells = toks.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cell = ["comp", "lo", "hi"]
-    cells = cells.select("comp", F.least("block", "x").alias("lo"), F.greatest("block", "x").alias("hi"), (F.col("block") <= F.col("x")).alias("before"), "id", "toks")
-    cells = cells.repartition(*cell).sortWithinPartitions(*cell)
+    own = [np.array([sids[k] for k in side], np.int64) for side in (left, right)]
+    degree = linked.sum(axis=1), linked.sum(axis=0)
+    seen = np.zeros(len(left), bool)
+    for s in np.flatnonzero(degree[0]):
+        if seen[s]:
+            continue
+        # breadth first over the two sides in turn
+        rows, cols = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        fresh = np.array([s])
+        while len(fresh):
+            rows[fresh] = True
+            new = np.flatnonzero(linked[fresh].any(axis=0) & ~cols)
+            cols[new] = True
+            fresh = np.flatnonzero(linked[:, new].any(axis=1) & ~rows)
+        seen |= rows
+        if inside:
+            rows |= cols
+            seen |= rows
+        root = int(own[0][rows].min()) if inside else int(min(own[0][rows].min(), own[1][cols].min()))
+        yield from ((int(x), int(d), root) for x, d in zip(own[0][rows], degree[0][rows]))
+        if not inside:
+            yield from ((int(x), int(d), root) for x, d in zip(own[1][cols], degree[1][cols]))
+
+
+def _cells(rows: DataFrame, j: Join) -> DataFrame:
+    """(sid, n_links, root) of every cell of rows (lo, hi, before, sid, toks)."""
+    rows = rows.select("lo", "hi", "before", "sid", "toks").repartition("lo", "hi").sortWithinPartitions("lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(key, rows):
-            out = list(_cell(*map(list, zip(*rows)), key[1] == key[2], j))
-            ids, n = zip(*out) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "n_links"])
+        def result(key, held):
+            out = list(_cell(*map(list, zip(*held)), key[0] == key[1], j))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))], names=["sid", "n_links", "root"])
 
-        key, rows = None, []
+        key, held = None, []
         for b in slices(batches, 512):
-            keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
-            for k, before, i, t in zip(keys, b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5)):
-                if k != key and rows:
-                    yield result(key, rows)
-                    rows = []
+            for *k, before, i, t in zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4)):
+                if k != key and held:
+                    yield result(key, held)
+                    held = []
                 key = k
-                rows.append((i, before, t.values.to_numpy(zero_copy_only=False).copy()))
-        if rows:
-            yield result(key, rows)
-
-    counted = cells.mapInArrow(run, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    return saved(known.union(counted), "jaccard-link-counts")
+                held.append((i, before, t.values.to_numpy(zero_copy_only=False).copy()))
+        if held:
+            yield result(key, held)
+
+    return rows.mapInArrow(run, "sid long, n_links long, root long")
+
+
+def _blocks(n_sets, n_tokens):
+    """Blocks for so many sets of so many tokens together."""
+    width = F.least(F.greatest(n_sets / 16, F.lit(BLOCK_SETS)), F.lit(8 * BLOCK_SETS))
+    return F.ceil(F.greatest(n_sets / width, n_tokens / BLOCK_TOKENS)).cast("long")
+
+
+def linked(docs: DataFrame, groups: DataFrame, pairs: DataFrame, long: DataFrame, j: Join) -> DataFrame:
+    """(sid, root, n_links) of the sets that link with others: smallest set reachable, and links to different sets."""
+    terr = components(pairs.union(long.filter("sid != tie").select("sid", "tie").distinct()))
+    members = groups.join(terr.select(F.col("id").alias("sid"), F.col("comp").alias("terr")), "sid").select("sid", "n", "rep", "terr")
+    size = members.groupBy("terr").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
+    members = saved(members.join(size.select("terr", (_blocks(F.col("m"), F.col("tokens")) == 1).alias("one")), "terr"), "jaccard-members")
+    # larger territories: a set's home is its longest list, blocks are parts of a home
+    several = members.filter("NOT one")
+    at = long.join(several.select("sid"), "sid", "left_semi")
+    home = several.join(at.groupBy("sid").agg(F.max_by("key", F.struct("m", "key")).alias("home")), "sid", "left")
+    home = home.select("sid", "n", "rep", "terr", F.coalesce("home", F.lit(0)).alias("home"))
+    parts = home.groupBy("terr", "home").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).select("terr", "home", _blocks(F.col("m"), F.col("tokens")).alias("parts"))
+    block = F.xxhash64("terr", "home", F.pmod(F.xxhash64(F.lit(3), "sid"), "parts")).alias("block")
+    home = saved(home.join(parts, ["terr", "home"]).select("sid", "rep", block), "jaccard-home")
+    shared = at.select("key", "sid").join(home.drop("rep"), "sid").select("key", "block").distinct()
+    met = shared.join(shared.withColumnRenamed("block", "hi"), "key").filter("block <= hi").select(F.col("block").alias("lo"), "hi")
+    ends = lambda x: home.select(F.col("sid").alias(x), F.col("block").alias(f"at{x}"))
+    drawn = pairs.join(ends("a"), "a").join(ends("b"), "b").select(F.least("ata", "atb").alias("lo"), F.greatest("ata", "atb").alias("hi"))
+    met = saved(met.union(drawn).distinct(), "jaccard-cells")
+    sides = met.select("lo", "hi", F.col("lo").alias("block"), F.lit(True).alias("before")).union(met.filter("lo != hi").select("lo", "hi", F.col("hi").alias("block"), F.lit(False).alias("before")))
+
+    def whole(of: DataFrame) -> DataFrame:
+        reps = docs.sparkSession.sparkContext.broadcast(bitmap(of.select("rep")))
+        toks = _sets(docs, j, "sid long, n long, toks array<long>", _whole, reps).select("sid", "toks")
+        return toks.join(of.drop("rep"), "sid").dropDuplicates(["sid"])
+
+    alone = whole(members.filter("one").select("sid", "terr", "rep"))
+    alone = _cells(alone.select(F.col("terr").alias("lo"), F.col("terr").alias("hi"), F.lit(True).alias("before"), "sid", "toks"), j)
+    alone = saved(alone, "jaccard-linked")
+    if met.isEmpty():
+        drop(members, home, met)
+        return alone.select("sid", "root", "n_links")
+    apart = saved(_cells(whole(home).join(sides, "block"), j), "jaccard-linked")
+    roots = components(apart.select(F.col("sid").alias("a"), F.col("root").alias("b")))
+    added = apart.groupBy("sid").agg(F.sum("n_links").alias("n_links")).join(roots.select(F.col("id").alias("sid"), F.col("comp").alias("root")), "sid")
+    out = saved(alone.select("sid", "root", "n_links").union(added.select("sid", "root", "n_links")), "jaccard-linked")
+    drop(members, home, met, apart, alone)
+    return out
 
 
 def classes(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", text_col: str = "text", with_links: bool = True) -> DataFrame:
@@ -472,18 +493,17 @@ def classes(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", text_col:
     empty, linked with nothing). Two documents link if num/den of the union is
     common. ``component_id`` is the smallest id reachable by links;
     ``n_links`` counts all other sets that a document's set links with
-    (left out, and not counted, if ``with_links`` is false). One row comes out
-    for each row that goes in; a row without an id belongs to no class (null).
-    Extra columns are ignored.
+    (left out if ``with_links`` is false). One row comes out for each row that
+    goes in; repeated rows, and rows of one id with other texts, are judged by
+    their own text; a row without an id belongs to no class (null). Extra columns are ignored.
     """
-    mapped, found = links(docs, j, id_col, text_col)
-    comp = saved(components(mapped.filter("id = rep").select("id").distinct(), found), "jaccard-comp")
-    of = comp.select(F.col("id").alias("rep"), "comp")
-    if with_links:
-        src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        sets = comp.join(mapped.filter("id = rep").groupBy("id").agg(F.max("n").alias("n")), "id")
-        counts = link_counts(src, sets, found, j).withColumnRenamed("id", "rep")
-        of = saved(of.join(counts, "rep", "left"), "jaccard-classes")
-    out = mapped.join(of, "rep", "left")
+    importable(docs.sparkSession)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    mapped, groups, pairs, long = candidates(src, j)
+    found = linked(src, groups, pairs, long, j)
+    least = found.join(groups, "sid").groupBy("root").agg(F.min("rep").alias("comp"))
+    of = groups.select("sid", "rep").join(found.join(least, "root").select("sid", "comp", "n_links"), "sid", "left")
+    of = saved(of.select("sid", F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "jaccard-classes")
+    out = mapped.join(of, "sid", "left")
     n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if with_links else []
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), *n_links)
