@@ -13,8 +13,8 @@ out or leave open; a long list ties all its sets together. What is tied
 together is a territory, so every link lies inside one. Whole sets are then
 compared once, in cells of one or two blocks of a territory's sets that write a
 row a set and no pairs: its number of links and the smallest set it reaches in
-the cell. Blocks follow the long lists, and two blocks meet only if some key or
-open pair is common to them.
+the cell. In a territory of many blocks these follow the long lists, and two
+blocks meet only if some key or open pair is common to them.
 
 Which tokens are frequent, and which keys occur twice, is kept in bitmaps sized
 by what they hold, up to a bound: a false hit makes a rare token frequent or
@@ -48,6 +48,8 @@ LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 28, 16
 SMALL = 24
 #: About the sets, and the tokens of sets, of a block; a large home has blocks of up to 8 times as many sets.
 BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 20
+#: Most blocks of a territory that all meet; a set is then copied at most so often.
+WHOLE = 16
 #: Distinct tokens that a cell of two blocks compares at a time.
 WIDTH = 4096
 #: Most long lists whose keys are sent to every task; beyond, Spark chooses the join.
@@ -450,34 +452,37 @@ def linked(docs: DataFrame, groups: DataFrame, pairs: DataFrame, long: DataFrame
     terr = components(pairs.union(long.filter("sid != tie").select("sid", "tie").distinct()))
     members = groups.join(terr.select(F.col("id").alias("sid"), F.col("comp").alias("terr")), "sid").select("sid", "n", "rep", "terr")
     size = members.groupBy("terr").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
-    members = saved(members.join(size.select("terr", (_blocks(F.col("m"), F.col("tokens")) == 1).alias("one")), "terr"), "jaccard-members")
-    # larger territories: a set's home is its longest list, blocks are parts of a home
-    several = members.filter("NOT one")
-    at = long.join(several.select("sid"), "sid", "left_semi")
+    members = saved(members.join(size.select("terr", _blocks(F.col("m"), F.col("tokens")).alias("blocks")), "terr"), "jaccard-members")
+    # territories of several blocks: in those of many, a set's home is its longest list, and blocks are parts of a home
+    several = members.filter("blocks > 1")
+    at = long.join(several.filter(F.col("blocks") > WHOLE).select("sid"), "sid", "left_semi")
     home = several.join(at.groupBy("sid").agg(F.max_by("key", F.struct("m", "key")).alias("home")), "sid", "left")
-    home = home.select("sid", "n", "rep", "terr", F.coalesce("home", F.lit(0)).alias("home"))
+    home = home.select("sid", "n", "rep", "terr", "blocks", F.coalesce("home", F.lit(0)).alias("home"))
     parts = home.groupBy("terr", "home").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).select("terr", "home", _blocks(F.col("m"), F.col("tokens")).alias("parts"))
     block = F.xxhash64("terr", "home", F.pmod(F.xxhash64(F.lit(3), "sid"), "parts")).alias("block")
-    home = saved(home.join(parts, ["terr", "home"]).select("sid", "rep", block), "jaccard-home")
-    shared = at.select("key", "sid").join(home.drop("rep"), "sid").select("key", "block").distinct()
+    home = saved(home.join(parts, ["terr", "home"]).select("sid", "rep", "terr", (F.col("blocks") <= WHOLE).alias("all"), block), "jaccard-home")
+    # blocks meet all others of a territory of few, else those that share a long list or an open pair
+    shared = at.select("key", "sid").join(home.select("sid", "block"), "sid").select("key", "block")
+    shared = shared.union(home.filter("all").select("terr", "block")).distinct()
     met = shared.join(shared.withColumnRenamed("block", "hi"), "key").filter("block <= hi").select(F.col("block").alias("lo"), "hi")
-    ends = lambda x: home.select(F.col("sid").alias(x), F.col("block").alias(f"at{x}"))
+    ends = lambda x: home.filter("NOT all").select(F.col("sid").alias(x), F.col("block").alias(f"at{x}"))
     drawn = pairs.join(ends("a"), "a").join(ends("b"), "b").select(F.least("ata", "atb").alias("lo"), F.greatest("ata", "atb").alias("hi"))
     met = saved(met.union(drawn).distinct(), "jaccard-cells")
     sides = met.select("lo", "hi", F.col("lo").alias("block"), F.lit(True).alias("before")).union(met.filter("lo != hi").select("lo", "hi", F.col("hi").alias("block"), F.lit(False).alias("before")))
+    # every set of a territory once
 
     def whole(of: DataFrame) -> DataFrame:
         reps = docs.sparkSession.sparkContext.broadcast(bitmap(of.select("rep")))
         toks = _sets(docs, j, "sid long, n long, toks array<long>", _whole, reps).select("sid", "toks")
         return toks.join(of.drop("rep"), "sid").dropDuplicates(["sid"])
 
-    alone = whole(members.filter("one").select("sid", "terr", "rep"))
+    alone = whole(members.filter("blocks = 1").select("sid", "terr", "rep"))
     alone = _cells(alone.select(F.col("terr").alias("lo"), F.col("terr").alias("hi"), F.lit(True).alias("before"), "sid", "toks"), j)
     alone = saved(alone, "jaccard-linked")
     if met.isEmpty():
         drop(members, home, met)
         return alone.select("sid", "root", "n_links")
-    apart = saved(_cells(whole(home).join(sides, "block"), j), "jaccard-linked")
+    apart = saved(_cells(whole(home.select("sid", "rep", "block")).join(sides, "block"), j), "jaccard-linked")
     roots = components(apart.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     added = apart.groupBy("sid").agg(F.sum("n_links").alias("n_links")).join(roots.select(F.col("id").alias("sid"), F.col("comp").alias("root")), "sid")
     out = saved(alone.select("sid", "root", "n_links").union(added.select("sid", "root", "n_links")), "jaccard-linked")

@@ -267,8 +267,8 @@ def test_jaccard_components(spark, monkeypatch, frequent):
     assert {i: r.component_id for i, r in got.items()} == brute_components(sets) and all(r.n_shingles == len(sets[i]) for i, r in got.items())
 
 
-@pytest.mark.parametrize("block", [7, 512])
-def test_all_links_of_large_classes_are_counted(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, whole", [(7, 16), (7, 1), (512, 16)])
+def test_all_links_of_large_classes_are_counted(spark, monkeypatch, block, whole):
     rng = random.Random(block)
     words = [f"w{i}" for i in range(400)]
     texts = []
@@ -281,6 +281,7 @@ def test_all_links_of_large_classes_are_counted(spark, monkeypatch, block):
             texts.append(" ".join(t))
     texts += [texts[0], "solo", None]
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "WHOLE", whole)
     sets = word_sets(enumerate(texts))
     different = set(sets.values())
     want = {i: sum(x != y and bool(x) and 100 * len(x & y) >= 75 * len(x | y) for y in different) for i, x in sets.items()}
@@ -289,8 +290,8 @@ def test_all_links_of_large_classes_are_counted(spark, monkeypatch, block):
 
 
 def test_prefixes_of_linked_sets_meet():
-    """Any two linked sets share a key, whichever tokens are frequent."""
-    rng, j = np.random.default_rng(4), jaccard_join.Join()
+    """Any two linked sets share a key, whichever tokens are frequent or very frequent, and most keys are combinations."""
+    rng, j, rare_keys, combined = np.random.default_rng(4), jaccard_join.Join(), 0, 0
     for _ in range(300):
         n = int(rng.integers(2, 220))
         x = rng.integers(-(1 << 62), 1 << 62, n)
@@ -300,10 +301,43 @@ def test_prefixes_of_linked_sets_meet():
         common = len(np.intersect1d(x, y))
         if 100 * common < 75 * (len(x) + len(y) - common):
             continue
-        share = rng.choice([0.0, 0.5, 1.0])
-        often = lambda t: (jaccard_join.mix(t.view(np.uint64)) % np.uint64(1000)).astype(int) < 1000 * share  # noqa: E731, B023
-        keys = [np.concatenate(jaccard_join.prefix_keys(t, often(t), len(t), j)) for t in (x, y)]
-        assert len(np.intersect1d(*keys)), (n, share)
+        share, very = rng.choice([0.0, 0.5, 1.0]), rng.choice([0.0, 0.5, 1.0])
+        draw = lambda t, seed: (jaccard_join.mix(t.view(np.uint64) + np.uint64(seed)) % np.uint64(1000)).astype(int)
+        level = lambda t: (draw(t, 0) < 1000 * share) * (1 + (draw(t, 1) < 1000 * very))  # noqa: E731, B023
+        keys = [jaccard_join.prefix_keys(t, level(t), len(t), j) for t in (x, y)]
+        rare_keys, combined = rare_keys + len(keys[0][0]), combined + len(keys[0][1])
+        assert len(np.intersect1d(np.concatenate(keys[0]), np.concatenate(keys[1]))) or len(x) == 1, (n, share, very)
+    assert combined > 4 * rare_keys
+
+
+def test_near_copies_and_common_passages_are_joined_by_combinations(spark, monkeypatch):
+    """Variants that hardly link, copies that do, and short texts around one passage; most keys are combinations."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    base, passage, texts = [rng.choice(words) for _ in range(60)], [rng.choice(words) for _ in range(40)], []
+    for k in range(120):
+        t = list(base)
+        for _ in range(k % 4):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(" ".join(t))
+        own = [rng.choice(words) for _ in range(rng.randint(1, 14))]
+        texts.append(" ".join(passage + own if k % 2 else own + passage))
+    kinds = []
+    real = jaccard_join._postings
+
+    def spy(sets, *rest):
+        out = real(sets, *rest)
+        kinds.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_postings", spy)
+    monkeypatch.setattr(jaccard_join, "VERY_FREQUENT", 40)
+    got = {r.doc_id: r for r in jaccard_join.classes(docs(spark, texts)).collect()}
+    sets = word_sets(enumerate(texts))
+    assert {i: r.component_id for i, r in got.items()} == brute_components(sets)
+    different = set(sets.values())
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(x != y and 100 * len(x & y) >= 75 * len(x | y) for y in different) for i, x in sets.items()}
+    assert kinds[1] > 4 * kinds[0]
 
 
 def test_sketches_bound_differences(spark):
@@ -325,6 +359,9 @@ def test_jaccard_edges(spark):
     got = jaccard_join.classes(d).collect()
     assert len(got) == d.count() and all(r.component_id == r.doc_id for r in got)
     assert jaccard_join.classes(d.limit(0)).count() == 0
+    same_id = spark.createDataFrame([(5, "a b c d e f g"), (5, "quite other words are here now"), (9, "A b c d e f g"), (None, "a b c d e f g"), (9, None)], "doc_id long, text string").withColumn("sid", F.lit(0))
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in jaccard_join.classes(same_id).collect())
+    assert got == [("5", 2, "5", 0), ("5", 3, "5", 0), ("9", 0, "9", 0), ("9", 3, "5", 0), ("None", 3, "None", 0)]
 
 
 # -- op10
