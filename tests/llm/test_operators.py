@@ -55,6 +55,94 @@ def test_html_skips_no_article_after_a_tag_without_an_end(tag):
     assert html_mincut.extract(f"<article><p>{text}</p><button>Press</button><script>var a = 1; <p>x</p>")[0] == text
 
 
+def test_html_names_are_whole_and_stray_quotes_end_with_their_tag():
+    text = "The first sentence of the article is here. It goes on for a while. And it ends."
+    for tag in ('div class="ad-free story"', 'article class="share-price"', "div id=share-price", "article title=o'clock", 'article data-x="a>b"', "article class='x\" y'"):
+        assert html_mincut.extract(f"<{tag}><p class=o'clock>{text}</p></article>")[0] == text, tag
+    for name in ("ad", "site-footer", "cookie-notice", "commentList", "sidebar-left", "ads_top", "nav2"):
+        assert html_mincut.extract(f'<p>{text}</p><div class="x {name}"><p>{text} Not this.</p></div>')[0] == text, name
+    assert html_mincut.extract(f"<nav>{'<div>' * 2100}inside{'</div>' * 2100}</nav><p>{text}</p>")[0] == text
+
+
+def test_html_paragraph_around_an_inline_advert_is_one_block():
+    assert html_mincut.extract("<article><p>One half of it <span class=ad>Buy. Buy.</span> and the other.</p></article>")[0] == "One half of it and the other."
+
+
+def generated_page(rng):
+    """A page without an article element, and the blocks that are its article."""
+    word = lambda: "".join(rng.choice("aeioubdklmnrst") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: ". ".join(" ".join(word() for _ in range(rng.randint(4, 12))) for _ in range(n)) + "."
+    links = lambda n: "".join(f"<li><a href=/{word()}>{word()}</a>" for _ in range(n))
+    story = []
+    for k in range(rng.randint(3, 9)):
+        story.append(word() + " " + word() if k % 4 == 2 else prose(rng.randint(2, 4)))  # short lines between long ones
+    body = "".join(f"<{t}>{x}</{t}>" for x in story for t in ["div" if len(x) < 25 else "p"])
+    name = rng.choice(["", " class=widget", " class=post-body", " class='ad-free text'"])
+    page = f"<body><div>{'<div>' * rng.randint(0, 3)}<ul>{links(rng.randint(4, 9))}</ul></div><div{name}>{body}</div><div class=related-posts><p>{prose(1)}</p><ul>{links(3)}</ul></div>"
+    return page + f"<div id=comments><p>{prose(3)}</p><p>{prose(2)}</p></div><div>{word()} | {word()}</div></body>", story
+
+
+def test_the_cut_decides_and_does_better_than_the_classifier_alone():
+    rng, w = random.Random(8), html_mincut.Weights()
+    right = {"cut": 0, "sign": 0}
+    total = exact = 0
+    for _ in range(200):
+        page, story = generated_page(rng)
+        found, regions = html_mincut.blocks(page)
+        gain, edges = html_mincut.graph(found, regions, w)
+        cut = html_mincut.source_side(gain, edges)
+        for (_, text), g, c in zip(found, gain, cut):
+            total += 1
+            right["cut"] += c == (text in story)
+            right["sign"] += (g > 0) == (text in story)
+        exact += html_mincut.extract(page)[0] == "\n".join(story)
+    assert right["cut"] > 0.97 * total and right["sign"] < 0.9 * total and exact > 170, (right, total, exact)
+
+
+def test_html_text_is_that_of_the_article_elements(spark, sf):
+    """The given pages against a plain reading: all text in the article, without adverts, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.out, self.stop, self.fresh = 0, [], 0, True
+
+        def handle_starttag(self, tag, attrs):
+            if self.depth and (self.stop or dict(attrs).get("class") in ("ad", "comments", "related") or tag in ("aside", "form", "script", "style")):
+                self.stop += tag not in html_mincut.VOID_TAGS
+            self.depth += tag == "article"
+            self.fresh = self.fresh or tag in html_mincut.BLOCK_TAGS
+            if tag == "br" and self.out and not self.fresh:
+                self.out[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.stop = max(0, self.stop - 1)
+            self.depth -= tag == "article"
+            self.fresh = self.fresh or tag in html_mincut.BLOCK_TAGS
+
+        def handle_data(self, data):
+            if self.depth and not self.stop and (data.strip() or not self.fresh):
+                self.out += [""] if self.fresh else []
+                self.fresh = False
+                self.out[-1] += data
+
+    got = {r.page_id: r.text for r in queries.op1_html_mincut(spark, sf).collect()}
+    for r in table(spark, sf, "pages").collect():
+        reader = Reader()
+        reader.feed(r.html or "")
+        assert got[r.page_id] == "\n".join(x for x in (" ".join(b.split()) for b in reader.out) if x), r.page_id
+
+
+@pytest.mark.parametrize("page", ["<i>" * 60_000 + "x" + "</b>" * 60_000, '<p a="' * 60_000, "<!" * 60_000, "<script " * 60_000, "<ul>" + "<li><a href=/x>w</a></li><p>A sentence here. Another one.</p>" * 16_000, "<div>" * 60_000 + "x"], ids=range(6))
+def test_html_long_and_deep_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html_mincut.extract(page)
+    assert time.process_time() - start < 4
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<<<>>>&&"), (4, "u", "<p>" * 5000 + "x"), (4, "u", "<p>" * 5000 + "x")], "page_id long, url string, html string").withColumn("id", F.lit(1)).withColumn("text", F.lit("clash"))
     got = html_mincut.extract_pages(pages).collect()
