@@ -471,6 +471,34 @@ def test_mixing_targets(spark):
     assert sorted((r.doc_id, r.copies) for r in got) == sorted((r.doc_id, r.copies) for r in again)
 
 
+def test_mixing_inclusion_is_unequal_and_near_its_probability(spark):
+    """Over many documents of a source each grade is taken as often as its probability says, and not in the order of u."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * int(2 ** rng.uniform(0, 6))), "en", "abc"[i % 3], 1) for i in range(9000)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(d).withColumn("grade", mixing.importance(F.col("size"))).withColumn("u", mixing.uniform(F.col("doc_id"))).collect()
+    sizes = d.select("source", mixing.n_words(F.col("text")).alias("size")).withColumn("grade", mixing.importance(F.col("size")))
+    goal = {(r.source, r.grade): r for r in mixing.grades(sizes, mixing.targets(sizes)).collect()}
+    assert len({round(g.certain + g.p, 9) for g in goal.values() if g.source == "b"}) == 6
+    for (source, grade), g in goal.items():
+        extra = [r.copies - g.certain for r in got if (r.source, r.grade) == (source, grade)]
+        assert set(extra) <= {0, 1} and abs(np.mean(extra) - g.p) < 4 * (max(g.p * (1 - g.p), 0.01) / len(extra)) ** 0.5, (source, grade, np.mean(extra), g.p)
+    one = [(r.u, r.copies - goal[r.source, r.grade].certain) for r in got if r.source == "b"]
+    assert max(u for u, x in one if x) > min(u for u, x in one if not x)
+    for source in "abc":
+        assert abs(sum(r.taken for r in got if r.source == source) - goal[source, 1].target) <= 64
+
+
+def test_mixing_nulls_ties_and_repeated_rows(spark):
+    rows = [(None, "a b c", "en", None, 3)] * 2 + [(1, "a b", "en", "x", 2)] * 3 + [(2, None, "en", "x", 0), (3, "", "en", "y", 0), (4, "a " * 5000, "en", "x", 0)]
+    got = sorted((str(r.doc_id), str(r.source), r.size, r.source_size, r.copies, r.taken) for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect())
+    assert [x[:4] for x in got] == [("1", "x", 2, 5006)] * 3 + [("2", "x", 0, 5006), ("3", "y", 0, 0), ("4", "x", 5000, 5006)] + [("None", "None", 3, 6)] * 2
+    again = sorted((str(r.doc_id), str(r.source), r.size, r.source_size, r.copies, r.taken) for r in mixing.mix(spark.createDataFrame(rows[::-1], DOCS).repartition(3)).collect())
+    assert got == again and all(x[5] == x[4] * x[2] <= 3 * x[2] for x in got) and {x[4] for x in got if x[2] == 0} == {0}
+    # the null source has weight 1 of 5 + 2 + 1 and cannot use more than 3 times its 6 words
+    assert sum(x[5] for x in got if x[1] == "None") in (15, 18)
+
+
 def test_mixing_edges(spark):
     d = odd(spark, EDGE)
     assert mixing.mix(d).count() == d.count() and mixing.mix(d.limit(0)).count() == 0
