@@ -191,11 +191,37 @@ def test_lines_with_one_free_field_recur(spark):
     assert "logged in" in got[0] and "port 0" in got[0] and all("logged" not in got[i] and "port" not in got[i] and "Own line" in got[i] for i in (1, 2, 3))
 
 
+def test_short_templates_take_more_documents(spark):
+    texts = [f"Posted by {w}\nOwn words of {w} here" for w in (f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))]
+    got = {r.doc_id: r.text for r in line_templates.dedup_lines(docs(spark, texts)).collect()}
+    assert "Posted" in got[0] and not any("Posted" in t for i, t in got.items() if i) and all("Own words" in t for t in got.values())
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.dedup_lines(docs(spark, texts[:20])).collect()}
+    assert all(got[i] == (texts[i], 0) for i in range(20))
+
+
+def test_long_lines_of_two_documents(spark):
+    """A passage that two documents share goes from the second; a copy of a whole document stays whole."""
+    rng = random.Random(6)
+    line = lambda n: " ".join(rng.choice("abcdefghij") * 3 + rng.choice("klmnopq") for _ in range(n))
+    passage, shorter = line(60), line(20)
+    copied = "\n".join(line(50) for _ in range(3))
+    texts = [f"{line(90)}\n{passage}", f"{passage}\n{shorter}\n{line(90)}\n{line(40)}", f"{shorter}\n{line(30)}", copied, copied]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.dedup_lines(docs(spark, texts)).collect()}
+    assert got == {i: (t.replace(passage + "\n", ""), int(i == 1)) if i == 1 else (t, 0) for i, t in enumerate(texts)}
+
+
 def test_line_dedup_edges(spark):
     d = odd(spark, EDGE)
     got = line_templates.dedup_lines(d).collect()
-    assert len(got) == d.count() and all((r.text is None) == (r.n_lines == 0 and r.text is None) for r in got)
-    assert line_templates.dedup_lines(d.limit(0)).count() == 0
+    assert len(got) == d.count() and line_templates.dedup_lines(d.limit(0)).count() == 0
+    # no template recurs in three documents: every text, null ones too, comes out as it is
+    want = sorted((str(r.doc_id), str(r.text)) for r in d.collect())
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == want and {r.n_dropped for r in got} == {0}
+    lines = {r.doc_id: r.n_lines for r in got}
+    assert (lines[0], lines[1], lines[4], lines[6], lines[7]) == (0, 1, 1, 40, 0)
+    same = spark.createDataFrame([(1, "x y\nown one"), (1, "x y\nown two"), (2, "x y\nown three"), (3, "x y"), (None, "x y\nx y")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in line_templates.dedup_lines(same).collect())
+    assert got == [("1", "x y\nown one", 2, 0), ("1", "x y\nown two", 2, 0), ("2", "own three", 2, 1), ("3", "", 1, 1), ("None", "x y\nx y", 2, 0)]
 
 
 # -- op4
