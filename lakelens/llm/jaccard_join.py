@@ -175,7 +175,7 @@ def prefix_keys(tokens: np.ndarray, level: np.ndarray, n: int, j: Join) -> tuple
 
 
 def _sets(docs: DataFrame, j: Join, schema: str, row, wanted=None) -> DataFrame:
-    """Run ``row(id, tokens) -> tuple`` over the sets of (id, text); ``wanted``: broadcast bitmap of ids."""
+    """Run ``row(id, tokens) -> tuple`` over the sets of (id, text); a third column goes before; ``wanted``: broadcast bitmap of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -186,6 +186,8 @@ def _sets(docs: DataFrame, j: Join, schema: str, row, wanted=None) -> DataFrame:
                 at = np.flatnonzero(wanted.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & ids.is_valid().to_numpy(zero_copy_only=False))
                 ids, texts = ids.take(pa.array(at)), texts.take(pa.array(at))
             rows = [row(i, s) for i, s in zip(ids.to_pylist(), hasher.sets(texts.to_pylist(), j.width))]
+            if b.num_columns > 2:
+                rows = [(t, *r) for t, r in zip(b.column(2).to_pylist(), rows)]
             cols = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], schema=pa_schema)
 
@@ -217,19 +219,19 @@ def _whole(i, s):
 
 
 def candidates(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """From (id, text) the tables that the comparison of whole sets needs.
+    """From (id, text, tag) the tables that the comparison of whole sets needs.
 
-    ``mapped``: (id, n, sid) of every row, sid being the number of its set (null
+    ``mapped``: (id, tag, n, sid) of every row, sid being the number of its set (null
     without words or an id); ``groups``: (sid, n, rep), rep being the smallest id of a set;
     ``pairs``: (a, b) of sets that short lists leave open; ``long``: (key, sid, m, tie) of the
     lists of m > SHORT sets, tie being the smallest of them.
     """
     sc = docs.sparkSession.sparkContext
-    sigs = _sets(docs, j, "id long, sid long, n long, toks array<long>, sketch array<long>", _first_tokens(j))
+    sigs = _sets(docs, j, "tag long, id long, sid long, n long, toks array<long>, sketch array<long>", _first_tokens(j))
     sigs = saved(sigs.withColumn("row", F.monotonically_increasing_id()), "jaccard-sigs")
     some = sigs.filter("n > 0 AND id IS NOT NULL")
     groups = saved(some.groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.min("row").alias("row")), "jaccard-groups")
-    mapped = saved(sigs.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("sid")).alias("sid")), "jaccard-map")
+    mapped = saved(sigs.select("id", "tag", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("sid")).alias("sid")), "jaccard-map")
     first = saved(sigs.join(groups.select("row"), "row", "left_semi").select("sid", "n", "toks", "sketch"), "jaccard-first")
     drop(sigs)
 
@@ -242,7 +244,7 @@ def candidates(docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame, DataFram
 
     def whole(sids: DataFrame) -> DataFrame:
         reps = sc.broadcast(bitmap(groups.join(sids, "sid", "left_semi").select("rep")))
-        return _sets(docs, j, full, _whole, reps).join(sids, "sid", "left_semi").dropDuplicates(["sid"])
+        return _sets(docs.select("id", "text"), j, full, _whole, reps).join(sids, "sid", "left_semi").dropDuplicates(["sid"])
 
     # sets made of frequent tokens are counted whole
     hot_sets = saved(whole(hot), "jaccard-hot")
@@ -473,7 +475,7 @@ def linked(docs: DataFrame, groups: DataFrame, pairs: DataFrame, long: DataFrame
 
     def whole(of: DataFrame) -> DataFrame:
         reps = docs.sparkSession.sparkContext.broadcast(bitmap(of.select("rep")))
-        toks = _sets(docs, j, "sid long, n long, toks array<long>", _whole, reps).select("sid", "toks")
+        toks = _sets(docs.select("id", "text"), j, "sid long, n long, toks array<long>", _whole, reps).select("sid", "toks")
         return toks.join(of.drop("rep"), "sid").dropDuplicates(["sid"])
 
     alone = whole(members.filter("blocks = 1").select("sid", "terr", "rep"))
@@ -490,25 +492,30 @@ def linked(docs: DataFrame, groups: DataFrame, pairs: DataFrame, long: DataFrame
     return out
 
 
-def classes(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", text_col: str = "text", with_links: bool = True) -> DataFrame:
-    """Near-duplicate class of every document: id, ``n_shingles``, ``component_id`` and ``n_links``.
+def classes(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", text_col: str = "text", with_links: bool = True, tag_col: str | None = None) -> DataFrame:
+    """Near-duplicate class of every document: id, ``n_shingles``, ``component_id``, ``n_links`` and ``class_id``.
 
     A document's set is its distinct ``width``-word shingles of the text with
     A-Z lower-cased (fewer words: the whole sequence; no words or a null text:
     empty, linked with nothing). Two documents link if num/den of the union is
     common. ``component_id`` is the smallest id reachable by links;
     ``n_links`` counts all other sets that a document's set links with
-    (left out if ``with_links`` is false). One row comes out for each row that
-    goes in; repeated rows, and rows of one id with other texts, are judged by
-    their own text; a row without an id belongs to no class (null). Extra columns are ignored.
+    (left out if ``with_links`` is false); ``class_id`` is a number that the
+    rows of one class share, null for a row without words or an id. One row
+    comes out for each row that goes in; repeated rows, and rows of one id with
+    other texts, are judged by their own text; a row without an id has a null
+    ``component_id``. A long column ``tag_col`` comes out as it went in; other
+    extra columns are ignored; an empty table gives an empty result.
     """
     importable(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    tag = F.col(tag_col).cast("long") if tag_col else F.lit(0).cast("long")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), tag.alias("tag"))
     mapped, groups, pairs, long = candidates(src, j)
     found = linked(src, groups, pairs, long, j)
     least = found.join(groups, "sid").groupBy("root").agg(F.min("rep").alias("comp"))
-    of = groups.select("sid", "rep").join(found.join(least, "root").select("sid", "comp", "n_links"), "sid", "left")
-    of = saved(of.select("sid", F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "jaccard-classes")
-    out = mapped.join(of, "sid", "left")
+    of = groups.select("sid", "rep").join(found.join(least, "root").select("sid", "root", "comp", "n_links"), "sid", "left")
+    of = of.select("sid", F.coalesce("root", "sid").alias("class_id"), F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = mapped.join(saved(of, "jaccard-classes"), "sid", "left")
     n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if with_links else []
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), *n_links)
+    tags = [F.col("tag").alias(tag_col)] if tag_col else []
+    return out.select(F.col("id").alias(id_col), *tags, F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), *n_links, "class_id")

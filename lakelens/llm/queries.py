@@ -62,7 +62,7 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).drop("class_id")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
