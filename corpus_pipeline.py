@@ -6,7 +6,7 @@ before the next one. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakelens.llm import bpe, jaccard_join, line_templates, mixing, quality_rules
@@ -17,7 +17,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, without their failing lines."""
+    """Documents that the line-first rules keep, without their failing lines.
+
+    A null, empty or short text is rejected; texts of any length are judged
+    whole; repeated rows, rows of one id and rows without an id are judged one
+    by one; other columns than those of ``documents`` are left out; an empty table gives an empty one.
+    """
     judged = quality_rules.judge(docs.select(F.struct("doc_id", "lang", "source").alias("_row"), "text"), id_col="_row").filter("kept")
     return judged.select("_row.doc_id", F.col("clean_text").alias("text"), "_row.lang", "_row.source", F.length("clean_text").cast("long").alias("n_chars"))
 
@@ -25,26 +30,46 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; one that had lines and lost them all is held whole by others and goes.
 
-    Every other row stays, also one without an id or with an id that repeats, with its own language and source.
+    Every other row stays, also one with a null or empty text, without an id or
+    with an id that repeats, with its own language and source; rows of one id
+    count as one document; an empty table gives an empty one.
     """
     rest = line_templates.dedup_lines(docs, keep=("lang", "source")).filter("n_dropped = 0 OR n_dropped < n_lines")
     return rest.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near duplicates."""
-    drop = jaccard_join.classes(docs, with_links=False).filter("doc_id != component_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each class of near duplicates: that of the smallest id, then of the smallest hash of its columns.
+
+    Rows that repeat come down to one, and rows of one id are told apart by
+    their columns. A row without words or without an id belongs to no class and stays.
+    An empty table gives an empty one.
+    """
+    docs = docs.select(*COLUMNS, F.xxhash64("text", "lang", "source").alias("_tag"))
+    rows = jaccard_join.classes(docs, with_links=False, tag_col="_tag").filter("class_id IS NOT NULL").select("class_id", F.struct("doc_id", "_tag").alias("row"))
+    first = rows.groupBy("class_id").agg(F.min("row").alias("first"))
+    losers = rows.join(first, "class_id").filter("row != first").select("row.doc_id", "row._tag").distinct()
+    left = docs.join(losers, ["doc_id", "_tag"], "left_anti")
+    again = F.row_number().over(Window.partitionBy("doc_id", "_tag").orderBy(F.lit(0)))
+    classless = F.col("doc_id").isNull() | (F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), F.lit("")) == "")
+    return left.withColumn("_again", again).filter(classless | (F.col("_again") == 1)).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, also one without an id."""
+    """Each row as often as the mix takes it, also one without an id or a source, with its own columns.
+
+    A row without words is not taken; rows of one id and size are taken in one
+    order, so that reruns agree; an empty table gives an empty one.
+    """
     out = mixing.mix(docs, keep=("text", "lang", "n_chars")).filter("copies > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row of the mix, encoded and decoded again."""
+    """Token counts and digests of every row of the mix, encoded and decoded again.
+
+    A null text counts as empty; every row gives a row, repeated ones alike; an empty table gives an empty one.
+    """
     return bpe.digests(bpe.encode_decode(docs, *tokenizer()))
 
 
