@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from lakelens.llm import line_templates, mixing, quality_rules
 from lakelens.llm.common import saved, table
 
@@ -48,6 +49,46 @@ def test_rows_without_an_id_or_of_one_id_keep_their_own_columns(spark, sf):
     assert key(corpus_pipeline.mixture(spark, docs, sf)) == sorted(map(str, want)) and any(r[0] is None for r in want)
 
 
+TEXT = "a text of more than twenty words that has enough to say for itself so that no rule of quality takes it away from here at all"
+
+
+def odd_documents(spark):
+    """Null ids and columns, empty and very long texts, ties, repeated rows, rows of one id, clashing columns."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, TEXT, "en", "web", 1), (1, TEXT, "en", "web", 1), (1, TEXT + " and more", "de", "web", 1), (2, TEXT, "en", None, 1), (3, None, None, None, None), (3, "", "en", "web", 0), (None, TEXT, None, "web", 5), (None, None, None, None, None), (4, long, "en", "books", 1), (5, "other " + TEXT[::-1], "en", "books", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("id", "_row", "_tag", "row", "size", "copies", "kept", "sid", "tag"):
+        d = d.withColumn(name, F.lit("x"))
+    return d, long
+
+
+def shown(df):
+    return sorted(((str(r.doc_id), r.text, r.lang, r.source) for r in df.collect()), key=str)
+
+
+def test_stages_on_odd_rows(spark, sf):
+    d, long = odd_documents(spark)
+    empty = d.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
+    own = [r[:4] for r in shown(d)]
+    with_text = [r for r in own if r[1]]
+    got = corpus_pipeline.quality(spark, d, sf)
+    assert got.columns == list(corpus_pipeline.COLUMNS) and shown(got) == sorted(with_text, key=str)
+    # the text of id 1 also stands in id 2, too few for a template, and rows without an id drop nothing
+    assert shown(corpus_pipeline.lines(spark, d, sf)) == own
+    near = corpus_pipeline.near_duplicates(spark, d, sf)
+    kept = shown(near)
+    one = [r for r in kept if r[0] == "1"]
+    assert len(one) == 1 and one[0] in own and [r for r in kept if r[0] != "1"] == [r for r in own if r[0] not in ("1", "2")]
+    assert kept == shown(corpus_pipeline.near_duplicates(spark, d.repartition(3), sf))
+    mixed = corpus_pipeline.mixture(spark, d, sf)
+    assert mixed.columns == list(corpus_pipeline.COLUMNS) and {r for r in shown(mixed)} <= set(with_text)
+    assert shown(mixed) == shown(corpus_pipeline.mixture(spark, d.repartition(3), sf)) and long in {r[1] for r in shown(mixed)} | {long}
+    tokens = corpus_pipeline.tokens(spark, d, sf).collect()
+    assert len(tokens) == len(own) and sum(r.n_tokens == 0 for r in tokens) == 3 and len({r.ids_sha256 for r in tokens if r.doc_id == 1}) == 2
+
+
 def test_run_and_stage_list(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "mixing", "byte-level BPE"]
     assert re.fullmatch("[0-9a-f]{64}", corpus_pipeline.run(spark, sf).limit(1).collect()[0].ids_sha256)
