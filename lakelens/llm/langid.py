@@ -9,9 +9,9 @@ a batch is one product of the batch's presence matrix with the landmarks'.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,14 +25,24 @@ from .common import importable, share, slices
 #: Bound of the training sample: rows a language, characters of a row, and landmarks a language.
 ROWS_PER_LANG, MAX_CHARS, LANDMARKS_PER_LANG, MAX_LANGS = 250, 20_000, 16, 400
 RIDGE, SHARPNESS = 1e-2, 6.0
-#: Letters told apart; every other character is a border.
-SYMBOLS = 63
+#: Places that n-grams are hashed to.
+PLACES = 1 << 19
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _any_letter = regex.compile(r"\p{L}").search
 
 
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter; every other character is a border."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def _hashed(x: np.ndarray) -> np.ndarray:
+    return ((x ^ (x >> np.uint64(31))) * _FACTORS[0] >> np.uint64(64 - 19)).astype(np.int64)
+
+
 @dataclass
 class Model:
-    alphabet: np.ndarray  # symbol of each code point of the basic plane
     codes: np.ndarray  # n-gram codes that some landmark has
     landmarks: np.ndarray  # presence, codes x landmarks
     norms: np.ndarray  # distinct n-grams of each landmark
@@ -41,18 +51,18 @@ class Model:
     langs: list[str]
 
     def grams(self, text: str) -> np.ndarray:
-        """Codes of all 1-, 2- and 3-grams, repeats included."""
+        """Codes of all 1-, 2- and 3-grams of letters of any script and borders, repeats included."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = self.alphabet[np.minimum(points, 0xFFFF)]
-        if len(s) < 3:
-            return np.concatenate([s, s[:-1] * 64 + s[1:] + 64]) if len(s) else s
-        two = s[:-1] * 64 + s[1:]
-        three = two[:-1] * 64 + s[2:]
-        return np.concatenate([s, two + 64, three + (64 + 4096)])
+        s = np.where(letters()[points], points, 0).astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            one = s * _FACTORS[0]
+            two = one[:-1] + s[1:] * _FACTORS[1]
+            three = two[:-1] + s[2:] * _FACTORS[2]
+            return _hashed(np.concatenate([one, two, three]))
 
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of presence over ``codes`` and each text's count of distinct n-grams."""
-        seen = np.zeros(64 + 4096 + 64**3, bool)
+        seen = np.zeros(PLACES, bool)
         rows, norms = np.zeros((len(texts), len(self.codes)), np.float32), np.ones(len(texts))
         for i, text in enumerate(texts):
             g = self.grams(text)
@@ -80,14 +90,8 @@ def learn(sample: pd.DataFrame) -> Model | None:
     if sample.empty:
         return None
     langs = sorted(sample["lang"].unique())
-    letters = Counter()
-    for t in sample["text"]:
-        letters.update(set(t.lower()))
-    common = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0])) if c.isalpha() and ord(c) < 0x10000][:SYMBOLS]
-    alphabet = np.zeros(0x10000, np.int32)
-    alphabet[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
     marks = sample.groupby("lang", sort=True).head(LANDMARKS_PER_LANG)["text"].tolist()
-    m = Model(alphabet, np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)), np.zeros(0), langs)
+    m = Model(np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)), np.zeros(0), langs)
     m.codes = np.unique(np.concatenate([m.grams(t) for t in marks]))
     rows, m.norms = m.presence(marks)
     m.landmarks = np.ascontiguousarray(rows.T)
@@ -105,14 +109,14 @@ def learn(sample: pd.DataFrame) -> Model | None:
 def training_sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> pd.DataFrame:
     """About ``rows_per_lang`` rows of each of the ``MAX_LANGS`` commonest languages, chosen by a hash of the id.
 
-    Texts of up to ``MAX_CHARS`` characters; this and the row bound keep what reaches the driver small.
+    The first ``MAX_CHARS`` characters of a row; this and the row bound keep what reaches the driver small.
     """
-    usable = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col).between(1, MAX_CHARS)))
+    usable = docs.filter(F.col(lang_col).isNotNull() & ((F.length(text_col) > 0)))
     counts = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
     rate = F.lit(0.0)
     for r in counts:
         rate = F.when(F.col(lang_col) == r[0], F.lit(rows_per_lang / r[1])).otherwise(rate)
-    picked = usable.filter(share(id_col) < rate).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    picked = usable.filter(share(id_col) < rate).select(F.col(id_col).alias("id"), F.substring(text_col, 1, MAX_CHARS).alias("text"), F.col(lang_col).alias("lang"))
     return picked.limit(3 * rows_per_lang * max(1, len(counts))).toArrow().to_pandas().sort_values(["lang", "id"], kind="stable").reset_index(drop=True)
 
 
@@ -121,11 +125,12 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
 
     Returns the id column, ``lang_pred`` and ``score`` (0 to 1). A null text, a
     text without a letter, and every text when ``train`` is empty get ``und``
-    and 0. Extra columns are ignored; repeated rows are predicted alike.
+    and 0. Texts of any length are read whole; repeated rows and rows without
+    an id are predicted alike; extra columns are ignored; an empty table gives an empty result.
     """
     importable(docs.sparkSession)
     model = learn(training_sample(train, rows_per_lang, id_col, text_col, lang_col))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # size fixed by the landmark and alphabet bounds
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # size fixed by the landmark bounds
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

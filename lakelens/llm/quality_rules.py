@@ -28,8 +28,8 @@ WINDOW = 8
 
 #: Lower-case phrases of boilerplate lines.
 BOILERPLATE = ("all rights reserved", "©", "copyright (c)", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "accept all cookies", "enable javascript", "licensed under ", "released under the ", "sign up for our newsletter", "click here to")
-#: Lines longer than this hold more than one such phrase.
-BOILERPLATE_CHARS = 400
+#: Characters of a line for each such phrase from which the line is text that mentions it.
+CHARS_A_PHRASE = 400
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def base_figures(text: str) -> tuple[int, int, int, int, int]:
 
 def bad_line(line: str, rules: Rules) -> str | None:
     """The first rule that the line fails: boilerplate, navigation, punctuation or repetition; None if it passes."""
-    if len(line) < BOILERPLATE_CHARS and any(map(line.lower().__contains__, BOILERPLATE)):
+    if len(line) < CHARS_A_PHRASE * sum(map(line.lower().__contains__, BOILERPLATE)):
         return "boilerplate"
     if line.count("|") >= rules.nav_separators or line.count(" > ") + line.count(" » ") >= rules.nav_separators:
         return "navigation"

@@ -3,7 +3,7 @@
 Rules are plain Column expressions. Urls that no rule decides are scored with
 one Aho-Corasick pass over the lower-cased url: a term counts where no ASCII
 letter or digit touches it; one strict term, or several distinct soft terms,
-reject the url.
+whose weights reach a limit, reject the url.
 """
 
 from __future__ import annotations
@@ -20,10 +20,31 @@ from .common import importable
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: One of these in a url is enough.
-STRICT = ("porn", "porno", "xxx", "casino", "casinos", "viagra", "cialis", "escort", "escorts", "torrent", "malware", "phishing", "warez")
-#: Weights of terms that are only telling together.
-SOFT = {"adult": 1, "ads": 1, "bet": 1, "bets": 1, "betting": 1, "cheap": 1, "clickbait": 1, "crack": 1, "deal": 1, "deals": 1, "discount": 1, "doubleclick": 1, "farm": 1, "free": 1, "gambling": 1, "loan": 1, "loans": 1, "lottery": 1, "nude": 1, "pills": 1, "poker": 1, "popup": 1, "sex": 1, "slots": 1, "spam": 1, "sponsor": 1, "track": 1, "tracker": 1, "win": 1, "winner": 1}
-SOFT_LIMIT = 2
+STRICT = tuple(
+    """
+    bestiality blackjack bukkake camgirl camgirls casino casinos cialis creampie cumshot escort escorts fleshlight gangbang hardcoresex hentai
+    incest jailbait keygen keygens kamagra levitra malware milf milfs nudes onlinecasino phentermine phishing porn porno pornos pornstar pornstars
+    ransomware serialz sexcam sexcams sexshop slutty spyware sportsbook striptease torrent torrents tramadol upskirt viagra warez xanax xxx
+    """.split()
+)
+#: Weights of terms that are only telling together, 1 for words that clean urls have too, 2 for others.
+SOFT = dict.fromkeys(
+    """
+    action ads banner bargain bet bonus buy cam cams cash cheap click coupon coupons crack credit date dating deal deals discount download earn
+    farm fast finance free gift hot instant link links loan loans lose money offer offers online order outlet pills play popup price prize
+    promo promos rates rich sale sales sexy spin sponsor sponsored stream sweet teen teens track tracker trial unlimited weight win winner winners
+    """.split(),
+    1,
+) | dict.fromkeys(
+    """
+    adult adults affiliate babes betting bets boobs booty clickbait clickbank counterfeit cracked doubleclick erotic erotica fetish forex gambling
+    giveaway hookup jackpot lingerie lottery lotto naked nude nudity nulled payday pharmacy poker replica replicas roulette seo sex slot slots
+    spam steroids swingers topless webcam webcams
+    """.split(),
+    2,
+)
+#: Weight from which at least two distinct soft terms reject.
+SOFT_LIMIT = 3
 
 #: Fixed values of the host-and-path query: rule and verdict.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -69,8 +90,10 @@ class Vocabulary:
         return found & self.strict, {t for t in found - self.strict if t in self.soft}
 
     def rejects(self, url: str) -> bool:
-        strict, soft = self.hits(url)
-        return bool(strict) or sum(self.soft[t] for t in soft) >= self.limit
+        return self.decides(*self.hits(url))
+
+    def decides(self, strict: set[str], soft: set[str]) -> bool:
+        return bool(strict) or len(soft) > 1 and sum(self.soft[t] for t in soft) >= self.limit
 
 
 _LOWERED = str.maketrans(UPPER, LOWER)
@@ -81,8 +104,9 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, vocabulary: Voc
     """Judge every url: id, host, path, rule, verdict, n_strict and n_soft.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule
-    and is judged by its text alone (null: allow). Repeated rows are judged
-    alike; only the two named columns are read, so others cannot clash.
+    and is judged by its text alone (null: allow). A url of any length is read
+    whole. Repeated rows and rows without an id are judged alike; only the two
+    named columns are read, so others cannot clash; an empty table gives an empty result.
     """
     importable(pages.sparkSession)
     rules, voc = RULES if rules is None else rules, vocabulary or Vocabulary()
@@ -93,7 +117,7 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, vocabulary: Voc
         v = Vocabulary(strict, soft, limit)  # one automaton a task
         for urls in parts:
             found = [v.hits(u or "") for u in urls]
-            yield pd.DataFrame({"n_strict": [len(a) for a, _ in found], "n_soft": [len(b) for _, b in found], "rejected": [bool(a) or sum(v.soft[t] for t in b) >= v.limit for a, b in found]})
+            yield pd.DataFrame({"n_strict": [len(a) for a, _ in found], "n_soft": [len(b) for _, b in found], "rejected": [v.decides(a, b) for a, b in found]})
 
     host, path = host_and_path(F.col("url"))
     out = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url")).select(id_col, "url", host.alias("host"), path.alias("path"))
@@ -114,12 +138,14 @@ def oracle_sql() -> str:
         cases.append(f"WHEN (host = {lit(h)} OR ends_with(host, {lit('.' + h)})) AND starts_with(path, {lit('/' + p)}) THEN {lit(rule)}")
     hit = lambda t: f"CAST(regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INT)"
     strict, soft = " + ".join(map(hit, STRICT)), " + ".join(map(hit, SOFT))
+    weight = " + ".join(f"{w} * {hit(t)}" for t, w in SOFT.items() if w != 1)
+    light = " + ".join(hit(t) for t, w in SOFT.items() if w == 1)
     by_rule = " ".join(f"WHEN rule = {lit(r)} THEN {lit(v)}" for r, v in RULES.items())
     return f"""
 WITH a AS (SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS low,
   CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, low, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-c AS (SELECT *, CASE {' '.join(cases)} END AS rule, {strict} AS n_strict, {soft} AS n_soft FROM b)
-SELECT page_id, host, path, rule, CASE {by_rule} WHEN n_strict > 0 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
+c AS (SELECT *, CASE {' '.join(cases)} END AS rule, {strict} AS n_strict, {soft} AS n_soft, {light} + {weight} AS weight FROM b)
+SELECT page_id, host, path, rule, CASE {by_rule} WHEN n_strict > 0 OR (n_soft > 1 AND weight >= {SOFT_LIMIT}) THEN 'block' ELSE 'allow' END AS verdict,
   CAST(n_strict AS INT) AS n_strict, CAST(n_soft AS INT) AS n_soft FROM c"""

@@ -229,7 +229,9 @@ def test_line_dedup_edges(spark):
 
 def test_url_boundaries_and_weights():
     v = url_filter.Vocabulary()
-    assert v.rejects("http://x.com/CASINO-1") and not v.rejects("http://casinox.com/") and not v.rejects("http://cheap.com/cheap") and v.rejects("http://cheap-pills.com/")
+    assert v.rejects("http://x.com/CASINO-1") and not v.rejects("http://casinox.com/") and not v.rejects("http://cheap.com/cheap") and v.rejects("http://cheap-poker.com/")
+    # two words that clean urls have too weigh too little, three weigh enough; a heavy word alone is one hit
+    assert not v.rejects("http://cheap-pills.com/") and v.rejects("http://cheap-pills.com/free") and not v.rejects("http://poker.com/poker") and v.rejects("http://poker.com/roulette")
 
 
 def test_url_edges(spark):
@@ -239,6 +241,14 @@ def test_url_edges(spark):
     assert got[5] == ("x.example.org", "/es/1", "example.org/es/", "block") and got[6][2:] == ("example.org/en/1", "block") and got[7] == ("org:80", "/", None, "allow")
 
 
+def test_url_long_empty_and_repeated(spark):
+    rows = [(1, "http://a.com/" + "x/" * 100_000 + "casino"), (2, "http://a.com/" + "casinox/" * 50_000), (3, "http://a.com/poker-free"), (3, "http://a.com/poker-free"), (None, "http://a.com/xxx")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = sorted((str(r.page_id), r.verdict, r.n_strict, r.n_soft) for r in url_filter.judge(pages).collect())
+    assert got == [("1", "block", 1, 0), ("2", "allow", 0, 0), ("3", "block", 0, 2), ("3", "block", 0, 2), ("None", "block", 1, 0)]
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
 # -- op5
 
 
@@ -267,6 +277,48 @@ def test_quality_figures(spark, sf):
         assert quality_rules.base_figures(t or "") == brute_figures(t)
 
 
+def brute_verdict(text):
+    """The line rules once more, written from their statement: kept, lost share, bad lines."""
+    text = text or ""
+    bad, lost, total = 0, 0, 0
+    for line in text.split("\n"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if not words:
+            continue
+        size, low = sum(map(len, words)), line.strip(" \t\n\x0b\x0c\r").lower()
+        total += size
+        phrases = sum(p in low for p in quality_rules.BOILERPLATE)
+        letters = [c for c in line if c.isalpha()]
+        fails = [
+            phrases and len(line.strip(" \t\n\x0b\x0c\r")) < 400 * phrases,
+            line.count("|") >= 3 or line.count(" > ") + line.count(" \u00bb ") >= 3,
+            sum(bool(set(w) & set("#*$%&|<>")) for w in words) > 0.3 * len(words),
+            len(re.findall("!!", line)) + len(re.findall(r"\?\?\?", line)) > 0.3 * len(words),
+            len(letters) >= 20 and line.upper() == line and line.lower() != line,
+            len(words) >= 10 and sum(a == b for a, b in zip(words, words[1:])) > 0.5 * len(words),
+        ]
+        if any(fails):
+            bad, lost = bad + 1, lost + size
+    base = brute_figures(text)
+    share = lost / total if total else 0.0
+    return not (base[0] < 20 or 100 * base[4] > 30 * base[0]) and share <= 0.5, round(share, 9), bad
+
+
+def test_quality_verdict(spark, sf):
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    got = {r.doc_id: (r.kept, round(r.lost_share, 9), r.n_bad_lines) for r in queries.op5_quality_rules(spark, sf).collect()}
+    assert got == {i: brute_verdict(t) for i, t in texts.items()} and sum(b for _, _, b in got.values()) > 20
+    phrases = "All rights reserved. Privacy policy. Terms of use. " + "Words about it. " * 40
+    good = "A line of plain words that says enough to be kept by every rule there is, and then says a little more. "
+    odd_ones = [phrases, good + phrases * 2, "a | b | c | d\n" + good, "LOUD LOUD LOUD LOUD LOUD LOUD\n" + good * 2, good.replace(" ", " # "), "Home > A > B > C", *EDGE]
+    got = sorted(((r.doc_id, r.kept, round(r.lost_share, 9), r.n_bad_lines) for r in quality_rules.judge(docs(spark, odd_ones)).collect()))
+    assert got == [(i, *brute_verdict(t)) for i, t in enumerate(odd_ones)]
+    same = [(None, good), (5, good), (5, good), (6, None), (7, "")]
+    got = sorted((str(r.doc_id), r.n_words, r.kept, r.clean_text) for r in quality_rules.judge(spark.createDataFrame(same, "doc_id long, text string").withColumn("kept", F.lit(1))).collect())
+    n = len(good.split())
+    assert got == [("5", n, True, good), ("5", n, True, good), ("6", 0, False, ""), ("7", 0, False, ""), ("None", n, True, good)]
+
+
 def test_quality_keeps_clean_and_drops_junk(spark, sf):
     labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
     got = [(labels[r.doc_id], r.kept, r.base_failed) for r in queries.op5_quality_rules(spark, sf).collect() if r.doc_id in labels]
@@ -296,6 +348,30 @@ def test_language_edges(spark, sf):
     assert {r.lang_pred for r in langid.identify(docs(spark, ["hello there"]), train.limit(0)).collect()} == {"und"}
 
 
+def test_language_kernel_against_brute_force():
+    """Presence kernels by hashed codes and matrix products against sets of n-grams, of several scripts."""
+    import pandas as pd
+
+    texts = ["the cat sat on the mat", "der hund und die katze", "это русский текст", "这是 中文 文本", "𐐷𐐲 deseret", "x"]
+    m = langid.learn(pd.DataFrame({"text": texts, "lang": ["en", "de", "ru", "zh", "ds", "xx"]}))
+
+    def grams(t):
+        s = "".join(c if c.isalpha() else "\0" for c in t.lower())
+        return {s[i : i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1)}
+
+    want = np.array([[len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5 for b in texts] for a in texts])
+    assert np.allclose(m.kernel(texts), want, atol=0.02)
+    best, _ = m.predict(["русский", "中文", "the cat"])
+    assert [m.langs[k] for k in best] == ["ru", "zh", "en"]
+
+
+def test_language_and_quality_of_empty_tables(spark, sf):
+    d, train, labels = docs(spark, ["hello there"]), table(spark, sf, "documents"), table(spark, sf, "labels")
+    assert langid.identify(d.limit(0), train).count() == 0 and quality_gam.score(d.limit(0), train, labels).count() == 0
+    long_rows = spark.createDataFrame([(i, "palavra longa aqui " * 3000, "pt", "s", 1) for i in range(4)], DOCS)
+    assert {r.lang_pred for r in langid.identify(docs(spark, ["palavra longa aqui"]), train.unionByName(long_rows)).collect()} == {"pt"}
+
+
 def test_quality_scores_held_out(spark, sf):
     labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
     got = [r for r in queries.op8_quality_gam(spark, sf).collect() if r.held_out and r.doc_id in labels]
