@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot, haversine_m, ranked, unit, valid_point
-from ..functions.session import small
+from ..functions.session import small, written
+from .dedup import components
 
 HOUR, DAY = 3600, 86_400
 
@@ -129,19 +130,19 @@ def identified(vectors: DataFrame, centre: DataFrame, threshold: float = 0.45, l
 def _lead(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
-        sums: list[np.ndarray] = []
-        units = np.zeros((0, 0))
+        rows = np.vstack(pdf["embedding"].to_list()).astype(float) if len(pdf) else np.zeros((0, 1))
+        sums = np.zeros((min(16, max(1, len(rows))), rows.shape[1]))
+        units, n = np.zeros_like(sums), 0
         leader, of = [], []
-        for i, v in zip(pdf["vec_id"], pdf["embedding"]):
-            v = np.asarray(v, float)
-            s = units @ v if len(units) else np.zeros(0)
-            k = int(s.argmax()) if len(s) else -1
+        for i, v in zip(pdf["vec_id"], rows):
+            s = units[:n] @ v
+            k = int(s.argmax()) if n else -1
             if k < 0 or s[k] < threshold:
-                k = len(sums)
-                sums.append(np.zeros_like(v))
-                units = np.vstack([units, np.zeros((1, len(v)))]) if len(units) else np.zeros((1, len(v)))
+                if n == len(sums):  # room doubles
+                    sums, units = (np.concatenate([x, np.zeros_like(x)]) for x in (sums, units))
+                k, n = n, n + 1
                 leader.append(i)
-            sums[k] = sums[k] + v
+            sums[k] += v
             units[k] = sums[k] / (np.linalg.norm(sums[k]) or 1)
             of.append(leader[k])
         return pd.DataFrame({"block": pdf["block"], "vec_id": pdf["vec_id"], "cluster": of})
@@ -158,6 +159,52 @@ def leader_clusters(vectors: DataFrame, block: str, threshold: float = 0.45) ->
     return src.groupBy("block").applyInPandas(_lead(threshold), "block long, vec_id long, cluster long")
 
 
+def block_planes(rows: int, block_rows: int) -> int:
+    """Planes that cut so many rows into blocks of about ``block_rows``; none if one block holds all."""
+    return max(0, (max(1, rows) - 1).bit_length() - (block_rows - 1).bit_length())
+
+
+def global_clusters(vectors: DataFrame, threshold: float = 0.45, block_rows: int = 8192, seed: int = 11) -> DataFrame:
+    """Leader clusters of all vectors: (block = 0, vec_id, cluster = smallest leader id).
+
+    Up to ``block_rows`` vectors are clustered in id order, as in one pass.
+    More are dealt into blocks by the signs of random projections, so that like
+    vectors meet; an uneven block is dealt again by hash, so that no task
+    holds more than about that many. Clusters of different blocks become one
+    if their centroids reach the threshold and lie in one cell of the
+    projections or in two that differ in one sign.
+    """
+    planes = block_planes(vectors.count(), block_rows)
+    v = vectors.select("vec_id", "embedding")
+    if not planes:
+        return leader_clusters(v.withColumn("block", F.lit(0)), "block", threshold)
+    cell = sign_cells(planes, seed)
+    v = written(v.withColumn("cell", cell(F.col("embedding").cast("array<double>"))), "cells")
+    parts = v.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))  # at most 2^planes rows
+    dealt = v.join(F.broadcast(parts), "cell").withColumn("block", F.xxhash64("cell", F.pmod(F.xxhash64("vec_id"), "parts")))
+    found = written(leader_clusters(dealt, "block", threshold).select("vec_id", "cluster"), "leaders")
+    centre = written(centroids(found.join(v.select("vec_id", "embedding"), "vec_id"), "cluster").withColumn("cell", cell("c")), "centres")
+    probe = F.array(F.col("cell"), *[F.col("cell").bitwiseXOR(F.lit(1 << k)) for k in range(planes)])
+    x, y = centre.select(F.col("cluster").alias("a"), F.col("c").alias("ca"), F.explode(probe).alias("cell")), centre.select(F.col("cluster").alias("b"), F.col("c").alias("cb"), "cell")
+    near = x.join(y, "cell").filter((F.col("a") < F.col("b")) & (dot(F.col("ca"), F.col("cb")) >= threshold)).select("a", "b")
+    root = components(centre.select(F.col("cluster").alias("id")), near)
+    return found.join(root.select(F.col("id").alias("cluster"), "root"), "cluster").select(F.lit(0).cast("long").alias("block"), "vec_id", F.col("root").alias("cluster"))
+
+
+def sign_cells(planes: int, seed: int):
+    """A vectorised function: the cell of a vector by the signs of random projections."""
+
+    @F.pandas_udf("int")
+    def cells(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype="int32")
+        rows = np.vstack(vectors.to_list())
+        normals = np.random.default_rng(seed).standard_normal((rows.shape[1], planes))
+        return pd.Series(((rows @ normals > 0) @ (1 << np.arange(planes))).astype("int32"))
+
+    return cells
+
+
 def identities(clusters: DataFrame, least: int = 2) -> DataFrame:
     """Clusters of at least two, numbered by size."""
     c = clusters.groupBy("block", "cluster").agg(F.count("*").alias("size")).filter(F.col("size") >= least)

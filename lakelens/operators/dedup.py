@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.session import written
 
-#: Bits of each band of a 64-bit fingerprint: fingerprints up to 8 bits apart agree on one of nine bands.
-BANDS = (7,) * 8 + (8,)
+#: Bits of each band of a 64-bit fingerprint: of fingerprints up to 9 bits apart one band differs in at most one.
+BANDS = (13, 13, 13, 13, 12)
 
 
 def survivors(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,11 +55,12 @@ def simhash(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
     return sums.select("id", fp.alias("fp"))
 
 
-def bands(fp: Column) -> Column:
-    """(band, key) structs of a fingerprint."""
+def bands(fp: Column, near: bool = False) -> Column:
+    """(band, key) structs of a fingerprint; with ``near`` also those of keys that differ in one bit."""
     out, at = [], 0
     for i, width in enumerate(BANDS):
-        out.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)).alias("key")))
+        key = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
+        out += [F.struct(F.lit(i).alias("band"), k.alias("key")) for k in [key, *([key.bitwiseXOR(F.lit(1 << b)) for b in range(width)] if near else [])]]
         at += width
     return F.array(*out)
 
@@ -67,14 +68,16 @@ def bands(fp: Column) -> Column:
 def near_pairs(prints: DataFrame, max_distance: int = 8) -> DataFrame:
     """(a, b, distance) of distinct fingerprints at most ``max_distance`` bits apart, a < b.
 
-    Nine bands find every pair up to 8 bits; a larger distance is refused. Equal
-    fingerprints are one fingerprint here, so a large group of copies makes no pairs.
+    Of five bands one differs in a bit at most if the fingerprints differ in up
+    to nine; a larger distance is refused. One side is indexed by its own keys,
+    the other looks up all keys one bit away. Equal fingerprints are one
+    fingerprint here, so a large group of copies makes no pairs.
     """
-    if max_distance >= len(BANDS):
-        raise ValueError(f"{len(BANDS)} bands find distances up to {len(BANDS) - 1}")
+    if max_distance >= 2 * len(BANDS) - 1:
+        raise ValueError(f"{len(BANDS)} bands find distances up to {2 * len(BANDS) - 2}")
     fps = prints.groupBy("fp").agg(F.min("id").alias("id"))
-    keyed = fps.select("id", "fp", F.explode(bands(F.col("fp"))).alias("x")).select("id", "fp", "x.band", "x.key")
-    a, b = keyed.alias("a"), keyed.alias("b")
+    keyed = lambda near: fps.select("id", "fp", F.explode(bands(F.col("fp"), near)).alias("x")).select("id", "fp", "x.band", "x.key")
+    a, b = keyed(True).alias("a"), keyed(False).alias("b")
     dist = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
     on = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (dist <= max_distance)
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), dist.alias("distance")).distinct()

@@ -67,9 +67,13 @@ def retry_state(files: DataFrame, failed: Column, now_s: int, most: int = 6, bas
     return files.select("id", n.alias("attempts"), terminal.alias("terminal"), due.alias("due_s"))
 
 
+#: Fixed value: a path through a temporary folder.
+TEMPORARY = r"[/\\][^\s'\"\]]*(?:cache|tmp)[/\\][^\s'\"\]]+"
+
+
 def error_fingerprint(message: Column) -> Column:
-    """Hash of a message without the parts that change: temporary paths and numbers."""
-    return F.sha2(F.regexp_replace(F.regexp_replace(message, r"/tmp/[^\s'\"]+", "<tmp>"), r"[0-9]+", "#"), 256)
+    """Hash of a message without paths through a folder whose name ends in cache or tmp; all else tells errors apart."""
+    return F.sha2(F.regexp_replace(message, TEMPORARY, "<temporary>"), 256)
 
 
 def final_status(files: DataFrame, chunk_counts: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def _(t):
 
 
 def _clusters(t):
-    return c.leader_clusters(t.embeddings.withColumn("block", F.col("vec_id") % 8), "block", 0.3)
+    return c.global_clusters(t.embeddings, 0.3)
 
 
 @query("e9_leader_clusters")
@@ -126,9 +126,9 @@ def _(t):
     return c.identity_rollup(_faces(t), [2])
 
 
-@query("e11_identity_members", f"SELECT identity, file_id, face_id, CAST(k AS INT) AS place FROM (SELECT f.*, row_number() OVER (PARTITION BY identity ORDER BY mtime_s DESC, file_id) AS k FROM (SELECT identity, file_id, min(face_id) AS face_id FROM ({FACES}) x GROUP BY 1, 2) f JOIN files_v v ON v.id = f.file_id) y WHERE k <= 5")
+@query("e11_identity_members", f"SELECT identity, file_id, face_id, CAST(k AS INT) AS place FROM (SELECT f.*, row_number() OVER (PARTITION BY identity ORDER BY mtime_s DESC, file_id) AS k FROM (SELECT identity, file_id, min(face_id) AS face_id FROM ({FACES}) x GROUP BY 1, 2) f JOIN files_v v ON v.id = f.file_id) y WHERE k <= 500")
 def _(t):
-    return c.identity_members(_faces(t), t.files_v, 5).select("identity", "file_id", "face_id", "place")
+    return c.identity_members(_faces(t), t.files_v).select("identity", "file_id", "face_id", "place")
 
 
 @query("e12_merged", "SELECT DISTINCT CAST(CASE WHEN library_id IN (3, 4) THEN 1 ELSE library_id END AS BIGINT) AS group_id, id FROM files_v")

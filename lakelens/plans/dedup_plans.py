@@ -15,9 +15,9 @@ def _(t):
     return d.exact_groups(t.files_v).select("id", "size", "content_hash")
 
 
-@query("d2_quick_hash", "SELECT id, sha256(concat(CAST(size AS STRING), '|', substr(text, 1, 1000), '|', CASE WHEN length(text) > 2000 THEN right(text, 1000) ELSE '' END)) AS h FROM files_v")
+@query("d2_quick_hash", "SELECT id, sha256(concat(CAST(size AS STRING), '|', substr(text, 1, 1048576), '|', CASE WHEN length(text) > 2097152 THEN right(text, 1048576) ELSE '' END)) AS h FROM files_v")
 def _(t):
-    return t.files_v.select("id", d.quick_hash(F.col("size"), F.col("text"), 1000).alias("h"))
+    return t.files_v.select("id", d.quick_hash(F.col("size"), F.col("text")).alias("h"))
 
 
 @query("d3_report", "SELECT content_hash, size, count(*) AS member_count, (count(*) - 1) * size AS reclaimable, string_agg(CAST(id AS STRING), ',' ORDER BY mtime_s, id) AS members FROM files_v WHERE size > 0 GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY reclaimable DESC, content_hash LIMIT 25")
@@ -72,7 +72,7 @@ def _(t):
 
 @query("d8_report")
 def _(t):
-    return d.group_report(d.similar_groups(_prints(t)), t.files_v.filter("library_id < 12"))
+    return d.group_report(d.similar_groups(_prints(t)), t.files_v)
 
 
 @query("d9_refreshed", f"SELECT content_hash AS group_id, id FROM (SELECT *, count(*) OVER (PARTITION BY content_hash, size) AS n FROM ({DUPS}) x WHERE id % 3 <> 0) y WHERE n > 1")

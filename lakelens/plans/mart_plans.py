@@ -43,14 +43,14 @@ def _(t):
     return m.member_list(t.members_v).select("project_id", "user_id", "place")
 
 
-@query("g5_folders", "SELECT f.id, count(a.id) AS assets FROM (SELECT DISTINCT id FROM files_v WHERE id < 12) f LEFT JOIN assets_v a ON a.folder_id = f.id GROUP BY 1")
+@query("g5_folders", "SELECT f.id, count(a.id) AS assets FROM (SELECT DISTINCT id FROM files_v) f LEFT JOIN assets_v a ON a.folder_id = f.id GROUP BY 1")
 def _(t):
-    return m.folder_counts(t.files_v.filter("id < 12").select("id").distinct(), t.assets_v)
+    return m.folder_counts(t.files_v.select("id").distinct(), t.assets_v)
 
 
-@query("g6_subtree", "WITH RECURSIVE f AS (SELECT id, CASE WHEN id > 0 THEN id // 4 END AS parent_id FROM files_v WHERE id < 300), t(id, depth) AS (SELECT id, 0 FROM f WHERE id = 3 UNION ALL SELECT f.id, t.depth + 1 FROM f JOIN t ON f.parent_id = t.id) SELECT id, CAST(depth AS INT) AS depth FROM t")
+@query("g6_subtree", "WITH RECURSIVE f AS (SELECT id, CASE WHEN id > 0 THEN id // 4 END AS parent_id FROM files_v), t(id, depth) AS (SELECT id, 0 FROM f WHERE id = 3 UNION ALL SELECT f.id, t.depth + 1 FROM f JOIN t ON f.parent_id = t.id) SELECT id, CAST(depth AS INT) AS depth FROM t")
 def _(t):
-    return m.folder_subtree(t.files_v.filter("id < 300").selectExpr("id", "CASE WHEN id > 0 THEN id div 4 END AS parent_id"), 3)
+    return m.folder_subtree(t.files_v.selectExpr("id", "CASE WHEN id > 0 THEN id div 4 END AS parent_id"), 3)
 
 
 ALIST = """SELECT a.id AS asset_id, a.project_id, a.title, coalesce(a.cover_version_id, v.newest) AS version_id, coalesce(v.n, 0) AS versions, coalesce(c.n, 0) AS open_comments, w.user_name AS assignee FROM assets_v a
@@ -201,10 +201,10 @@ def _(t):
     return joined(m.brief_summary(t.versions_v, t.comments_v, 2), listed=lambda x: x.cast("string"))
 
 
-@query("g27_detail", "SELECT f.id, name, kind, md5(substr(text, 1, 200)) AS text, EXISTS (SELECT 1 FROM feedback_v b WHERE b.file_id = f.id AND verdict = 'relevant') AS favorite, coalesce(c.n, 0) AS chunks, coalesce(g.tags, '') AS tags FROM files_v f LEFT JOIN (SELECT file_id, least(count(*), 3) AS n FROM vectors_v GROUP BY 1) c ON c.file_id = f.id LEFT JOIN (SELECT file_id, string_agg(tag, ',' ORDER BY lower(tag), tag) AS tags FROM (SELECT DISTINCT * FROM tags_v) x GROUP BY 1) g ON g.file_id = f.id")
+@query("g27_detail", "SELECT f.id, name, kind, md5(substr(text, 1, 200000)) AS text, EXISTS (SELECT 1 FROM feedback_v b WHERE b.file_id = f.id AND verdict = 'relevant') AS favorite, coalesce(c.n, 0) AS chunks, coalesce(g.tags, '') AS tags FROM files_v f LEFT JOIN (SELECT file_id, least(count(*), 100) AS n FROM vectors_v GROUP BY 1) c ON c.file_id = f.id LEFT JOIN (SELECT file_id, string_agg(tag, ',' ORDER BY lower(tag), tag) AS tags FROM (SELECT DISTINCT * FROM tags_v) x GROUP BY 1) g ON g.file_id = f.id")
 def _(t):
     chunks = t.vectors_v.select("file_id", "chunk_index", F.col("vec_id").alias("content"))
-    out = m.file_detail(t.files_v, chunks, t.feedback_v.filter("verdict = 'relevant'"), t.tags_v, 3, 200)
+    out = m.file_detail(t.files_v, chunks, t.feedback_v.filter("verdict = 'relevant'"), t.tags_v)
     return out.select("id", "name", "kind", F.md5("text").alias("text"), "favorite", F.coalesce(F.size("chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.array_join("tags", ","), F.lit("")).alias("tags"))
 
 

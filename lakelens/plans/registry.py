@@ -25,13 +25,13 @@ class Tables:
         return view(self.spark, self.sf_dir, name)
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``f(tables) -> DataFrame`` under a name."""
+def query(name: str, sql: str | None = None, raw: bool = False):
+    """Register ``f(tables) -> DataFrame`` under a name; ``raw``: the SQL is in DuckDB's dialect with its views."""
 
     def register(f):
         PLANS[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            SQL[name] = duckdb_sql(sql)
+            SQL[name] = sql if raw else duckdb_sql(sql)
         return f
 
     return register

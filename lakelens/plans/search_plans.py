@@ -259,37 +259,36 @@ def _samples(t):
 MOM = "s AS (SELECT event_id % 1000 AS file_id, event_id % 2 AS query_id, user_id * 0.5 AS start_time, event_id * 7 % 97 / 97.0 AS score FROM events JOIN files_v f ON f.id = event_id % 1000 WHERE event_id % 13 <> 0 AND user_id * 0.5 <= f.size / 100.0), d AS (SELECT query_id, file_id, start_time, max(score) AS score FROM s GROUP BY 1, 2, 3)"
 
 
-@query("c27_moments", f"WITH {MOM} SELECT query_id, file_id, start_time, round(score, 6) AS score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, start_time) AS place FROM d) x WHERE place <= 3")
+@query("c27_moments", f"WITH {MOM} SELECT query_id, file_id, start_time, round(score, 6) AS score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, start_time) AS place FROM d) x WHERE place <= 12")
 def _(t):
-    return r.moments(*_samples(t), 3).select("query_id", "file_id", "start_time", F.round("score", 6).alias("score"), "place")
+    return r.moments(*_samples(t), 12).select("query_id", "file_id", "start_time", F.round("score", 6).alias("score"), "place")
 
 
-KEPT = f"WITH {MOM}, k AS (SELECT query_id, file_id, start_time, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, start_time) AS place FROM d) x WHERE place <= 3)"
+KEPT = f"WITH {MOM}, k AS (SELECT query_id, file_id, start_time, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, start_time) AS place FROM d) x WHERE place <= 12)"
 
 
-@query("c28_refined", KEPT + ", e AS (SELECT query_id, file_id, start_time + CASE WHEN file_id % 2 = 0 THEN 0.125 ELSE 0.25 END AS start_time, score - 0.001 AS score FROM k), u AS (SELECT * FROM k UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = e.query_id AND k.file_id = e.file_id AND abs(k.start_time - e.start_time) < 0.15)) SELECT query_id, file_id, start_time, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, start_time) AS place FROM u) x WHERE place <= 4")
+@query("c28_refined", KEPT + ", e AS (SELECT query_id, file_id, start_time + CASE WHEN file_id % 2 = 0 THEN 0.125 ELSE 0.25 END AS start_time, score - 0.001 AS score FROM k), u AS (SELECT * FROM k UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = e.query_id AND k.file_id = e.file_id AND abs(k.start_time - e.start_time) < 0.15)) SELECT query_id, file_id, start_time, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, start_time) AS place FROM u) x WHERE place <= 16")
 def _(t):
-    kept = r.moments(*_samples(t), 3).select("query_id", "file_id", "start_time", "score")
+    kept = r.moments(*_samples(t), 12).select("query_id", "file_id", "start_time", "score")
     extra = kept.select("query_id", "file_id", (F.col("start_time") + F.when(F.col("file_id") % 2 == 0, 0.125).otherwise(0.25)).alias("start_time"), (F.col("score") - 0.001).alias("score"))
-    return r.refined(kept, extra, ["query_id", "file_id"], cap=4).select("query_id", "file_id", "start_time", F.round("score", 6).alias("score"))
+    return r.refined(kept, extra, ["query_id", "file_id"], cap=16).select("query_id", "file_id", "start_time", F.round("score", 6).alias("score"))
 
 
 @query("c29_confirmed", KEPT + ", n AS (SELECT query_id, file_id, min(start_time) + CASE WHEN file_id % 2 = 0 THEN 0.0005 ELSE 0.01 END AS start_time FROM k WHERE file_id % 3 = 0 GROUP BY query_id, file_id), u AS (SELECT query_id, file_id, start_time, NULL AS score, TRUE AS human FROM n UNION ALL SELECT *, FALSE FROM k WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.query_id = k.query_id AND n.file_id = k.file_id AND abs(n.start_time - k.start_time) <= 0.001)) SELECT query_id, file_id, round(start_time, 6) AS start_time, human, CAST(row_number() OVER (PARTITION BY query_id, file_id ORDER BY human DESC, score DESC NULLS LAST, start_time) AS INT) AS place FROM u")
 def _(t):
-    kept = r.moments(*_samples(t), 3).select("query_id", "file_id", "start_time", "score")
+    kept = r.moments(*_samples(t), 12).select("query_id", "file_id", "start_time", "score")
     notes = kept.filter("file_id % 3 = 0").groupBy("query_id", "file_id").agg(F.min("start_time").alias("m")).select("query_id", "file_id", (F.col("m") + F.when(F.col("file_id") % 2 == 0, 0.0005).otherwise(0.01)).alias("start_time"))
     return r.confirmed(kept, notes, ["query_id", "file_id"]).select("query_id", "file_id", F.round("start_time", 6).alias("start_time"), "human", "place")
 
 
 @query("c30_saved_searches")
 def _(t):
-    files = t.files_v.filter("library_id < 10")
-    return r.search(files, _queries(t), _sem(t).join(files.select("id"), "id", "left_semi"), page=r.Page(5))
+    return r.search(t.files_v, _queries(t), _sem(t).join(t.files_v.select("id"), "id", "left_semi"), page=r.Page(5))
 
 
 def _cands(t):
     i = F.col("event_id")
-    return t.events.filter("event_id % 40 < 12").select(
+    return t.events.select(
         F.floor(i / 40).alias("query_id"), i.alias("id"), (i % 40).cast("int").alias("rank"), ((i * 13 % 100) / 100.0).alias("confidence"), ((i * 7 % 5) / 4.0).alias("coverage"), (i % 80 < 3).alias("reranked"), F.when(i % 9 == 0, "无关").otherwise("").alias("reason"),
     )
 
@@ -304,13 +303,9 @@ def _(t):
     return a.select_sources(_cands(t), least=2).select("query_id", "id", "place")
 
 
-@query("c32_focused", """
-WITH d AS (SELECT doc_id AS id, text FROM documents WHERE NOT regexp_matches(text, '[!?;]')), s AS (SELECT id, generate_subscripts(p, 1) AS i, unnest(p) AS x FROM (SELECT id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM d) z),
-h AS (SELECT *, contains(lower(x), 'idiot') OR contains(lower(x), 'license') AS hit FROM s), w AS (SELECT *, lead(hit) OVER o AS nx, lag(hit) OVER o AS pv, count(*) FILTER (hit) OVER (PARTITION BY id) AS n FROM h WINDOW o AS (PARTITION BY id ORDER BY i)),
-f AS (SELECT id, substr(string_agg(x, '' ORDER BY i), 1, 1000) AS e FROM w WHERE n > 0 AND (hit OR coalesce(nx, FALSE) OR (n = 1 AND coalesce(pv, FALSE))) GROUP BY 1)
-SELECT d.id, md5(coalesce(e, text)) AS evidence FROM d LEFT JOIN f ON f.id = d.id""")
+@query("c32_focused")
 def _(t):
-    s = t.documents.filter("NOT text RLIKE '[!?;]'").select(F.col("doc_id").alias("id"), F.col("text").alias("evidence"), F.array(F.lit("Idiot"), F.lit("license")).alias("terms"))
+    s = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("evidence"), F.array(F.lit("Idiot"), F.lit("license")).alias("terms"))
     return a.focused(s).select("id", F.md5("evidence").alias("evidence"))
 
 

@@ -50,9 +50,9 @@ def _(t):
     return s.retry_state(t.files_v, F.col("status") == "error", NOW)
 
 
-@query("f7_error_fingerprints", "SELECT sha256('cannot read <tmp> of ' || kind || ' #') AS fp, count(*) AS n FROM files_v WHERE status = 'error' GROUP BY 1")
+@query("f7_error_fingerprints", "SELECT sha256('cannot read <temporary> of ' || kind || ' ' || CAST(id % 9 AS STRING)) AS fp, count(*) AS n FROM files_v WHERE status = 'error' GROUP BY 1")
 def _(t):
-    msg = F.concat(F.lit("cannot read /tmp/job-"), "id", F.lit("/x of "), "kind", F.lit(" "), "id")
+    msg = F.concat(F.when(F.col("id") % 2 == 0, "cannot read /data/tmp/job-").otherwise("cannot read \\srv\\my-cache\\"), "id", F.lit("/x of "), "kind", F.lit(" "), F.col("id") % 9)
     return t.files_v.filter("status = 'error'").groupBy(s.error_fingerprint(msg).alias("fp")).agg(F.count("*").alias("n"))
 
 
@@ -238,10 +238,10 @@ def _(t):
     return _eval(t)
 
 
-@query("f21_answer_evaluation", "SELECT doc_id AS id, doc_id % 3 <> 0 AS source_hit, doc_id % 4 <> 3 AS enough, round((CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'zebra') AS INT)) / 2.0, 6) AS coverage, doc_id % 5 <> 1 AS valid_citations, doc_id % 3 <> 0 AND doc_id % 4 <> 3 AND contains(lower(text), 'the') AND doc_id % 5 <> 1 AS passed FROM documents WHERE NOT contains(text, '[')")
+@query("f21_answer_evaluation", "SELECT doc_id AS id, doc_id % 3 <> 0 AS source_hit, doc_id % 4 <> 3 AS enough, round((CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'zebra') AS INT)) / 2.0, 6) AS coverage, doc_id % 5 <> 1 AS valid_citations, doc_id % 3 <> 0 AND doc_id % 4 <> 3 AND contains(lower(text), 'the') AND doc_id % 5 <> 1 AS passed FROM documents")
 def _(t):
     i = F.col("doc_id")
-    a = t.documents.filter("NOT contains(text, '[')").select(
+    a = t.documents.select(
         i.alias("id"), F.concat(F.when(i % 5 == 1, "see [9] ").otherwise("see [1] "), "text").alias("answer"), F.when(i % 4 == 3, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("sources"),
         F.when(i % 3 == 0, F.array(F.lit("z"))).otherwise(F.array(F.lit("a"))).alias("expected_sources"), F.array(F.lit("The"), F.lit("zebra")).alias("terms"), F.lit(2).alias("least_sources"),
     )

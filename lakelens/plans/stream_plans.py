@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.session import shared_dir
 from ..streaming import operators as s
-from .registry import query
+from .registry import SQL, query
 
 T = "@epoch(ts)"
 
@@ -37,6 +37,12 @@ def _(t):
     return s.signature_changes(t.events.selectExpr("user_id % 10 AS library_id", "event_id AS t", "event_id div 37 % 3 AS signature"))
 
 
+@query("s2_signature_changes_stream", SQL["s2_signature_changes"], raw=True)
+def _(t):
+    rows = _stream(t).selectExpr("user_id % 10 AS library_id", "event_id AS t", "event_id div 37 % 3 AS signature")
+    return _run(t, s.signature_changes_stream(rows))
+
+
 _RULES = [(1, 1, 1, [("kind", "image")]), (2, 2, 1, [("min_size", "3000")]), (3, 3, 0, []), (4, 4, 1, [("extension", "txt")])]
 
 
@@ -138,3 +144,13 @@ def _(t):
 def _(t):
     groups = t.files_v.filter("id % 25 <> 3").select((F.col("id") % 100).alias("group_id"), "id")
     return s.batch_upsert(t.files_v, t.catalog_v, groups)[1].select("group_id", "id")
+
+
+@query("s11_upsert_stream", "WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) x WHERE k = 1) SELECT concat('u', CAST(user_id AS STRING)) AS path, event_id AS size FROM l")
+def _(t):
+    """The newest scan row of each path, late rows of one micro-batch included, through snapshots."""
+    at = f"{shared_dir(t.spark)}/lakelens/upsert-{uuid.uuid4().hex}"
+    rows = _stream(t).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), (F.col("user_id") % 10).alias("library_id"), F.col("event_id").alias("size"), F.col("event_id").alias("mtime_s"))
+    q = rows.writeStream.foreachBatch(s.catalog_upsert(f"{at}/catalog")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.parquet(f"{at}/catalog/{s.finished(t.spark, f'{at}/catalog')[-1]}").select("path", "size")

@@ -51,17 +51,17 @@ SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'index' WHEN 1 THEN 'sc
   CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_custkey % 20 AS library_id, o_custkey % 50 AS user_id,
   @epoch(o_orderdate) AS created_s, @epoch(o_orderdate) + 60 AS started_s, @epoch(o_orderdate) + 60 + o_orderkey % 900 AS finished_s,
   CAST(floor(o_totalprice) AS BIGINT) % 500 AS work_total, CAST(floor(o_totalprice) AS BIGINT) % 400 AS work_done FROM orders""",
-    "projects_v": "SELECT c_custkey AS id, c_name AS name, c_nationkey % 50 AS owner_id, c_mktsegment AS segment, 1600000000 + c_custkey * 60 AS updated_s FROM customer WHERE c_custkey % 5 = 0",
-    "members_v": "SELECT c.c_custkey AS project_id, n.n_nationkey AS user_id, n.n_name AS user_name, CASE n.n_nationkey % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'editor' ELSE 'manager' END AS role FROM customer c JOIN nation n ON (c.c_custkey + n.n_nationkey) % 6 = 0 WHERE c.c_custkey % 5 = 0",
-    "assets_v": "SELECT o_orderkey AS id, o_custkey AS project_id, concat('asset ', CAST(o_orderkey AS STRING)) AS title, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 7 END AS folder_id, CASE o_orderkey % 6 WHEN 0 THEN 'todo' WHEN 1 THEN 'doing' WHEN 2 THEN 'done' ELSE 'unknown' END AS status_name, o_orderkey % 25 AS assignee_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 10 + 1 ELSE NULL END AS cover_version_id, @epoch(o_orderdate) AS updated_s FROM orders WHERE o_custkey % 5 = 0",
+    "projects_v": "SELECT c_custkey AS id, c_name AS name, c_nationkey % 50 AS owner_id, c_mktsegment AS segment, 1600000000 + c_custkey * 60 AS updated_s FROM customer",
+    "members_v": "SELECT c.c_custkey AS project_id, n.n_nationkey AS user_id, n.n_name AS user_name, CASE n.n_nationkey % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'editor' ELSE 'manager' END AS role FROM customer c JOIN nation n ON (c.c_custkey + n.n_nationkey) % 6 = 0",
+    "assets_v": "SELECT o_orderkey AS id, o_custkey AS project_id, concat('asset ', CAST(o_orderkey AS STRING)) AS title, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 7 END AS folder_id, CASE o_orderkey % 6 WHEN 0 THEN 'todo' WHEN 1 THEN 'doing' WHEN 2 THEN 'done' ELSE 'unknown' END AS status_name, o_orderkey % 25 AS assignee_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 10 + 1 ELSE NULL END AS cover_version_id, @epoch(o_orderdate) AS updated_s FROM orders",
     "versions_v": "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS asset_id, (l_partkey * 7 + l_suppkey) % 1000 AS file_id, @epoch(l_shipdate) AS created_s, l_returnflag AS scope FROM lineitem",
     "comments_v": "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS asset_id, l_suppkey % 25 AS author_id, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS resolved, CASE WHEN l_returnflag = 'A' THEN 'external' ELSE 'internal' END AS visibility, l_linenumber * 15e-1 AS t, concat('note on ', CAST(l_partkey AS STRING)) AS body, @epoch(l_shipdate) AS created_s, l_suppkey % 4 AS session_id FROM lineitem",
     "queries_v": "SELECT item_id AS query_id, lower(text) AS query FROM benchmark",
     "messages_v": "SELECT conv_id, turn, role, text FROM conversations",
     "grants_v": "SELECT CAST(n_nationkey AS BIGINT) AS user_id, n_name AS user_name, r_regionkey AS region, CAST(n_nationkey * 3 % 20 AS BIGINT) AS library_id, CASE WHEN n_nationkey % 8 = 0 THEN 1 ELSE 0 END AS admin FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT CAST(n_nationkey AS BIGINT), n_name, n_regionkey, CAST(n_nationkey * 7 % 20 AS BIGINT), CASE WHEN n_nationkey % 8 = 0 THEN 1 ELSE 0 END FROM nation WHERE n_nationkey % 3 <> 0",
-    "spaces_v": "SELECT s_suppkey AS id, s_name AS name, s_nationkey AS owner_id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 40 * 5 ELSE NULL END AS project_id FROM supplier",
+    "spaces_v": "SELECT s_suppkey AS id, s_name AS name, s_nationkey AS owner_id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 200 ELSE NULL END AS project_id FROM supplier",
     "space_files_v": "SELECT DISTINCT l_suppkey AS space_id, l_partkey % 1000 AS file_id FROM lineitem",
-    "artifacts_v": "SELECT p_partkey AS id, p_name AS title, p_partkey % 25 AS owner_id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 10 ELSE NULL END AS space_id, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 40 * 5 ELSE NULL END AS project_id, p_size AS size FROM part",
+    "artifacts_v": "SELECT p_partkey AS id, p_name AS title, p_partkey % 25 AS owner_id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 10 ELSE NULL END AS space_id, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 200 ELSE NULL END AS project_id, p_size AS size FROM part",
     "tags_v": "SELECT DISTINCT p_partkey % 1000 AS file_id, p_brand AS tag FROM part UNION SELECT l_partkey % 1000, l_returnflag FROM lineitem WHERE l_linenumber = 1",
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -27,14 +27,23 @@ def signature_changes(signatures: DataFrame) -> DataFrame:
     return signatures.withColumn("was", F.lag("signature").over(w)).filter(F.col("was").isNotNull() & (F.col("was") != F.col("signature"))).drop("was")
 
 
+def in_order(parts: Iterator[pd.DataFrame], value: str) -> Iterator[tuple]:
+    """(t, value) of all parts of a key's rows of one micro-batch, in order of time.
+
+    A key's rows come in several Arrow parts that are in no order, so they are
+    sorted together; the size of a micro-batch (files or offsets a trigger) bounds what is held.
+    """
+    rows = pd.concat([p[["t", value]] for p in parts], ignore_index=True).sort_values(["t", value], kind="stable")
+    return zip(rows["t"], rows[value])
+
+
 def _changes(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
     out = []
-    for p in parts:
-        for t, s in sorted(zip(p["t"], p["signature"])):
-            if last is not None and s != last:
-                out.append((key[0], t, s))
-            last = s
+    for t, s in in_order(parts, "signature"):
+        if last is not None and s != last:
+            out.append((key[0], t, s))
+        last = s
     if last is not None:
         state.update((last,))
     yield pd.DataFrame(out, columns=["library_id", "t", "signature"])
@@ -70,12 +79,11 @@ def _retries(most: int, base: float) -> Callable:
     def run(key, parts, state):
         n = state.get[0] if state.exists else 0
         out = []
-        for p in parts:
-            for t, ok in sorted(zip(p["t"], p["ok"])):
-                n = 0 if ok else n + 1
-                stop = n >= most
-                wait = 0.0 if ok or stop else min(604_800.0, max(30.0, base) * 2.0 ** (n - 1))
-                out.append((key[0], t, n, stop, wait))
+        for t, ok in in_order(parts, "ok"):
+            n = 0 if ok else n + 1
+            stop = n >= most
+            wait = 0.0 if ok or stop else min(604_800.0, max(30.0, base) * 2.0 ** (n - 1))
+            out.append((key[0], t, n, stop, wait))
         state.update((n,))
         yield pd.DataFrame(out, columns=["key", "t", "attempts", "terminal", "wait_s"])
 
@@ -113,11 +121,10 @@ def _throttle(interval: int) -> Callable:
     def run(key, parts, state):
         last = state.get[0] if state.exists else None
         out = []
-        for p in parts:
-            for t, empty in sorted(zip(p["t"], p["queue_empty"])):
-                if last is None or t - last >= interval or empty:
-                    out.append((key[0], t))
-                    last = t
+        for t, empty in in_order(parts, "queue_empty"):
+            if last is None or t - last >= interval or empty:
+                out.append((key[0], t))
+                last = t
         if last is not None:
             state.update((last,))
         yield pd.DataFrame(out, columns=["job", "t"])
@@ -170,31 +177,51 @@ def latest(rows: DataFrame, key: str, *order) -> DataFrame:
     return rows.withColumn("k", ranked(key, *[F.desc(c) for c in order])).filter("k = 1").drop("k")
 
 
-def catalog_upsert(catalog_path: str, groups_path: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: merge a micro-batch of scan rows into the catalog snapshot at a path.
+def finished(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the tables below ``path`` that were written to their end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [x.getPath() for x in fs.listStatus(at)]
+    return sorted(int(p.getName()) for p in names if p.getName().isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    Rows of the batch win by path; the snapshot is written beside the old one and
-    then named current, so a lost executor leaves the old one whole. A batch
-    whose number is not above the last one written is skipped.
+
+def catalog_upsert(catalog_path: str, groups_path: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: merge a micro-batch of scan rows into the catalog snapshots below a path.
+
+    Rows of the batch win by path; changed or removed members leave the
+    similarity groups, whose first table (path, group_id) is at ``groups_path`` and
+    whose later ones are beside it. Snapshot N is written beside the
+    old ones, the groups first and the catalog last, and counts once it is
+    whole: each batch starts from the last whole snapshot, and a batch whose
+    number is not above it (a replay) is skipped.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        done = finished(spark, catalog_path)
+        if done and number <= done[-1]:
+            return
         scan = latest(batch, "path", "mtime_s", "size")
-        old = spark.read.parquet(f"{catalog_path}/{number - 1}") if number else None
+        old = spark.read.parquet(f"{catalog_path}/{done[-1]}") if done else None
         rows = scan.select("path", "library_id", "size", "mtime_s", F.lit("pending").alias("stage"))
+        changed = rows.select("path")
         if old is not None:
             same = old.withColumnsRenamed({"size": "s0", "mtime_s": "m0", "stage": "g0", "library_id": "l0"})
             keep = (F.col("size") == F.col("s0")) & (F.col("mtime_s") == F.col("m0"))
-            rows = rows.join(same, "path", "full_outer").select(
+            both = rows.join(same, "path", "full_outer")
+            changed = both.filter(F.col("size").isNotNull() & ~F.coalesce(keep, F.lit(False))).select("path")
+            rows = both.select(
                 "path", F.coalesce("library_id", "l0").alias("library_id"), F.coalesce("size", "s0").alias("size"), F.coalesce("mtime_s", "m0").alias("mtime_s"),
                 F.when(F.col("size").isNull() | F.coalesce(keep, F.lit(False)), F.col("g0")).otherwise("pending").alias("stage"),
             )
-        rows.write.mode("overwrite").parquet(f"{catalog_path}/{number}")
         if groups_path:
-            gone = scan.select("path")
-            left = refreshed(spark.read.parquet(groups_path).withColumnRenamed("path", "id"), gone.withColumnRenamed("path", "id"))
-            left.withColumnRenamed("id", "path").write.mode("overwrite").parquet(f"{groups_path}-{number}")
+            before = [n for n in finished(spark, f"{groups_path}-after") if n < number]
+            groups = spark.read.parquet(f"{groups_path}-after/{before[-1]}" if before else groups_path)
+            left = refreshed(groups.withColumnRenamed("path", "id"), changed.withColumnRenamed("path", "id"))
+            left.withColumnRenamed("id", "path").write.mode("overwrite").parquet(f"{groups_path}-after/{number}")
+        rows.write.mode("overwrite").parquet(f"{catalog_path}/{number}")
 
     return run
 

@@ -15,7 +15,8 @@ def test_query_terms(spark):
     }
     rows = spark.createDataFrame(list(cases), "string").select("value", terms.query_terms(F.col("value")).alias("t")).collect()
     assert {r.value: list(r.t) for r in rows} == cases
-    assert "桌上" in terms.aliases_of("桌面") and "喵" not in terms.aliases_of("猫咪") and "猫咪" in terms.aliases_of("喵")
+    pairs = {tuple(r) for r in terms.alias_pairs(spark).collect()}
+    assert {("桌面", "桌上"), ("喵", "猫咪"), ("喵", "喵")} <= pairs and ("猫咪", "喵") not in pairs
 
 
 def test_date_ranges(spark):
@@ -145,3 +146,85 @@ def test_upsert_stream(spark, tmp_path):
     up(spark.createDataFrame([("b", 1, 5, 1), ("c", 1, 1, 1)], schema), 1)
     got = {r.path: r.size for r in spark.read.parquet(str(tmp_path / "cat/1")).collect()}
     assert got == {"a": 6, "b": 5, "c": 1}
+
+
+def test_upserts_start_from_the_last_whole_snapshot_and_skip_replays(spark, tmp_path):
+    from lakelens.streaming.operators import catalog_upsert, finished
+
+    schema = "path string, library_id long, size long, mtime_s long"
+    spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 2), ("e", 2)], "path string, group_id long").write.parquet(str(tmp_path / "groups"))
+    up = catalog_upsert(str(tmp_path / "cat"), str(tmp_path / "groups"))
+    groups = lambda n: {r.path for r in spark.read.parquet(str(tmp_path / f"groups-after/{n}")).collect()}
+    up(spark.createDataFrame([("a", 1, 5, 1), ("x", 1, 5, 1)], schema), 3)
+    assert groups(3) == {"b", "c", "d", "e"}
+    up(spark.createDataFrame([("d", 1, 5, 1), ("x", 1, 5, 1)], schema), 7)
+    # what batch 3 removed stays away, the unchanged row keeps its stage, a group of one goes
+    assert groups(7) == {"b", "c"} and finished(spark, str(tmp_path / "cat")) == [3, 7]
+    up(spark.createDataFrame([("zzz", 1, 5, 1)], schema), 7)
+    up(spark.createDataFrame([("zzz", 1, 5, 1)], schema), 5)
+    assert {r.path for r in spark.read.parquet(str(tmp_path / "cat/7")).collect()} == {"a", "x", "d"} and finished(spark, str(tmp_path / "cat")) == [3, 7]
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_stateful_streams_sort_all_parts_of_a_key(spark, tmp_path, batch):
+    """One key, rows in no order, many Arrow parts: the streams agree with the tables."""
+    import random
+
+    from lakelens.streaming import operators as st
+
+    rows = [(t, t % 13 == 0, t * t % 7) for t in range(600)]
+    random.Random(3).shuffle(rows)
+    data = spark.createDataFrame([(0, *r) for r in rows], "key long, t long, flag boolean, v long").repartition(5)
+    data.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(batch))
+    try:
+        run = lambda q, where: {tuple(r) for r in st.run_available(q, str(tmp_path / where)).collect()}
+        jobs = lambda d: d.select(F.col("key").alias("job"), "t", F.col("flag").alias("queue_empty"))
+        assert run(st.throttled_stream(jobs(source), 40), "a") == {tuple(r) for r in st.throttled(jobs(data), 40).collect()}
+        results = lambda d: d.select("key", "t", F.col("flag").alias("ok"))
+        assert run(st.retries_stream(results(source)), "b") == {tuple(r) for r in st.retries(results(data)).collect()}
+        signs = lambda d: d.select(F.col("key").alias("library_id"), "t", F.col("v").alias("signature"))
+        assert run(st.signature_changes_stream(signs(source)), "c") == {tuple(r) for r in st.signature_changes(signs(data)).collect()}
+    finally:
+        spark.conf.set(name, was)
+
+
+def test_error_fingerprints_mask_temporary_paths_only(spark):
+    from lakelens.operators.state import error_fingerprint
+
+    # fixed rows: equal letters are equal errors
+    rows = [("A", "open /var/tmp/x1 failed"), ("A", "open /srv/my-cache/y/z failed"), ("A", "open \\a\\cache\\b failed"), ("B", "error 404"), ("C", "error 500"), ("D", "open /srv/data/x failed")]
+    got = spark.createDataFrame(rows, "k string, m string").select("k", error_fingerprint(F.col("m")).alias("f")).collect()
+    assert len({r.f for r in got}) == 4 and all((a.k == b.k) == (a.f == b.f) for a in got for b in got)
+
+
+def test_leaders_of_many_blocks_meet(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((6, 16))
+    rows = [(i, [float(x) for x in centres[i % 6] + 0.1 * rng.standard_normal(16)]) for i in range(600)]
+    df = spark.createDataFrame([(i, [float(x / np.linalg.norm(v)) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    one = {r.vec_id: r.cluster for r in cluster.global_clusters(df, 0.8).collect()}
+    many = {r.vec_id: r.cluster for r in cluster.global_clusters(df, 0.8, block_rows=32).collect()}
+    assert len(set(one.values())) == 6 and one == many
+
+
+def test_lexical_counts_against_brute_force(spark):
+    from lakelens.operators import retrieval
+
+    texts = ["aaaa banana 红色气球", "AAA and bananana", "", None, "nothing here at all"]
+    files = spark.createDataFrame([(i, f"name {i}", "p/aaa", t, t) for i, t in enumerate(texts)], "id long, name string, path string, text string, caption string")
+    words = ["aaa", "ana", "nan", "红色气球", "name", "zz", "absent"]
+    want = {}
+    for w in words:
+        for i, t in enumerate(texts):
+            f = sum(k * x.lower().count(w) for k, x in ((7, f"name {i}"), (3, "p/aaa"), (1, t or ""), (3.5, t or "")))
+            if f and len(w) >= 3:
+                want[w, i] = f
+    terms = spark.createDataFrame([(w,) for w in words], "alias string")
+    for block in (2, 100):
+        assert {(r.term, r.id): r.f for r in retrieval.occurrences(files, terms, block).collect()} == want
