@@ -103,9 +103,13 @@ def similar_groups(prints: DataFrame, max_distance: int = 8) -> DataFrame:
 
     Distances inside a group can exceed the limit, as links chain.
     """
+    prints = written(prints.select("id", "fp"), "prints")
     fps = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    comp = components(fps.select(F.col("rep").alias("id")), near_pairs(prints, max_distance))
-    all_ids = prints.join(fps, "fp").join(comp.withColumnRenamed("id", "rep"), "rep").select("id", "fp", F.col("root").alias("group_id"))
+    pairs = written(near_pairs(prints, max_distance), "near-pairs")
+    # fingerprints without a pair stay alone
+    tied = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    comp = components(tied, pairs)
+    all_ids = prints.join(fps, "fp").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", "fp", F.coalesce("root", "rep").alias("group_id"))
     sizes = all_ids.groupBy("group_id").count().filter("count > 1").select("group_id")
     first = prints.select(F.col("id").alias("group_id"), F.col("fp").alias("fp0"))
     return all_ids.join(sizes, "group_id").join(first, "group_id").select("group_id", "id", F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))).alias("distance"))
