@@ -81,17 +81,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, f
         F.collect_set(F.when(later & whole & (F.col("n") >= long) & (F.col("docs") < min_docs), F.col("h"))).alias("twice"),
         F.sum(F.when(whole, F.col("size")).otherwise(0)).alias("common"),
     )
-    rows = base.join(dropped, "id", "left")
-    gone = F.when(2 * F.col("common") < F.length("text"), F.concat("gone", "twice")).otherwise(F.col("gone"))
-    rows = rows.withColumn("gone", gone).withColumn("gone", F.when(F.size("gone") > 0, F.col("gone")))
+    # the length is counted before the join, not once a line
+    rows = base.withColumn("chars", F.length("text")).join(dropped, "id", "left")
     all_lines = F.split("text", "\n")
     blank = lambda x: F.length(F.trim(x)) == 0
-    left = F.when(F.col("gone").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: blank(x) | ~F.array_contains("gone", F.xxhash64(x))))
+    own = 2 * F.col("common") < F.col("chars")
+    hit = F.col("gone").isNotNull() & ((F.size("gone") > 0) | own & (F.size("twice") > 0))
+    goes = lambda x: F.array_contains("gone", F.xxhash64(x)) | own & F.array_contains("twice", F.xxhash64(x))
+    left = F.when(hit, F.filter(all_lines, lambda x: blank(x) | ~goes(x))).otherwise(all_lines)
     rows = rows.select(
         F.col("id").alias(id_col),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias(text_col),
+        F.when(hit, F.array_join(left, "\n")).otherwise(F.col("text")).alias(text_col),
         F.coalesce(F.size(F.filter(all_lines, lambda x: ~blank(x))), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size(left)).cast("long").alias("n_dropped"),
+        F.when(hit, F.size(all_lines) - F.size(left)).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
         *[F.col("_row")[k].alias(k) for k in keep],
     )
     return rows.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
