@@ -43,8 +43,8 @@ BLOCK_TAGS = frozenset("address article aside blockquote body center dd details
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE_TAGS = frozenset("nav aside footer form menu dialog head title fieldset label search".split())
 #: Names of regions outside the text, firm and loose ones, of regions of content, and of roles.
-FIRM_NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr masthead menu nav navbar navigation pagination replies reply respond sidebar sponsored".split())
-LOOSE_NAMES = frozenset("banner disclaimer form modal newsletter notice notices popup promo promoted promotion related search share sharing signup social sponsor subscribe subscription toolbar topbar trending widget".split())
+FIRM_NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer gdpr masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies reply respond sharing sidebar signup sponsor sponsored subscribe subscription toolbar".split())
+LOOSE_NAMES = frozenset("banner form modal search share social topbar trending widget".split())
 COMMENT_NAMES = frozenset("comment comments commentlist replies reply respond disqus".split())
 CONTENT_NAMES = frozenset("article body content entry main post story text".split())
 #: Words that, after a name of a region, still name the region.
@@ -72,7 +72,7 @@ class Weights:
     loose: float = 2.5
     main: float = 2.5
     named: float = 1.0
-    loose_mark: float = 8.0  # evidence of a loose region, however much it holds
+    loose_mark: float = 4.5  # evidence of a loose region, however much it holds
     adjacent: float = 0.6
     sibling: float = 0.4
     across: float = 0.1  # neighbours of different regions, regions inside each other
