@@ -159,18 +159,36 @@ def visible(files: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
     return files.select("id", "library_id").join(allowed, "library_id").select("user_id", "id")
 
 
+#: Most rules that are sent to every task; more are joined by key, with the files of a key dealt over so many parts.
+FEW_RULES, PARTS = 1000, 32
+
+
 def matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, file id) where all of a rule's conditions hold; no conditions match every file.
 
     Conditions are structs of field and value: kind, extension, library_id, name_contains, min_size, max_size.
+    A rule meets the files that have the value of one of its equality
+    conditions; only rules without any meet all files.
     """
     r = rules.select("rule_id", "conditions")
-    joined = files.crossJoin(small(r, 1000))
+    few = r.limit(FEW_RULES + 1).count() <= FEW_RULES
+    value = lambda field: F.get(F.filter("conditions", lambda c: c["field"] == field), F.lit(0))["value"]
+    key = lambda kind, v: F.concat(F.lit(kind), v.cast("string"))
+    extension = lambda v: F.lower(F.ltrim(v, F.lit(".")))
+    first = F.coalesce(key("library ", value("library_id").try_cast("long")), key("extension ", extension(value("extension"))), key("kind ", value("kind")), F.lit("any"))
+    own = F.array(key("library ", F.col("library_id")), key("extension ", F.lower("extension")), key("kind ", F.col("kind")), F.lit("any"))
+    left = files.select("id", "kind", "extension", "library_id", "name", "size", F.explode(own).alias("key"))
+    right = r.withColumn("key", first)
+    if few:
+        joined = left.join(F.broadcast(right), "key")
+    else:
+        left = left.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+        joined = left.join(right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))), ["key", "part"])
 
     def holds(c):
         f, v = c["field"], c["value"]
         return (
-            F.when(f == "kind", F.col("kind") == v).when(f == "extension", F.lower("extension") == F.lower(F.ltrim(v, F.lit("."))))
+            F.when(f == "kind", F.col("kind") == v).when(f == "extension", F.lower("extension") == extension(v))
             .when(f == "library_id", F.col("library_id") == v.try_cast("long")).when(f == "name_contains", F.lower("name").contains(F.lower(v)))
             .when(f == "min_size", F.col("size") >= v.try_cast("long")).when(f == "max_size", F.col("size") <= v.try_cast("long")).otherwise(F.lit(False))
         )

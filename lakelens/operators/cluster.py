@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import dot, haversine_m, ranked, unit, valid_point
-from ..functions.session import small, written
+from ..functions.columns import EARTH_M, dot, haversine_m, ranked, unit, valid_point
+from ..functions.session import written
+from ..functions.vectors import nearest_centre
 from .dedup import components
 
 HOUR, DAY = 3600, 86_400
@@ -31,52 +32,78 @@ def place_members(media: DataFrame, centre: DataFrame) -> DataFrame:
     return media.join(c, ["gy", "gx"]).select("gy", "gx", "id", haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")).alias("distance_m"))
 
 
+def _ball_cell(lat: Column, lon: Column, side_m: float) -> list[Column]:
+    """Cell of a point of the globe in a grid of cubes: two points nearer than the side lie in one cube or in two that touch."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return [F.floor(EARTH_M * x / side_m) for x in (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))]
+
+
 def named_places(centre: DataFrame, names: DataFrame, most_m: float = 65_000.0) -> DataFrame:
-    """Name of the nearest listed place within reach, else the coordinates. ``names`` is a short fixed list."""
-    c = centre.crossJoin(small(names, 10_000).withColumnsRenamed({"name": "pname", "lat": "plat", "lon": "plon"}))
-    c = c.withColumn("d", haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")))
-    near = c.groupBy("gy", "gx").agg(F.min_by("pname", F.struct("d", "pname")).alias("pname"), F.min("d").alias("d"))
+    """Name of the nearest listed place within reach, else the coordinates.
+
+    Centres meet the places of their own cube of the globe and of the 26
+    around it by an equi-join, so neither table needs to be small.
+    """
+    side, axes = most_m * 1.001, ("cx", "cy", "cz")
+    around = names.select(F.col("name").alias("pname"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    for axis, cell in zip(axes, _ball_cell(F.col("plat"), F.col("plon"), side)):
+        around = around.withColumn(axis, F.explode(F.sequence(cell - 1, cell + 1)))
+    own = centre.select("gy", "gx", "lat", "lon", *[c.alias(a) for a, c in zip(axes, _ball_cell(F.col("lat"), F.col("lon"), side))])
+    near = own.join(around, list(axes)).withColumn("d", haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).filter(F.col("d") <= most_m)
+    near = near.groupBy("gy", "gx").agg(F.min_by("pname", F.struct("d", "pname")).alias("pname"))
     out = centre.join(near, ["gy", "gx"], "left")
-    label = F.format_string("%.3f, %.3f", "lat", "lon")
-    return out.select("gy", "gx", F.when(F.col("d") <= most_m, F.col("pname")).otherwise(label).alias("name"))
+    return out.select("gy", "gx", F.coalesce("pname", F.format_string("%.3f, %.3f", "lat", "lon")).alias("name"))
 
 
 def _cut_long(longest_s: int):
-    """Splits runs of rows sorted by time where one began more than ``longest_s`` ago."""
+    """Numbers the times of a run anew where a session began more than ``longest_s`` ago."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"], kind="stable")
-        part, start, n = [], None, 0
-        for t in pdf["t"]:
-            if start is None or t - start > longest_s:
-                n, start = n + (start is not None), t
-            part.append(n)
+        pdf = pdf.sort_values("t", kind="stable")
+        t, part, at, n = pdf["t"].to_numpy(), np.zeros(len(pdf), np.int64), 0, 0
+        while at < len(t):
+            end = int(np.searchsorted(t, t[at] + longest_s, "right"))
+            part[at:end] = n
+            at, n = end, n + 1
         return pdf.assign(part=part)
 
     return run
 
 
 def event_sessions(media: DataFrame, by: str = "library_id", gap_s: int = 12 * HOUR, longest_s: int = 7 * DAY, near_gap_s: int = 2 * HOUR, far_m: float = 80_000.0) -> DataFrame:
-    """Media with their session number: gap and distance cuts by windows, then the length cut.
+    """Media with their session: ``run`` by gap and distance cuts, ``part`` by the length cut.
 
     A session ends after a gap of 12 hours, or of 2 hours with a move of 80 km.
-    A run whose whole span is within 7 days is one session; only longer runs,
-    which the length cut resets from a running start, are folded in Python.
+    Rows are sorted inside a library's day; days are then put in a row by a
+    table of one row a day, so that a hot library spreads over its days. A run
+    whose whole span is within 7 days is one session; of longer runs, which the
+    length cut resets from a running start, only the distinct times are folded in Python.
     """
-    w = Window.partitionBy(by).orderBy("t", "id")
-    ok = valid_point(F.col("latitude"), F.col("longitude"))
-    m = media.withColumn("ok", ok)
-    moved = F.col("ok") & F.lag("ok").over(w) & (haversine_m(F.col("latitude"), F.col("longitude"), F.lag("latitude").over(w), F.lag("longitude").over(w)) > far_m)
-    gap = F.col("t") - F.lag("t").over(w)
-    cut = F.coalesce((gap > gap_s) | ((gap > near_gap_s) & F.coalesce(moved, F.lit(False))), F.lit(False))
-    m = m.withColumn("cut", cut.cast("int")).withColumn("run", F.sum("cut").over(w))
-    span = Window.partitionBy(by, "run")
-    m = m.withColumn("long", F.max("t").over(span) - F.min("t").over(span) > longest_s)
-    cols = [*media.columns, "run"]
-    short = m.filter("NOT long").select(*cols, F.lit(0).cast("long").alias("part"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.select(*cols).schema)
-    folded = m.filter("long").select(*cols).groupBy(by, "run").applyInPandas(_cut_long(longest_s), f"{schema}, part long")
-    return short.unionByName(folded)
+    place = F.struct("t", "latitude", "longitude", valid_point(F.col("latitude"), F.col("longitude")).alias("ok"))
+    m = media.withColumn("_day", F.floor(F.col("t") / DAY)).withColumn("_at", place)
+
+    def cut(was: Column, now: Column) -> Column:
+        gap = now["t"] - was["t"]
+        moved = now["ok"] & was["ok"] & (haversine_m(now["latitude"], now["longitude"], was["latitude"], was["longitude"]) > far_m)
+        return F.coalesce((gap > gap_s) | ((gap > near_gap_s) & F.coalesce(moved, F.lit(False))), F.lit(False)).cast("long")
+
+    w = Window.partitionBy(by, "_day").orderBy("t", "id")
+    m = m.withColumn("_cut", cut(F.lag("_at").over(w), F.col("_at"))).withColumn("_inner", F.sum("_cut").over(w))
+    order = F.struct("t", "id")
+    days = m.groupBy(by, "_day").agg(F.min_by("_at", order).alias("first"), F.max_by("_at", order).alias("last"), F.sum("_cut").alias("cuts"))
+    row = Window.partitionBy(by).orderBy("_day")
+    days = days.withColumn("start", cut(F.lag("last").over(row), F.col("first")))
+    days = days.select(F.col(by).alias("_by"), F.col("_day").alias("_d"), (F.sum(F.col("start") + F.col("cuts")).over(row) - F.col("cuts")).alias("_before"))
+    m = m.join(days, F.col(by).eqNullSafe(F.col("_by")) & F.col("_day").eqNullSafe(F.col("_d"))).select(*media.columns, (F.col("_before") + F.col("_inner")).alias("run"))
+    spans = m.groupBy(F.col(by).alias("_by"), F.col("run").alias("_run")).agg((F.max("t") - F.min("t")).alias("span"))
+    long = spans.filter(F.col("span") > longest_s).select("_by", "_run")
+    on = F.col(by).eqNullSafe(F.col("_by")) & (F.col("run") == F.col("_run"))
+    times = m.join(long, on, "left_semi").select(F.col(by).alias("_by"), F.col("run").alias("_run"), F.col("t").alias("_t")).distinct().withColumnRenamed("_t", "t")
+    kind = media.schema[by].dataType.simpleString()
+    folded = times.groupBy("_by", "_run").applyInPandas(_cut_long(longest_s), f"_by {kind}, _run long, t {media.schema['t'].dataType.simpleString()}, part long")
+    folded = folded.withColumnRenamed("t", "_t")
+    out = m.join(folded, on & (F.col("t") == F.col("_t")), "left")
+    return out.select(*media.columns, "run", F.coalesce("part", F.lit(0).cast("long")).alias("part"))
 
 
 def session_summary(sessions: DataFrame, by: str = "library_id", least: int = 3, grid: float = 0.05) -> DataFrame:
@@ -115,15 +142,8 @@ def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
 
 
 def identified(vectors: DataFrame, centre: DataFrame, threshold: float = 0.45, label: str = "label") -> DataFrame:
-    """Each vector's best identity and score, where the score reaches the threshold.
-
-    Identities are people, a small table: it is sent to every task if its size allows.
-    """
-    centre = centre.withColumnRenamed(label, "identity")
-    vectors = vectors.select("vec_id", "embedding")
-    pairs = vectors.crossJoin(small(centre, 20_000))
-    best = pairs.select("vec_id", "identity", dot(F.col("embedding"), F.col("c")).alias("score"))
-    best = best.groupBy("vec_id").agg(F.max_by("identity", F.struct("score", (-F.col("identity")).alias("i"))).alias("identity"), F.max("score").alias("score"))
+    """Each vector's best identity and score, where the score reaches the threshold; blocks of identities meet batches of vectors."""
+    best = nearest_centre(vectors, centre.withColumnRenamed(label, "identity"), 20_000)
     return best.filter(F.col("score") >= threshold)
 
 
@@ -206,9 +226,22 @@ def sign_cells(planes: int, seed: int):
 
 
 def identities(clusters: DataFrame, least: int = 2) -> DataFrame:
-    """Clusters of at least two, numbered by size."""
+    """Clusters of at least two, numbered by size inside their block."""
     c = clusters.groupBy("block", "cluster").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    return c.withColumn("number", ranked("block", F.desc("size"), "cluster"))
+    return numbered(c, "block", F.desc("size"), "cluster")
+
+
+def numbered(rows: DataFrame, by: str, *order: Column | str) -> DataFrame:
+    """Rows with their ``number`` from 1 within ``by`` in a total order: a distributed sort, then the counts of its parts are added up."""
+    s = rows.orderBy(by, *order).withColumn("_at", F.monotonically_increasing_id())
+    s = written(s.withColumn("_part", F.shiftright("_at", 33)), "sorted")
+    # one row for each part of the sort and block in it
+    parts = s.groupBy("_part", F.col(by).alias("_by")).agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = F.sum("n").over(Window.partitionBy("_by").orderBy("_part")) - F.col("n")
+    parts = parts.select("_part", "_by", "_first", before.alias("_before"))
+    s = s.withColumnRenamed("_part", "_p")
+    out = s.join(parts, (F.col("_p") == F.col("_part")) & F.col(by).eqNullSafe(F.col("_by")))
+    return out.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("number"))
 
 
 def identity_rollup(faces: DataFrame, hidden: list[int] = ()) -> DataFrame:

@@ -10,11 +10,11 @@ from ..operators import retrieval as r
 from ..operators import terms as q
 from .registry import query
 
-QUERIES = "SELECT item_id AS query_id, lower(concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 5))) AS query FROM benchmark"
+QUERIES = "SELECT query_id, query FROM queries_v"
 TERMS = f"t0 AS (SELECT query_id, query, list_filter(regexp_extract_all(query, '[a-z0-9][a-z0-9._\\-]*'), lambda x: length(x) > 1)[1:8] AS ts FROM ({QUERIES}) q0), terms AS (SELECT query_id, generate_subscripts(d, 1) - 1 AS g, unnest(d) AS alias FROM (SELECT query_id, list_filter(ts, lambda x, i: list_position(ts, x) = i) AS d FROM t0) t1)"
 OCC = " + ".join(f"{w} * (length(lower({c})) - length(replace(lower({c}), term, ''))) / length(term)" for c, w in r.FIELDS.items())
 LEN = " + ".join(f"greatest(0, length({c}) - 2)" for c in r.FIELDS)
-LEX = f"""{TERMS}, words AS (SELECT DISTINCT query_id, unnest(string_split(trim(query), ' ')) AS alias FROM ({QUERIES}) q1),
+LEX = f"""{TERMS}, words AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(trim(query), '\\s+'), lambda w: w <> '')) AS alias FROM ({QUERIES}) q1),
 vocab AS (SELECT DISTINCT alias AS term FROM (SELECT alias FROM terms UNION SELECT alias FROM words) v WHERE length(alias) >= 3),
 occ AS (SELECT term, id, f FROM (SELECT term, id, {OCC} AS f FROM files_v, vocab) o WHERE f > 0),
 sz AS (SELECT id, {LEN} AS len FROM files_v), st AS (SELECT count(*) AS n, avg(len) AS avg_len FROM sz), df AS (SELECT term, count(*) AS df FROM occ GROUP BY 1),
@@ -32,8 +32,7 @@ PAGE = r.Page(10, 0)
 
 
 def _queries(t):
-    word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.lower(F.concat(word(2), F.lit(" "), word(5))).alias("query"))
+    return t.queries_v
 
 
 def _qv(t):

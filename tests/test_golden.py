@@ -1,8 +1,10 @@
 """Small cases with known results."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lakelens.functions.vectors import nearest_centre
 from lakelens.operators import answers, catalog, cluster, dedup, retrieval, state, terms, text
 from lakelens.sources.files import inventory, rescan
 
@@ -228,3 +230,91 @@ def test_lexical_counts_against_brute_force(spark):
     terms = spark.createDataFrame([(w,) for w in words], "alias string")
     for block in (2, 100):
         assert {(r.term, r.id): r.f for r in retrieval.occurrences(files, terms, block).collect()} == want
+
+
+def test_sessions_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for lib, n, span in (("a", 400, 40 * cluster.DAY), ("b", 30, 90 * cluster.DAY), ("c", 1, 1), (None, 20, 3 * cluster.DAY)):
+        for t in sorted(rng.integers(0, span, n).tolist()):
+            lat = float(rng.choice([0.0, 31.0, 32.0]))
+            rows.append((len(rows), lib, t, lat, 121.0 if lat else 0.0))  # the origin is no place
+    rows += [(1000 + r[0], *r[1:]) for r in rows[:50]]  # equal times
+    metres = lambda p, q: 6_371_000 * abs(np.radians(q - p))  # of one longitude
+    want = {}
+    for lib in ("a", "b", "c", None):
+        own = sorted((r for r in rows if r[1] == lib), key=lambda r: (r[2], r[0]))
+        run = part = 0
+        was = start = None
+        for i, _, t, lat, _ in own:
+            if was is not None:
+                gap = t - was[0]
+                if gap > 12 * cluster.HOUR or gap > 2 * cluster.HOUR and lat and was[1] and metres(was[1], lat) > 80_000:
+                    run, part, start = run + 1, 0, None
+            if start is not None and t - start > 2 * cluster.DAY:
+                part, start = part + 1, None
+            start = t if start is None else start
+            was = (t, lat)
+            want[i] = run, part
+    df = spark.createDataFrame(rows, "id long, library_id string, t long, latitude double, longitude double").repartition(5)
+    got = {r.id: (r.run, r.part) for r in cluster.event_sessions(df, longest_s=2 * cluster.DAY).collect()}
+    assert got == want and max(p for _, p in want.values()) > 0
+
+
+def test_numbers_go_on_across_parts(spark):
+    rows = [(b, (i * 37) % 50, i) for b in (1, 2, None) for i in range(200)]
+    got = cluster.numbered(spark.createDataFrame(rows, "block int, size int, id int").repartition(7), "block", F.desc("size"), "id").collect()
+    for b in (1, 2, None):
+        own = sorted((r for r in got if r.block == b), key=lambda r: (-r["size"], r.id))
+        assert [r.number for r in own] == list(range(1, 201))
+
+
+def test_places_beyond_the_date_line_and_at_the_pole(spark):
+    names = spark.createDataFrame([("west", 0.0, -179.9), ("pole", 89.9, 10.0), ("pole b", 89.9, 10.0)], "name string, lat double, lon double")
+    centre = spark.createDataFrame([(0, 0, 0.0, 179.9), (1, 0, 89.9, -170.0), (2, 0, 50.0, 10.0)], "gy long, gx long, lat double, lon double")
+    got = {r.gy: r.name for r in cluster.named_places(centre, names).collect()}
+    assert got == {0: "west", 1: "pole", 2: "50.000, 10.000"}
+    assert {r.name for r in cluster.named_places(centre, names.limit(0)).collect()} == {"0.000, 179.900", "89.900, -170.000", "50.000, 10.000"}
+
+
+@pytest.mark.parametrize("block", [1, 7, 100])
+def test_nearest_rows_against_brute_force(spark, block):
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (60, 4)).astype(float)  # many ties
+    rows = [(i, i // 2, v.tolist()) for i, v in enumerate(vectors)] + [(60, 0, None), (61, 0, [1.0, None, 0.0, 0.0]), (62, 0, [1.0, float("nan"), 0.0, 0.0]), (63, 0, [1.0, 1.0]), (64, 0, [])]
+    v = spark.createDataFrame(rows, "vec_id long, file_id long, embedding array<float>").repartition(4)
+    q = spark.createDataFrame([(str(i), vectors[i].tolist()) for i in range(12)], "query_id string, qv array<double>")
+    want = set()
+    for i in range(12):
+        scores = sorted(((float(vectors[i] @ x), k) for k, x in enumerate(vectors) if vectors[i] @ x >= 1), key=lambda s: (-s[0], s[1]))
+        want |= {(str(i), k, k // 2, s) for s, k in scores[:5]}
+    assert {tuple(r) for r in retrieval.knn(v, q, 5, 1.0, block).collect()} == want
+    assert retrieval.knn(v.limit(0), q, 5).count() == 0 and retrieval.knn(v, q.limit(0), 5).count() == 0
+    centre = spark.createDataFrame([(k, vectors[k].tolist()) for k in range(9)], "identity long, c array<double>")
+    got = {(r.vec_id, r.identity, r.score) for r in nearest_centre(v, centre, block).collect()}
+    assert got == {(i, *max(((k, float(x @ vectors[k])) for k in range(9)), key=lambda s: (s[1], -s[0]))) for i, x in enumerate(vectors)}
+
+
+@pytest.mark.parametrize("few", [1000, 2])
+def test_rules_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(catalog, "FEW_RULES", few)
+    kinds, exts = ("image", "video", None), ("jpg", "MP4", None)
+    files = [(i, kinds[i % 3], exts[i % 2 if i % 7 else 2], i % 5, None if i == 11 else f"File_{i}.x", i * 10) for i in range(60)]
+    rules = {
+        1: [], 2: [("kind", "image")], 3: [("extension", ".Jpg"), ("library_id", "3")], 4: [("library_id", "x")], 5: [("name_contains", "FILE_1")], 6: [("min_size", "100"), ("max_size", "300")], 7: [("kind", "image"), ("kind", "video")],
+        8: [("extension", "mp4"), ("min_size", "200")], 9: [("kind", None)], 10: [("other", "1")],
+    }
+
+    def holds(f, field, v):
+        _, kind, ext, lib, name, size = f
+        if v is None:
+            return False
+        return {
+            "kind": kind == v, "extension": ext is not None and ext.lower() == v.lstrip(".").lower(), "library_id": v.isdigit() and lib == int(v), "name_contains": name is not None and v.lower() in name.lower(),
+            "min_size": v.isdigit() and size >= int(v), "max_size": v.isdigit() and size <= int(v),
+        }.get(field, False)
+
+    want = {(r, f[0]) for r, cs in rules.items() for f in files if all(holds(f, *c) for c in cs)}
+    df = spark.createDataFrame(files, "id long, kind string, extension string, library_id long, name string, size long")
+    got = catalog.matches(df, spark.createDataFrame(list(rules.items()), "rule_id long, conditions array<struct<field: string, value: string>>")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
