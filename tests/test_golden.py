@@ -220,7 +220,7 @@ def test_lexical_counts_against_brute_force(spark):
 
     texts = ["aaaa banana 红色气球", "AAA and bananana", "", None, "nothing here at all"]
     files = spark.createDataFrame([(i, f"name {i}", "p/aaa", t, t) for i, t in enumerate(texts)], "id long, name string, path string, text string, caption string")
-    words = ["aaa", "ana", "nan", "红色气球", "name", "zz", "absent"]
+    words = ["aaa", "ana", "nan", "红色气球", "name", "zz", "absent", "and ban", "a a", "ng h"]
     want = {}
     for w in words:
         for i, t in enumerate(texts):
