@@ -45,10 +45,14 @@ def _(t):
     return c.named_places(c.place_clusters(t.media_v), names, 20_000.0)
 
 
+def _runs(gap_s: int, far_m: int) -> str:
+    return f"""a AS (SELECT *, lag(t) OVER w AS t0, lag(latitude) OVER w AS la0, lag(longitude) OVER w AS lo0, {VALID} AS ok FROM media_v WINDOW w AS (PARTITION BY user_id ORDER BY t, id)),
+b AS (SELECT *, coalesce(t - t0 > {gap_s} OR (t - t0 > 7200 AND ok AND NOT (abs(la0) < 1e-4 AND abs(lo0) < 1e-4) AND {hav('latitude', 'longitude', 'la0', 'lo0')} > {far_m}), FALSE) AS cut FROM a),
+s AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM b)"""
+
+
 SESSIONS = f"""
-WITH a AS (SELECT *, lag(t) OVER w AS t0, lag(latitude) OVER w AS la0, lag(longitude) OVER w AS lo0, {VALID} AS ok FROM media_v WINDOW w AS (PARTITION BY user_id ORDER BY t, id)),
-b AS (SELECT *, coalesce(t - t0 > 43200 OR (t - t0 > 7200 AND ok AND NOT (abs(la0) < 1e-4 AND abs(lo0) < 1e-4) AND {hav('latitude', 'longitude', 'la0', 'lo0')} > 8000), FALSE) AS cut FROM a),
-s AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS run FROM b),
+WITH {_runs(43_200, 8000)},
 g AS (SELECT user_id, run, 0 AS part, min(t) AS start_t, max(t) AS end_t, count(*) AS members, avg(CASE WHEN ok THEN latitude END) AS lat, avg(CASE WHEN ok THEN longitude END) AS lon, (array_agg(id ORDER BY width * height DESC, id))[1] AS cover, min(id) AS first_id FROM s GROUP BY 1, 2)
 """
 
@@ -62,7 +66,16 @@ def _(t):
     return c.session_summary(_sessions(t), "user_id", 1).select("user_id", "run", "start_t", "end_t", "members")
 
 
-@query("e4_long_sessions")
+# starts of the parts of each run, one after the other, and for each row the last one before it
+LONG = f"""
+WITH RECURSIVE {_runs(40 * c.DAY, 80_000)},
+n AS (SELECT DISTINCT user_id, run, t, min(t) OVER (PARTITION BY user_id, run ORDER BY t RANGE BETWEEN {5 * c.DAY + 1} FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM s),
+f(user_id, run, start, part) AS (SELECT user_id, run, min(t), 0 FROM s GROUP BY 1, 2 UNION ALL SELECT n.user_id, n.run, n.next, f.part + 1 FROM f JOIN n ON n.user_id = f.user_id AND n.run = f.run AND n.t = f.start WHERE n.next IS NOT NULL),
+p AS (SELECT s.id, s.user_id, s.run, s.t, max(f.part) AS part FROM s JOIN f ON f.user_id = s.user_id AND f.run = s.run AND f.start <= s.t GROUP BY 1, 2, 3, 4)
+SELECT user_id, CAST(run AS BIGINT) AS run, CAST(part AS BIGINT) AS part, min(t) AS start_t, max(t) AS end_t, count(*) AS members FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 3"""
+
+
+@query("e4_long_sessions", LONG)
 def _(t):
     # a gap limit so wide that the length limit does the cutting
     return c.session_summary(c.event_sessions(t.media_v, "user_id", gap_s=40 * c.DAY, longest_s=5 * c.DAY), "user_id").select("user_id", "run", "part", "start_t", "end_t", "members")

@@ -51,11 +51,15 @@ def _(t):
     return d.near_pairs(_prints(t))
 
 
-@query("d5_groups", f"""
+GROUPS = f"""
 WITH RECURSIVE {HASHED}, e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id <> b.id AND bit_count(xor(a.fp, b.fp)) <= 8),
 c(id, r) AS (SELECT id, id FROM p UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.id WHERE c.r < e.b),
-m AS (SELECT id, min(r) AS g FROM c GROUP BY 1)
-SELECT m.g AS group_id, m.id, CAST(bit_count(xor(x.fp, y.fp)) AS INT) AS distance FROM m JOIN p x ON x.id = m.id JOIN p y ON y.id = m.g WHERE m.g IN (SELECT g FROM m GROUP BY g HAVING count(*) > 1)""")
+m AS (SELECT id, min(r) AS g FROM c GROUP BY 1),
+sg AS (SELECT m.g AS group_id, m.id, CAST(bit_count(xor(x.fp, y.fp)) AS INT) AS distance FROM m JOIN p x ON x.id = m.id JOIN p y ON y.id = m.g WHERE m.g IN (SELECT g FROM m GROUP BY g HAVING count(*) > 1))
+"""
+
+
+@query("d5_groups", GROUPS + "SELECT group_id, id, distance FROM sg")
 def _(t):
     return d.similar_groups(_prints(t))
 
@@ -70,7 +74,7 @@ def _(t):
     return t.embeddings.select("vec_id", F.bit_count(d.sign_print(F.col("embedding"))).alias("ones"))
 
 
-@query("d8_report")
+@query("d8_report", GROUPS + "SELECT group_id, count(*) AS members, max(distance) AS farthest FROM sg WHERE id IN (SELECT id FROM files_v) GROUP BY 1 HAVING count(*) > 1")
 def _(t):
     return d.group_report(d.similar_groups(_prints(t)), t.files_v)
 

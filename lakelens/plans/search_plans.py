@@ -217,7 +217,33 @@ def _(t):
     return _search(t).select("query_id", "rank", "id", "score", "confidence", "coverage", "sources")
 
 
-@query("c23_media_first")
+def _page_sql(limit: int, fused: str) -> str:
+    """A result page after ``fused``, which gives fu, fb (boosts) and med (media hits)."""
+    k = max(limit, 8)
+    return f"""WITH {LEX}, {KNN}, {BEST}, {fused}, gg AS (SELECT query_id, count(*) AS n FROM terms GROUP BY 1),
+cb AS (SELECT fu.query_id, fu.id, fu.score + coalesce(boost, 0) AS base, sources, CASE WHEN med.score IS NOT NULL THEN least(1.0, greatest(0.0, med.score)) + coalesce(boost, 0) END AS own FROM fu LEFT JOIN fb ON fb.query_id = fu.query_id AND fb.id = fu.id LEFT JOIN med ON med.query_id = fu.query_id AND med.id = fu.id),
+ce AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY base DESC, id) AS r FROM cb), cl AS (SELECT query_id, max(CASE WHEN r = {k} THEN base END) - 0.82 AS edge, max(r) AS most FROM ce GROUP BY 1),
+cw AS (SELECT ce.* FROM ce JOIN cl ON cl.query_id = ce.query_id WHERE most <= {k} OR base >= edge),
+fd AS (SELECT id, {NORM("concat(name, chr(10), path, chr(10), caption, chr(10), text)")} AS whole, {NORM('name')} AS nm FROM files_v),
+pf AS (SELECT cw.query_id, cw.id, base, own, sources, coalesce(gg.n, 0) AS n, count(t.alias) FILTER (contains(whole, {NORM('t.alias')})) AS hit, coalesce(bool_or(contains(nm, {NORM('t.alias')})), FALSE) AS name_match, first(contains(whole, {NORM('q.query')})) AS exact, arg_min(t.alias, t.g) FILTER (contains(whole, {NORM('t.alias')})) AS needle
+ FROM cw JOIN fd ON fd.id = cw.id JOIN ({QUERIES}) q ON q.query_id = cw.query_id LEFT JOIN gg ON gg.query_id = cw.query_id LEFT JOIN terms t ON t.query_id = cw.query_id GROUP BY 1, 2, 3, 4, 5, 6),
+sx AS (SELECT *, CASE WHEN n > 0 THEN hit / n ELSE 0 END AS cov FROM pf),
+sy AS (SELECT *, round(coalesce(own, base + 0.28 * cov + CASE WHEN exact THEN 0.18 ELSE 0 END + CASE WHEN name_match THEN 0.08 ELSE 0 END + CASE WHEN n > 1 AND hit = n THEN 0.14 WHEN n > 1 AND hit = 0 THEN -0.08 ELSE 0 END), 6) AS score FROM sx),
+sz2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM sy),
+pg AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS hi, min(score) OVER (PARTITION BY query_id) AS lo FROM sz2 WHERE rank <= {limit}),
+sn AS (SELECT pg.*, f.shown, length(needle) AS nl, strpos(lower(shown), lower(needle)) AS spot FROM (SELECT pg.* REPLACE (coalesce(needle, q.query) AS needle) FROM pg JOIN ({QUERIES}) q ON q.query_id = pg.query_id) pg JOIN (SELECT id, coalesce(nullif(caption, ''), text) AS shown FROM files_v) f ON f.id = pg.id),
+se AS (SELECT *, greatest(1, spot - 100) AS a, least(length(shown), spot - 1 + nl + 100) AS e FROM sn)
+SELECT query_id, CAST(rank AS INT) AS rank, id, score, round(CASE WHEN hi > lo THEN 0.2 + 0.75 * (score - lo) / (hi - lo) ELSE least(0.95, greatest(0.05, score)) END, 6) AS confidence, round(cov, 6) AS coverage, sources, total, total > {limit} AS has_more,
+CASE WHEN shown IS NULL OR shown = '' THEN '' WHEN spot = 0 THEN trim(substr(shown, 1, 200), ' ') ELSE concat(CASE WHEN a > 1 THEN '…' ELSE '' END, trim(substr(shown, a, e - a + 1), ' '), CASE WHEN e < length(shown) THEN '…' ELSE '' END) END AS snippet FROM se"""
+
+
+# the semantic retriever stands in where the media one found nothing
+MEDIA = f"""{FB}, mc AS (SELECT query_id, file_id AS id, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM sc WHERE vec_id % 3 = 0 AND query_id % 2 = 0 AND score >= 0.12) s WHERE r <= 20 GROUP BY 1, 2), med AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS pos FROM mc),
+pt AS (SELECT query_id, id, CASE batch WHEN -1 THEN 1.2 ELSE 0.75 END / (24 + pos) AS s, 'lexical' AS src FROM lex UNION ALL SELECT query_id, id, 1.15 / (24 + pos) + 0.18 * least(1.0, greatest(0.0, score)), 'semantic' FROM sem WHERE query_id NOT IN (SELECT query_id FROM med) UNION ALL SELECT query_id, id, 1.2 / (24 + pos) + 0.35 * least(1.0, greatest(0.0, score)), 'media' FROM med),
+fu AS (SELECT query_id, id, sum(s) + CASE WHEN count(DISTINCT src) > 1 THEN 0.03 ELSE 0 END AS score, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM pt GROUP BY 1, 2)"""
+
+
+@query("c23_media_first", _page_sql(10, MEDIA))
 def _(t):
     media = r.best_chunk(r.knn(t.vectors_v.filter("vec_id % 3 = 0"), _qv(t).filter("query_id % 2 = 0"), 20, 0.12))
     return _search(t, media=media)
@@ -280,7 +306,10 @@ def _(t):
     return r.confirmed(kept, notes, ["query_id", "file_id"]).select("query_id", "file_id", F.round("start_time", 6).alias("start_time"), "human", "place")
 
 
-@query("c30_saved_searches")
+PLAIN = f"{FUSED}, fb AS (SELECT query_id, id, 0.0 AS boost FROM fu WHERE FALSE), med AS (SELECT * FROM sem WHERE FALSE)"
+
+
+@query("c30_saved_searches", _page_sql(5, PLAIN))
 def _(t):
     return r.search(t.files_v, _queries(t), _sem(t).join(t.files_v.select("id"), "id", "left_semi"), page=r.Page(5))
 
@@ -292,12 +321,22 @@ def _cands(t):
     )
 
 
-@query("c31_sources")
+def _sources_sql(least: int) -> str:
+    return f"""WITH c AS (SELECT event_id // 40 AS query_id, event_id AS id, event_id % 40 AS rank, event_id * 13 % 100 / 100.0 AS conf, event_id * 7 % 5 / 4.0 AS cov, event_id % 80 < 3 OR event_id % 9 = 0 AS re, event_id % 80 < 3 AND event_id % 9 <> 0 AS ok FROM events),
+k AS (SELECT query_id, count(*) FILTER (ok) AS n_ok, count(*) FILTER (re) AS n_re FROM c GROUP BY 1),
+d AS (SELECT c.* FROM c JOIN k ON k.query_id = c.query_id WHERE CASE WHEN n_ok >= 2 THEN ok WHEN n_re >= 2 THEN re ELSE TRUE END),
+b AS (SELECT query_id, greatest(0.25, max(conf) * {0.5 if least >= 2 else 0.65}) AS low, max(cov) AS best, CASE WHEN max(cov) >= 0.75 THEN 0.5 ELSE greatest(0.35, max(cov) - 0.2) END AS need FROM d GROUP BY 1),
+l AS (SELECT d.query_id, list(id ORDER BY rank, id) FILTER (best > 0 AND conf >= low AND cov >= need) AS rel, list(id ORDER BY rank, id) FILTER (conf >= low) AS high, list(id ORDER BY rank, id) FILTER (conf < low) AS rest FROM d JOIN b ON b.query_id = d.query_id GROUP BY 1),
+s AS (SELECT query_id, CASE WHEN len(rel) >= {least} THEN rel[1:8] WHEN high IS NULL THEN rest[1:{max(4, least)}] ELSE list_concat(high, coalesce(rest, []))[1:least(greatest(len(high), {least}), {max(4, least)})] END AS ids FROM l)
+SELECT query_id, unnest(ids) AS id, CAST(generate_subscripts(ids, 1) AS INT) AS place FROM s"""
+
+
+@query("c31_sources", _sources_sql(1))
 def _(t):
     return a.select_sources(_cands(t)).select("query_id", "id", "place")
 
 
-@query("c31_sources_common")
+@query("c31_sources_common", _sources_sql(2))
 def _(t):
     return a.select_sources(_cands(t), least=2).select("query_id", "id", "place")
 

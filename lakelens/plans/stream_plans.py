@@ -91,12 +91,20 @@ def _requests(e):
     return e.select((F.col("user_id") % 6).cast("long").alias("job"), F.col("event_id").alias("t"), (F.col("event_id") % 50 == 0).alias("queue_empty"))
 
 
-@query("s7_throttled")
+# the next recompute after each row: the first at least 40 later or with an empty queue
+THROTTLED = """
+WITH RECURSIVE r AS (SELECT CAST(user_id % 6 AS BIGINT) AS job, event_id AS t, event_id % 50 = 0 AS empty FROM events),
+n AS (SELECT job, t, least(min(t) OVER (PARTITION BY job ORDER BY t RANGE BETWEEN 40 FOLLOWING AND UNBOUNDED FOLLOWING), min(CASE WHEN empty THEN t END) OVER (PARTITION BY job ORDER BY t RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS next FROM r),
+f(job, t) AS (SELECT job, min(t) FROM r GROUP BY 1 UNION ALL SELECT n.job, n.next FROM f JOIN n ON n.job = f.job AND n.t = f.t WHERE n.next IS NOT NULL)
+SELECT job, t FROM f"""
+
+
+@query("s7_throttled", THROTTLED)
 def _(t):
     return s.throttled(_requests(t.events), 40)
 
 
-@query("s7_throttled_stream")
+@query("s7_throttled_stream", THROTTLED)
 def _(t):
     return _run(t, s.throttled_stream(_requests(_stream(t)), 40))
 
