@@ -50,9 +50,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = rows.groupBy("class_id").agg(F.min("row").alias("first"))
     losers = rows.join(first, "class_id").filter("row != first").select("row.doc_id", "row._tag").distinct()
     left = docs.join(losers, ["doc_id", "_tag"], "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id", "_tag").orderBy(F.lit(0)))
     classless = F.col("doc_id").isNull() | (F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), F.lit("")) == "")
-    return left.withColumn("_again", again).filter(classless | (F.col("_again") == 1)).select(*COLUMNS)
+    # rows without a class are numbered one by one, so that they stay and spread over the tasks
+    left = left.withColumn("_alone", F.when(classless, F.monotonically_increasing_id()))
+    again = F.row_number().over(Window.partitionBy("doc_id", "_tag", "_alone").orderBy(F.lit(0)))
+    return left.withColumn("_again", again).filter("_again = 1").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
