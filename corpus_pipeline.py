@@ -49,12 +49,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = jaccard_join.classes(docs, with_links=False, tag_col="_tag").filter("class_id IS NOT NULL").select("class_id", F.struct("doc_id", "_tag").alias("row"))
     first = rows.groupBy("class_id").agg(F.min("row").alias("first"))
     losers = rows.join(first, "class_id").filter("row != first").select("row.doc_id", "row._tag").distinct()
-    left = docs.join(losers, ["doc_id", "_tag"], "left_anti")
+    # rows without a class need neither the join nor the numbering, and would be hot keys there
     classless = F.col("doc_id").isNull() | (F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), F.lit("")) == "")
-    # rows without a class are numbered one by one, so that they stay and spread over the tasks
-    left = left.withColumn("_alone", F.when(classless, F.monotonically_increasing_id()))
-    again = F.row_number().over(Window.partitionBy("doc_id", "_tag", "_alone").orderBy(F.lit(0)))
-    return left.withColumn("_again", again).filter("_again = 1").select(*COLUMNS)
+    again = F.row_number().over(Window.partitionBy("doc_id", "_tag").orderBy(F.lit(0)))
+    left = docs.filter(~classless).join(losers, ["doc_id", "_tag"], "left_anti").withColumn("_again", again).filter("_again = 1")
+    return left.select(*COLUMNS).unionByName(docs.filter(classless).select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
