@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_mincut, jaccard_join, langid, line_templates, mixing, quality_gam, quality_rules, topk, url_filter
+from . import bpe, html_mincut, jaccard_join, langid, line_templates, merkle, mixing, quality_gam, quality_rules, topk, url_filter
 from .common import held_out, table
 
 #: Rank file of op7 and the pipeline.
@@ -70,8 +70,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = {"n_chars": F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    out = merkle.manifest(table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text"), changed=changed)
+    out = out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("witness")).alias("proof_sha256"), merkle.fold(F.coalesce("changed_leaf", "leaf"), F.col("witness")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_mincut, op2_topk_histogram, op3_line_templates, op4_url_filter, op5_quality_rules, op6_language_id, op7_bpe, op8_quality_gam, op9_jaccard_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_html_mincut, op2_topk_histogram, op3_line_templates, op4_url_filter, op5_quality_rules, op6_language_id, op7_bpe, op8_quality_gam, op9_jaccard_join, op10_mixing, op12_merkle_manifest)}
 
 
 _TOPK = """
@@ -87,5 +94,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_topk_histogram": _TOPK,
         "op3_line_templates": line_templates.oracle_sql(),
         "op4_url_filter": url_filter.oracle_sql(),
+        "op12_merkle_manifest": merkle.oracle_sql(),
         "op10_mixing": mixing.oracle_sql(f"len(regexp_extract_all(coalesce(text, ''), '{SQL_WORD}'))"),
     }

@@ -1,5 +1,6 @@
 """The ten operators against brute force, exact round trips, SQL and edge cases."""
 
+import functools
 import hashlib
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakelens.llm import bpe, html_mincut, jaccard_join, langid, line_templates, mixing, quality_gam, quality_rules, queries, topk, url_filter
+from lakelens.llm import bpe, html_mincut, jaccard_join, langid, line_templates, merkle, mixing, quality_gam, quality_rules, queries, topk, url_filter
 from lakelens.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -604,3 +605,82 @@ def test_mixing_nulls_ties_and_repeated_rows(spark):
 def test_mixing_edges(spark):
     d = odd(spark, EDGE)
     assert mixing.mix(d).count() == d.count() and mixing.mix(d.limit(0)).count() == 0
+
+
+# -- op12
+
+
+def plain_manifest(rows, changed):
+    """Every row's (leaf, subroot, root, siblings, folded root), level by level over whole lists."""
+    h = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    part = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: h(*(part(r[k]) for k in (0, 3, 2, 4, 1)))
+
+    def climb(level):
+        paths = [[] for _ in level]
+        under = [[i] for i in range(len(level))]
+        while len(level) > 1:
+            for k in range(len(level)):
+                other = level[k ^ 1] if k ^ 1 < len(level) else ""
+                for i in under[k]:
+                    paths[i].append((other, "") if k % 2 else ("", other))
+            level = [h(*level[k : k + 2]) for k in range(0, len(level), 2)]
+            under = [sum(under[k : k + 2], []) for k in range(0, len(under), 2)]
+        return level[0], paths
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    order = {g: sorted((r for r in rows if r[2] == g), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for g in langs}
+    subs = {g: climb([leaf(r) for r in order[g]]) for g in langs}
+    root, tops = climb([subs[g][0] for g in langs]) if langs else (None, [])
+    out = []
+    for g, top in zip(langs, tops):
+        for r, path in zip(order[g], subs[g][1]):
+            bad = (*r[:4], None if r[4] is None else r[4] + 1) if changed(r[0]) else r
+            x = leaf(bad)
+            for a, b in path + top:
+                x = h(a, x, b)
+            out.append((r[0], leaf(r), subs[g][0], root, h(*(a + b for a, b in path + top)), x, x == root))
+    return out
+
+
+def manifest_query(spark, df, monkeypatch):
+    monkeypatch.setattr(queries, "table", lambda *a: df)
+    return [tuple(r) for r in queries.op12_merkle_manifest(spark, "").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()]
+
+
+by_text = lambda rows: sorted(rows, key=str)
+seventh = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 0
+
+
+@pytest.mark.parametrize("bits", [1, 2, 10])
+def test_manifest_is_that_of_whole_lists(spark, monkeypatch, bits):
+    monkeypatch.setattr(merkle, "manifest", functools.partial(merkle.manifest, bits=bits))
+    rng = random.Random(bits)
+    rows = [(i * 3 % 101, t, g, rng.choice(["a", None, "ü"]), rng.choice([None, len(t or "")])) for g, n in (("de", 37), (None, 8), ("", 1), ("ä", 5), ("z", 2), ("en", 16)) for i, t in enumerate(rng.choices([*EDGE, "tie", "tie"], k=n))]
+    rows += [(None, "no id", "en", None, 3)] * 2 + rows[:2]
+    df = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4]) for r in rows], DOCS).repartition(5)
+    for name in ("g", "id", "pos", "block", "count", "node", "bad", "witness", "root", "leaf"):
+        df = df.withColumn(name, F.lit("x"))
+    assert by_text(manifest_query(spark, df, monkeypatch)) == by_text(plain_manifest(rows, seventh))
+    assert manifest_query(spark, df.limit(0), monkeypatch) == []
+
+
+def test_witnesses_grow_with_every_append():
+    leaves = [hashlib.sha256(bytes([k])).hexdigest() for k in range(13)]
+    tree = merkle.Frontier()
+    for k, x in enumerate(leaves):
+        tree.append(x)
+        assert sum(1 << h for h, _, _ in tree.open) == k + 1  # open subtrees are the binary digits of the count
+    assert [len(w) for w in tree.witness] == [3] * 8 + [2] * 4 + [0]
+    root = tree.close()
+    for x, w in zip(leaves, tree.witness):
+        for a, b in w:
+            x = hashlib.sha256((a + x + b).encode()).hexdigest()
+        assert x == root
+
+
+def test_merkle_query_against_whole_lists(spark, sf, monkeypatch):
+    rows = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    got = manifest_query(spark, spark.createDataFrame(rows, DOCS), monkeypatch)
+    assert by_text(got) == by_text(plain_manifest(rows, seventh))
+    assert {r[0] for r in got if not r[-1]} == {r[0] for r in rows if seventh(r[0]) and r[4] is not None}
