@@ -1,4 +1,4 @@
-"""The ten operators over the tables of a data directory, and SQL where it can say the same."""
+"""The operators over the tables of a data directory, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_mincut, jaccard_join, langid, line_templates, merkle, mixing, quality_gam, quality_rules, topk, url_filter
+from . import bpe, hard_negatives, html_mincut, jaccard_join, langid, line_templates, merkle, mixing, pca_dedup, quality_gam, quality_rules, topk, url_filter
 from .common import held_out, table
 
 #: Rank file of op7 and the pipeline.
@@ -70,6 +70,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_lemp_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = {"n_chars": F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
     out = merkle.manifest(table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text"), changed=changed)
@@ -77,8 +82,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_pca_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pca_dedup.classes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_mincut, op2_topk_histogram, op3_line_templates, op4_url_filter, op5_quality_rules, op6_language_id, op7_bpe, op8_quality_gam, op9_jaccard_join, op10_mixing, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_html_mincut, op2_topk_histogram, op3_line_templates, op4_url_filter, op5_quality_rules, op6_language_id, op7_bpe, op8_quality_gam, op9_jaccard_join, op10_mixing, op11_lemp_negatives, op12_merkle_manifest, op13_pca_dedup)}
 
 
 _TOPK = """
@@ -94,6 +103,8 @@ def oracle_sql() -> dict[str, str]:
         "op2_topk_histogram": _TOPK,
         "op3_line_templates": line_templates.oracle_sql(),
         "op4_url_filter": url_filter.oracle_sql(),
+        "op11_lemp_negatives": hard_negatives.oracle_sql(),
         "op12_merkle_manifest": merkle.oracle_sql(),
+        "op13_pca_dedup": pca_dedup.oracle_sql(),
         "op10_mixing": mixing.oracle_sql(f"len(regexp_extract_all(coalesce(text, ''), '{SQL_WORD}'))"),
     }

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lakelens.llm import bpe, html_mincut, jaccard_join, langid, line_templates, merkle, mixing, quality_gam, quality_rules, queries, topk, url_filter
+from lakelens.llm import bpe, hard_negatives, html_mincut, jaccard_join, langid, line_templates, merkle, mixing, pca_dedup, quality_gam, quality_rules, queries, topk, url_filter
 from lakelens.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -684,3 +684,159 @@ def test_merkle_query_against_whole_lists(spark, sf, monkeypatch):
     got = manifest_query(spark, spark.createDataFrame(rows, DOCS), monkeypatch)
     assert by_text(got) == by_text(plain_manifest(rows, seventh))
     assert {r[0] for r in got if not r[-1]} == {r[0] for r in rows if seventh(r[0]) and r[4] is not None}
+
+
+# -- op11 and op13
+
+
+VECS = "vec_id long, embedding array<float>, label int"
+
+
+def odd_vectors(seed, n=260, dim=6):
+    """Vectors of two dimensions and many lengths, with groups of near copies, equal ones, ties, zero, null and non-finite ones, and repeated rows."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((12, dim))
+    rows = []
+    for i in range(n):
+        x = centres[i % 12] + rng.standard_normal(dim) * (0.1 if i % 3 else 2)
+        rows.append((i * 5, [float(np.float32(v)) for v in x * rng.choice([0.01, 1, 3])], int(rng.integers(0, 4))))
+    rows += [(3000 + k * 50, rows[k % 3][1], k % 3) for k in range(40)]  # equal vectors
+    rows += [(7000 + k, [1.0, 0.0], k % 2) for k in range(6)] + [(7100, [1.0, 1e-3], 0), (7200, [-1.0, 0.0], 1), (7300, [0.0, -0.0], 1)]
+    rows += [(8000, [0.0] * dim, 1), (8100, None, 1), (8200, [None] * dim, 1), (8300, [float("nan")] * dim, 1), (8400, [float("inf")] + [0.0] * (dim - 1), 2), (8500, [], 2), (8600, rows[0][1], None), (None, rows[0][1], 1)]
+    return rows + rows[:1] + rows[20:21]
+
+
+def vectors(spark, rows):
+    df = spark.createDataFrame(rows, VECS).repartition(5)
+    for name in ("id", "x", "len", "k1", "k2", "m", "low", "tile", "bucket", "dim", "w", "anchor", "rank", "score", "comp", "h", "l"):
+        df = df.withColumn(name, F.lit("x"))
+    return df
+
+
+def plain_negatives(rows):
+    own = {}
+    for i, v, label in rows:
+        if i is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v):
+            label = (label + 1) % 10 if i % 7 == 0 else label
+            own[i, label, tuple(v)] = (i, label, [int(np.floor(x * 256)) for x in v])
+    out = []
+    for i, label, v in own.values():
+        if i % 100:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), j, k) for j, k, w in own.values() if j != i and len(w) == len(v))
+        for p, j, _ in [s for s in scored if s[2] == label][:5]:
+            hard = [(-n, k) for n, k, other in scored if other != label and 30 * -p <= 100 * -n <= 90 * -p]
+            out += [(i, j, r + 1, k, -p, n) for r, (n, k) in enumerate(hard[:10])]
+    return sorted(out)
+
+
+def mined(spark, df, monkeypatch):
+    monkeypatch.setattr(queries, "table", lambda *a: df)
+    return sorted(tuple(r) for r in queries.op11_lemp_negatives(spark, "").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hard_negatives_against_brute_force(spark, monkeypatch, seed):
+    rows = odd_vectors(seed)
+    got = mined(spark, vectors(spark, rows), monkeypatch)
+    assert got == plain_negatives(rows) and len(got) > 100
+    assert mined(spark, vectors(spark, rows).limit(0), monkeypatch) == []
+
+
+def test_hard_negatives_by_blocks_and_small_buckets(spark, monkeypatch):
+    rows = odd_vectors(3)
+    for name, value in (("BLOCK", 3), ("BUCKET", 8), ("STRIDE", 2)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    assert mined(spark, vectors(spark, rows), monkeypatch) == plain_negatives(rows)
+
+
+def test_focus_intervals_leave_out_no_row_and_most_others():
+    rng = np.random.default_rng(5)
+    v = np.floor(rng.standard_normal((3000, 8)) * 400).astype(np.int64)
+    q = v[:50]
+    length = np.sqrt((v.astype(float) ** 2).sum(1))
+    part = np.argsort(length)[-500:]
+    order = np.argsort(v[part] / length[part, None], axis=0).astype(np.uint16).T
+    import pyarrow as pa
+
+    cells = [0, 8, length[part].min(), length[part].max(), part.tobytes(), part.tobytes(), v[part].tobytes(), "i8", np.ascontiguousarray(order).tobytes()]
+    bucket = hard_negatives.Bucket(pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=list("abcdefghi")))
+    anchors = hard_negatives.Anchors(np.arange(50), np.zeros(50, np.int64), q)
+    scores = q @ v[part].T
+    for share in (0.999, 0.9, 0.5, 0.01):
+        least = np.quantile(scores, share, axis=1)
+        seen = np.zeros(scores.shape, bool)
+        for k, places, s in bucket.candidates(anchors, least):
+            seen[k, places] = True
+            assert (scores[k, places] == s).all()
+        assert seen[scores >= least[:, None]].all()
+    least = np.quantile(scores, 0.999, axis=1)
+    assert sum(len(p) for _, p, _ in bucket.candidates(anchors, least)) < 0.6 * scores.size  # directions without any structure
+
+
+def plain_classes(rows, threshold):
+    fit = [v is not None and i is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for i, v, _ in rows]
+    unit = [np.array(v, float) / np.linalg.norm(v) if f else None for (_, v, _), f in zip(rows, fit)]
+    near = [[k for k in range(len(rows)) if k != n and fit[k] and fit[n] and len(unit[k]) == len(unit[n]) and unit[k] @ unit[n] >= threshold] for n in range(len(rows))]
+    root = {}
+
+    def top(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for n, own in enumerate(near):
+        for k in own:
+            a, b = sorted((top(rows[n][0]), top(rows[k][0])))
+            root[b] = a
+    return sorted(((i, len(own), None if i is None else top(i), i is None or top(i) == i) for (i, _, _), own in zip(rows, near)), key=str)
+
+
+@pytest.mark.parametrize("seed,small", [(1, False), (2, True)])
+def test_embedding_classes_against_brute_force(spark, monkeypatch, seed, small):
+    rows = odd_vectors(seed)
+    if small:
+        for name, value in (("TILE", 16), ("BLOCK_VALUES", 400), ("SAMPLE_VALUES", 200), ("HEAVY", 5)):
+            monkeypatch.setattr(pca_dedup, name, value)
+    df = vectors(spark, rows)
+    got = sorted((tuple(r) for r in pca_dedup.classes(df).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
+    assert got == plain_classes(rows, 0.9) and any(r[1] > 20 for r in got)
+    assert pca_dedup.classes(df.limit(0)).count() == 0
+    assert {r[1] for r in pca_dedup.classes(df.filter("vec_id >= 8000")).collect()} == {0}
+
+
+def test_embedding_classes_of_the_given_table(spark, sf):
+    rows = [tuple(r) for r in table(spark, sf, "embeddings").select("vec_id", "embedding", "label").collect()]
+    got = sorted((tuple(r) for r in queries.op13_pca_dedup(spark, sf).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
+    assert got == plain_classes(rows, 0.9)
+
+
+def test_tiles_end_pairs_early_and_lose_none():
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.standard_normal((300, 32)) * np.linspace(3, 0.2, 32), np.zeros((60, 32))])
+    x[300:] = x[:60] + rng.standard_normal((60, 32)) * 0.2
+    axes = pca_dedup.Axes(pca_dedup._units(x))
+    y = pca_dedup._units(x) @ axes.v
+    box = np.stack([y.min(0), y.max(0)]).astype(np.float32)
+    one = lambda n, p: pca_dedup.Tile({"tile": n, "dim": 32, "m": np.ones(len(p), np.int64).tobytes(), "low": p.tobytes(), "x": x[p].tobytes(), "kind": "f8", "box": box.tobytes()}, axes)
+    a, b = one(0, np.arange(0, 200)), one(1, np.arange(200, 360))
+    cos = pca_dedup._units(x) @ pca_dedup._units(x).T
+    i, j = pca_dedup.linked(a, b, axes, 0.9)
+    assert set(zip(i.tolist(), (j + 200).tolist())) == {(p, q) for p in range(200) for q in range(200, 360) if cos[p, q] >= 0.9} and len(i) > 40
+    i, j = pca_dedup.linked(a, a, axes, 0.9)
+    assert set(zip(i.tolist(), j.tolist())) == {(p, q) for p in range(200) for q in range(p + 1, 200) if cos[p, q] >= 0.9}
+    first = a.y[:, : axes.cuts[0]] @ b.y[:, : axes.cuts[0]].T + np.multiply.outer(a.rest[axes.cuts[0]], b.rest[axes.cuts[0]])
+    assert axes.cuts[0] < 16 and (first >= 0.9).mean() < 0.6
+
+
+def test_union_is_that_of_all_pairs():
+    rng = np.random.default_rng(2)
+    for n, m in ((50, 20), (200, 190), (1000, 3000)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        parent = np.arange(n)
+        pca_dedup.unite(parent, a, b)
+        plain = list(range(n))
+        for x, y in zip(a, b):
+            x, y = plain[x], plain[y]
+            plain = [min(x, y) if p in (x, y) else p for p in plain]
+        assert pca_dedup._find(parent, np.arange(n)).tolist() == plain
