@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import ranked
+from .session import written
 
 #: Vectors multiplied at a time with a block of queries or centres.
 ROWS = 512
@@ -27,10 +30,11 @@ def matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _blocks(df: DataFrame, key: str, size: int) -> list[pa.Table]:
-    """The table on the driver in blocks of about ``size`` rows, dealt by hash."""
+def _blocks(df: DataFrame, key: str, size: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Blocks of about ``size`` rows, dealt by hash and fetched one at a time, and whether there are several."""
     n = max(1, -(-df.count() // size))
-    return [(df if n == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)).toArrow().combine_chunks() for i in range(n)]
+    for i in range(n):
+        yield (df if n == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)).toArrow().combine_chunks(), n > 1
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
@@ -66,9 +70,10 @@ def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int, least: float, q
     src = vectors.select(F.col("vec_id").cast("long"), F.col("file_id").cast("long"), "embedding")
     kind = queries.schema["query_id"].dataType.simpleString()
     out = None
-    for table in _blocks(queries.select("query_id", "qv"), "query_id", query_block):
+    for table, several in _blocks(queries.select("query_id", "qv"), "query_id", query_block):
         part = src.mapInArrow(_nearest(table, k, least), f"query_id {kind}, vec_id long, file_id long, score double")
         part = part.withColumn("r", ranked("query_id", F.desc("score"), "vec_id")).filter(F.col("r") <= k).drop("r")
+        part = written(part, "nearest") if several else part  # the driver then lets go of the block
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -92,24 +97,29 @@ def _nearest(table: pa.Table, k: int, least: float):
     return run
 
 
-def nearest_centre(vectors: DataFrame, centres: DataFrame, block: int) -> DataFrame:
-    """(vec_id, identity, score): each vector's centre (identity, c) of the highest inner product; ties to the smaller identity.
+def nearest_centre(vectors: DataFrame, centres: DataFrame, block: int, least: float | None = None, ordered: bool = False) -> DataFrame:
+    """(vec_id, identity, score): each vector's centre (identity, c) of the highest inner product, if that reaches ``least``.
 
-    Centres go to every task in blocks of about ``block``; a vector that no centre fits gives no row.
+    Ties go to the smaller identity. With ``ordered`` a centre is that of a
+    cluster led by the vector ``identity``: only vectors of a larger id see
+    it, and ties go to the larger identity. Centres go to every task in blocks of about
+    ``block``, one at a time; a vector that no centre fits gives no row.
     """
     src = vectors.select(F.col("vec_id").cast("long"), "embedding")
     kind = centres.schema["identity"].dataType.simpleString()
-    parts = [src.mapInArrow(_centre(t), f"vec_id long, identity {kind}, score double") for t in _blocks(centres.select("identity", "c"), "identity", block)]
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("r", ranked("vec_id", F.desc("score"), "identity")).filter("r = 1").drop("r")
+    out = None
+    for table, several in _blocks(centres.select("identity", "c"), "identity", block):
+        part = src.mapInArrow(_centre(table, least, ordered), f"vec_id long, identity {kind}, score double")
+        if not several:
+            return part
+        part = written(part, "nearest")
+        out = part if out is None else out.unionByName(part)
+    best = ranked("vec_id", F.desc("score"), F.desc("identity") if ordered else F.asc("identity"))
+    return out.withColumn("r", best).filter("r = 1").drop("r")
 
 
-def _centre(table: pa.Table):
-    table = table.sort_by("identity").combine_chunks()
+def _centre(table: pa.Table, least: float | None, ordered: bool):
+    table = table.sort_by([("identity", "descending" if ordered else "ascending")]).combine_chunks()
     names = _column(table, "identity")
 
     def run(batches):
@@ -119,9 +129,15 @@ def _centre(table: pa.Table):
                 if dim not in centres or not len(centres[dim][0]):
                     continue
                 own, c = centres[dim]
+                first = names.take(pa.array(own)).to_numpy(zero_copy_only=False) if ordered else None
+                ids = b.column(0).to_numpy(zero_copy_only=False)[at]
                 for x in range(0, len(rows), ROWS):
                     scores = rows[x : x + ROWS] @ c.T
+                    if ordered:
+                        scores[ids[x : x + ROWS, None] <= first[None, :]] = -np.inf
                     k = scores.argmax(axis=1)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[x : x + ROWS])), names.take(pa.array(own[k])), pa.array(scores[np.arange(len(k)), k])], names=["vec_id", "identity", "score"])
+                    best = scores[np.arange(len(k)), k]
+                    fit = np.flatnonzero((best > -np.inf) & (best >= (-np.inf if least is None else least)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x : x + ROWS][fit]), names.take(pa.array(own[k[fit]])), pa.array(best[fit])], names=["vec_id", "identity", "score"])
 
     return run

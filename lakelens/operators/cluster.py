@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EARTH_M, dot, haversine_m, ranked, unit, valid_point
+from ..functions.columns import EARTH_M, haversine_m, ranked, unit, valid_point
 from ..functions.session import written
 from ..functions.vectors import nearest_centre
-from .dedup import components
 
 HOUR, DAY = 3600, 86_400
 
@@ -148,22 +148,26 @@ def identified(vectors: DataFrame, centre: DataFrame, threshold: float = 0.45, l
 
 
 def _lead(threshold: float):
+    """The fold over a frame of (block, vec_id, embedding): each vector joins the cluster of the nearest mean that reaches the threshold, the later one of equals, or leads a new one."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
-        rows = np.vstack(pdf["embedding"].to_list()).astype(float) if len(pdf) else np.zeros((0, 1))
-        sums = np.zeros((min(16, max(1, len(rows))), rows.shape[1]))
-        units, n = np.zeros_like(sums), 0
+        sums, units = np.zeros((0, 0)), np.zeros((0, 0))
         leader, of = [], []
-        for i, v in zip(pdf["vec_id"], rows):
+        for i, v in zip(pdf["vec_id"], pdf["embedding"]):
+            v = np.asarray(v, float)
+            n = len(leader)
+            if not n:
+                sums, units = np.zeros((16, len(v))), np.zeros((16, len(v)))
             s = units[:n] @ v
-            k = int(s.argmax()) if n else -1
+            k = n - 1 - int(s[::-1].argmax()) if n else -1
             if k < 0 or s[k] < threshold:
                 if n == len(sums):  # room doubles
                     sums, units = (np.concatenate([x, np.zeros_like(x)]) for x in (sums, units))
-                k, n = n, n + 1
+                k = n
                 leader.append(i)
             sums[k] += v
-            units[k] = sums[k] / (np.linalg.norm(sums[k]) or 1)
+            units[k] = sums[k] / max(np.linalg.norm(sums[k]), 1e-12)
             of.append(leader[k])
         return pd.DataFrame({"block": pdf["block"], "vec_id": pdf["vec_id"], "cluster": of})
 
@@ -173,56 +177,81 @@ def _lead(threshold: float):
 def leader_clusters(vectors: DataFrame, block: str, threshold: float = 0.45) -> DataFrame:
     """Leader clustering in id order inside each block: (block, vec_id, cluster = id of its leader).
 
-    The order matters, so block borders change results; blocks must fit a task.
+    Vectors of a block have one length; blocks must fit a task.
     """
     src = vectors.select(F.col(block).cast("long").alias("block"), "vec_id", "embedding")
     return src.groupBy("block").applyInPandas(_lead(threshold), "block long, vec_id long, cluster long")
 
 
-def block_planes(rows: int, block_rows: int) -> int:
-    """Planes that cut so many rows into blocks of about ``block_rows``; none if one block holds all."""
-    return max(0, (max(1, rows) - 1).bit_length() - (block_rows - 1).bit_length())
+def _sums(members: DataFrame) -> DataFrame:
+    """(cluster, p, x): sum of each part of the members' vectors (cluster, embedding), added up batch by batch first."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names, at = np.unique(b.column(0).to_numpy(), return_inverse=True)
+            rows = np.vstack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)
+            out = np.zeros((len(names), rows.shape[1]))
+            np.add.at(out, at, rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, rows.shape[1])), pa.array(np.tile(np.arange(rows.shape[1], dtype=np.int32), len(names))), pa.array(out.ravel())], names=["cluster", "p", "x"])
+
+    return members.select("cluster", "embedding").mapInArrow(run, "cluster long, p int, x double").groupBy("cluster", "p").agg(F.sum("x").alias("x"))
+
+
+def _centres(sums: DataFrame) -> DataFrame:
+    """(identity, c): the direction of each cluster's sum."""
+    c = sums.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("c"))
+    return c.select(F.col("cluster").alias("identity"), unit(F.transform("c", lambda s: s["x"])).alias("c"))
+
+
+#: Clusters whose means go to every task at once.
+CENTRE_BLOCK = 20_000
+
 
+def global_clusters(vectors: DataFrame, threshold: float = 0.45, block_rows: int = 8192, growth: float = 1.5) -> DataFrame:
+    """Leader clusters of all vectors in id order: (block = 0, vec_id, cluster = id of its leader).
 
-def global_clusters(vectors: DataFrame, threshold: float = 0.45, block_rows: int = 8192, seed: int = 11) -> DataFrame:
-    """Leader clusters of all vectors: (block = 0, vec_id, cluster = smallest leader id).
+    The first ``block_rows`` vectors are clustered one by one. What follows comes
+    in epochs, each ``growth`` - 1 times as large as all before it. A vector of an
+    epoch joins the nearest mean as it stood before the epoch, if that reaches
+    the threshold. Of the others the first ``block_rows`` are clustered one by
+    one, and every vector of the epoch behind a new leader moves to its cluster
+    where that is nearer; so on until each has a cluster. Clusters are never
+    joined, so that no chain of means forms. A vector sees the means of
+    clusters led by smaller ids only; of equally near ones the later is taken.
 
-    Up to ``block_rows`` vectors are clustered in id order, as in one pass.
-    More are dealt into blocks by the signs of random projections, so that like
-    vectors meet; an uneven block is dealt again by hash, so that no task
-    holds more than about that many. Clusters of different blocks become one
-    if their centroids reach the threshold and lie in one cell of the
-    projections or in two that differ in one sign.
+    One pass and epochs differ where a mean moves within an epoch. Null and
+    empty vectors, and rows without an id, are left out; vectors have one length; an id occurs once.
     """
-    planes = block_planes(vectors.count(), block_rows)
-    v = vectors.select("vec_id", "embedding")
-    if not planes:
-        return leader_clusters(v.withColumn("block", F.lit(0)), "block", threshold)
-    cell = sign_cells(planes, seed)
-    v = written(v.withColumn("cell", cell(F.col("embedding").cast("array<double>"))), "cells")
-    parts = v.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))  # at most 2^planes rows
-    dealt = v.join(F.broadcast(parts), "cell").withColumn("block", F.xxhash64("cell", F.pmod(F.xxhash64("vec_id"), "parts")))
-    found = written(leader_clusters(dealt, "block", threshold).select("vec_id", "cluster"), "leaders")
-    centre = written(centroids(found.join(v.select("vec_id", "embedding"), "vec_id"), "cluster").withColumn("cell", cell("c")), "centres")
-    probe = F.array(F.col("cell"), *[F.col("cell").bitwiseXOR(F.lit(1 << k)) for k in range(planes)])
-    x, y = centre.select(F.col("cluster").alias("a"), F.col("c").alias("ca"), F.explode(probe).alias("cell")), centre.select(F.col("cluster").alias("b"), F.col("c").alias("cb"), "cell")
-    near = x.join(y, "cell").filter((F.col("a") < F.col("b")) & (dot(F.col("ca"), F.col("cb")) >= threshold)).select("a", "b")
-    root = components(centre.select(F.col("cluster").alias("id")), near)
-    return found.join(root.select(F.col("id").alias("cluster"), "root"), "cluster").select(F.lit(0).cast("long").alias("block"), "vec_id", F.col("root").alias("cluster"))
-
-
-def sign_cells(planes: int, seed: int):
-    """A vectorised function: the cell of a vector by the signs of random projections."""
-
-    @F.pandas_udf("int")
-    def cells(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype="int32")
-        rows = np.vstack(vectors.to_list())
-        normals = np.random.default_rng(seed).standard_normal((rows.shape[1], planes))
-        return pd.Series(((rows @ normals > 0) @ (1 << np.arange(planes))).astype("int32"))
-
-    return cells
+    v = vectors.filter("vec_id IS NOT NULL AND size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    v = written(numbered(v.withColumn("all", F.lit(0)), "all", "vec_id").select("vec_id", "embedding", "number"), "in-order")
+    total = v.count()
+
+    def folded(rows: DataFrame, name: str) -> DataFrame:
+        own = leader_clusters(rows.withColumn("block", F.lit(0)), "block", threshold).select("vec_id", "cluster")
+        return written(own.join(rows, "vec_id"), name)
+
+    first = folded(v.filter(F.col("number") <= block_rows), "leaders")
+    found, sums = first.select("vec_id", "cluster"), written(_sums(first), "sums")
+    at = block_rows
+    while at < total:
+        end = max(at + 1, int(at * growth))
+        part = written(v.filter((F.col("number") > at) & (F.col("number") <= end)).repartition("vec_id"), "epoch")
+        near = nearest_centre(part, _centres(sums), CENTRE_BLOCK, threshold, True).withColumnRenamed("identity", "cluster")
+        part = written(part.join(near, "vec_id", "left"), "epoch")
+        while not (open_ := part.filter("cluster IS NULL")).isEmpty():
+            head = folded(open_.select("vec_id", "embedding", "number").orderBy("number").limit(block_rows), "leaders")
+            new = nearest_centre(part, _centres(_sums(head)), CENTRE_BLOCK, threshold, True).select("vec_id", F.col("identity").alias("nearer"), F.col("score").alias("s"))
+            own = head.select("vec_id", F.col("cluster").alias("own"))
+            j = part.join(new, "vec_id", "left").join(own, "vec_id", "left")
+            moves = F.col("nearer").isNotNull() & (F.col("score").isNull() | (F.col("s") >= F.col("score")))
+            # what was clustered one by one stays in its cluster for the epoch
+            part = written(j.select("vec_id", "embedding", "number", F.coalesce("own", F.when(moves, F.col("nearer")).otherwise(F.col("cluster"))).alias("cluster"), F.when(F.col("own").isNotNull(), F.lit(float("inf"))).when(moves, F.col("s")).otherwise(F.col("score")).alias("score")), "epoch")
+        found = found.unionByName(part.select("vec_id", "cluster"))
+        sums = written(sums.unionByName(_sums(part)).groupBy("cluster", "p").agg(F.sum("x").alias("x")), "sums")
+        at = end
+    return found.select(F.lit(0).cast("long").alias("block"), "vec_id", "cluster")
 
 
 def identities(clusters: DataFrame, least: int = 2) -> DataFrame:

@@ -117,12 +117,22 @@ def _clusters(t):
     return c.global_clusters(t.embeddings, 0.3)
 
 
-@query("e9_leader_clusters")
+# the fold, a row a step: sums of the clusters so far, and where the step's vector went
+LEADERS = """
+WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+f(i, vec_id, lead, sums, k) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS DOUBLE[][]), CAST(0 AS BIGINT)
+UNION ALL SELECT i, vec_id, CASE WHEN k > len(lead) THEN list_append(lead, vec_id) ELSE lead END,
+  CASE WHEN k > len(sums) THEN list_append(sums, v) ELSE list_concat(list_slice(sums, 1, k - 1), [list_transform(range(1, len(v) + 1), lambda p: sums[k][p] + v[p])], list_slice(sums, k + 1, len(sums))) END, k
+FROM (SELECT i, vec_id, v, lead, sums, CASE WHEN coalesce(list_max(scores), -2) >= 0.3 THEN len(scores) + 1 - list_position(list_reverse(scores), list_max(scores)) ELSE len(sums) + 1 END AS k
+  FROM (SELECT v.i, v.vec_id, v.v, f.lead, f.sums, list_transform(f.sums, lambda s: list_inner_product(s, v.v) / sqrt(list_inner_product(s, s))) AS scores FROM f JOIN v ON v.i = f.i + 1)))"""
+
+
+@query("e9_leader_clusters", LEADERS + " SELECT CAST(0 AS BIGINT) AS block, vec_id, lead[k] AS cluster FROM f WHERE i > 0", raw=True)
 def _(t):
     return _clusters(t)
 
 
-@query("e9_numbered")
+@query("e9_numbered", LEADERS + ", c AS (SELECT lead[k] AS cluster, count(*) AS size FROM f WHERE i > 0 GROUP BY 1 HAVING count(*) >= 2) SELECT CAST(0 AS BIGINT) AS block, cluster, size, row_number() OVER (ORDER BY size DESC, cluster) AS number FROM c", raw=True)
 def _(t):
     return c.identities(_clusters(t))
 

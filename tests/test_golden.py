@@ -318,3 +318,45 @@ def test_rules_against_brute_force(spark, monkeypatch, few):
     df = spark.createDataFrame(files, "id long, kind string, extension string, library_id long, name string, size long")
     got = catalog.matches(df, spark.createDataFrame(list(rules.items()), "rule_id long, conditions array<struct<field: string, value: string>>")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def plain_leaders(rows, threshold):
+    """The fold in id order: the cluster (its leader's place) of each vector."""
+    leaders, sums, of = [], [], []
+    for i, v in enumerate(rows):
+        scores = [float(s @ v) / np.linalg.norm(s) for s in sums]
+        best = max(range(len(scores)), key=lambda k: (scores[k], k), default=-1)
+        if best < 0 or scores[best] < threshold:
+            best = len(leaders)
+            leaders.append(i)
+            sums.append(np.zeros(len(v)))
+        sums[best] = sums[best] + v
+        of.append(leaders[best])
+    return of
+
+
+def test_leaders_in_epochs_are_those_of_one_pass(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres, person = unit(rng.standard_normal((40, 64))), rng.integers(0, 40, 1500)
+    x = unit(centres[person] + rng.standard_normal((1500, 64)) / 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (5000, None)], "vec_id long, embedding array<double>").repartition(3)
+    want = np.array(plain_leaders(x, 0.45))
+    one = {r.vec_id: r.cluster for r in cluster.global_clusters(df).collect()}
+    assert one == dict(enumerate(want.tolist()))
+    many = {r.vec_id: r.cluster for r in cluster.global_clusters(df, block_rows=200).collect()}
+    got = np.array([many[i] for i in range(1500)])
+    pairs = np.triu_indices(1500, 1)
+    assert len(many) == 1500 and ((got[pairs[0]] == got[pairs[1]]) == (want[pairs[0]] == want[pairs[1]])).mean() >= 0.99
+    assert all(len(set(person[got == c])) <= max(len(set(person[want == w])) for w in set(want)) for c in set(got))
+    # in pairs of one cluster, too
+    both = ((got[pairs[0]] == got[pairs[1]]) & (want[pairs[0]] == want[pairs[1]])).sum()
+    assert 2 * both >= 0.97 * ((got[pairs[0]] == got[pairs[1]]).sum() + (want[pairs[0]] == want[pairs[1]]).sum())
+    assert cluster.global_clusters(df.limit(0)).count() == 0
+
+
+def test_equally_near_clusters_give_the_later_one(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2**0.5 / 2] * 2), (4, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (1, 2, 100):
+        assert {r.vec_id: r.cluster for r in cluster.global_clusters(df, 0.7, block_rows=block).collect()} == {1: 1, 2: 2, 3: 2, 4: 1}, block
