@@ -8,7 +8,9 @@ that of the region. Neighbouring blocks, blocks of one parent, blocks and the
 region they stand in, and regions inside each other are tied by smoothness
 edges of the same scale. The maximum flow's source side is the content: a
 block's own wording can never outweigh a firm region around it, while a region
-that only a loose name marks gives way to enough prose.
+that only a loose name marks gives way to enough prose, and a form or a region
+that a name of layouts marks is firm only if most of the text stands elsewhere.
+A page without any content is cut once more with a milder classifier.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,19 +43,24 @@ _PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 #: Tags that begin and end a block, tags without content, and tags that stand outside the text.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUTSIDE_TAGS = frozenset("nav aside footer form menu dialog head title fieldset label search".split())
+OUTSIDE_TAGS = frozenset("nav aside footer menu dialog head title fieldset label search".split())
+FIELD_TAGS = frozenset("input select textarea button label fieldset".split())
 #: Names of regions outside the text, firm and loose ones, of regions of content, and of roles.
 FIRM_NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer gdpr masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies reply respond sharing sidebar signup sponsor sponsored subscribe subscription toolbar".split())
 LOOSE_NAMES = frozenset("banner form modal search share social topbar trending widget".split())
 COMMENT_NAMES = frozenset("comment comments commentlist replies reply respond disqus".split())
+#: Firm names of what stands outside the text however much it holds; other firm names are also those of layouts.
+APART_NAMES = COMMENT_NAMES | frozenset("ad ads advert adverts advertisement advertisements advertising cookie cookies consent disclaimer gdpr newsletter promo promoted promotion related signup sponsor sponsored subscribe subscription".split())
+#: Words behind which a name says what a layout has or lacks.
+LAYOUT_WORDS = frozenset("after before below beside free has hide is no non not show under with without".split())
 CONTENT_NAMES = frozenset("article body content entry main post story text".split())
 #: Words that, after a name of a region, still name the region.
 HOLDERS = frozenset("area articles bar block body bottom box buttons center column container content footer group header holder inner item items label left link links list module outer panel post posts right row section slot stories strip text title top unit wrap wrapper zone".split())
 FIRM_ROLES = frozenset("navigation contentinfo complementary search menu menubar dialog alertdialog form".split())
 CONTENT_ROLES = frozenset("main article".split())
 
-#: Kinds of regions.
-NONE, FIRM, LOOSE, ARTICLE, MAIN, NAMED = range(6)
+#: Kinds of regions; of the last three, the whole page tells which of the others they are: a form, one that only a name marks, an article in such a one.
+NONE, FIRM, LOOSE, ARTICLE, MAIN, NAMED, FORM, HINT, INNER = range(9)
 
 
 @dataclass(frozen=True)
@@ -76,6 +83,7 @@ class Weights:
     adjacent: float = 0.6
     sibling: float = 0.4
     across: float = 0.1  # neighbours of different regions, regions inside each other
+    second: float = 1.0  # bias added for a page without any content at first
 
 
 class Block:
@@ -92,13 +100,14 @@ class Block:
 
 
 def name_kind(token: str) -> int:
-    """What a whole class or id token says: a name of a region, or one followed by words that name its holder."""
+    """What a whole class or id token says: a name of a region, alone, last, or followed by words that name its holder; nothing behind a word of layouts."""
     parts = [p.lower() for p in _PARTS.findall(token)]
     if not parts:
         return NONE
     for names, kind in ((FIRM_NAMES, FIRM), (LOOSE_NAMES, LOOSE)):
-        if parts[-1] in names or any(p in names for p in parts) and all(p in names or p in HOLDERS for p in parts[next(i for i, p in enumerate(parts) if p in names) :]):
-            return kind
+        at = next((i for i, p in enumerate(parts) if p in names), None)
+        if at is not None and not LAYOUT_WORDS & set(parts[:at]) and (parts[-1] in names or all(p in names or p in HOLDERS for p in parts[at:])):
+            return HINT if kind == FIRM and not APART_NAMES & set(parts) else kind
     return NAMED if len(parts) <= 2 and parts[-1] in CONTENT_NAMES else NONE
 
 
@@ -115,24 +124,71 @@ def element_kind(tag: str, attributes: str, inside: int) -> int:
         for what, *values in _NAMES.findall(attributes):
             for token in "".join(values).split():
                 if what.lower() == "role":
-                    kinds.add(FIRM if token in FIRM_ROLES else MAIN if token in CONTENT_ROLES else NONE)
+                    kinds.add(HINT if token in FIRM_ROLES else MAIN if token in CONTENT_ROLES else NONE)
                 elif tag not in ("article", "main"):
                     kinds.add(name_kind(token))
                 elif COMMENT_NAMES & {p.lower() for p in _PARTS.findall(token)}:
                     kinds.add(name_kind(token))
     if FIRM in kinds:
         return FIRM
+    if inside == HINT:
+        return INNER if tag in ("article", "main") else NONE
+    if tag == "form":
+        return FORM
+    if HINT in kinds and not kinds & {NAMED, MAIN}:
+        return HINT
     if inside == LOOSE:
         return NONE
     if tag in ("article", "main"):
         return ARTICLE if tag == "article" else MAIN
     if LOOSE in kinds:
         return LOOSE
-    if inside in (ARTICLE, MAIN):
+    if inside in (ARTICLE, MAIN, INNER):
         return NONE
     return MAIN if MAIN in kinds else NAMED if NAMED in kinds else NONE
 
 
+def settle(found: list[tuple[Block, str]], regions: list[tuple[int, int]], fields: set[int]) -> list[tuple[int, int]]:
+    """The regions once the page is read, and their blocks in those that remain.
+
+    A form with fields is firm, and so is a region that only a name of a layout
+    marks, unless they hold most of the page's text (over half, over two thirds) and no article
+    stands outside. The only article of a page is one even in such a region. All
+    inside a firm region is firm.
+    """
+    chars = [0] * len(regions)
+    for b, t in found:
+        r = b.region
+        while r:
+            chars[r] += len(t)
+            r = regions[r][1]
+    total = sum(len(t) for _, t in found)
+    articles = sum(kind in (ARTICLE, MAIN, INNER) for kind, _ in regions)
+    beside = [sum(kind in (ARTICLE, MAIN) for kind, _ in regions)] * len(regions)  # articles outside each region
+    for kind, r in regions:
+        while kind in (ARTICLE, MAIN) and r:
+            beside[r] -= 1
+            r = regions[r][1]
+    out = [regions[0]]
+    stays = [0]  # the region that stands for each
+    for r, (kind, around) in enumerate(regions[1:], 1):
+        outer = stays[around]
+        if kind == FORM:
+            kind = FIRM if r in fields and (beside[r] or 2 * chars[r] <= total) else NONE
+        elif kind == HINT:
+            kind = FIRM if beside[r] or 3 * chars[r] <= 2 * total else NONE
+        elif kind == INNER:
+            kind = ARTICLE if articles == 1 or out[outer][0] != FIRM else NONE
+            outer = outer if out[outer][0] != FIRM or kind == NONE else 0
+        elif out[outer][0] == FIRM:
+            kind = NONE
+        stays.append(r if kind != NONE else outer)
+        out.append((kind, outer))
+    for b, _ in found:
+        b.region = stays[b.region]
+    return out
+
+
 def blocks(page: str) -> tuple[list[tuple[Block, str]], list[tuple[int, int]]]:
     """The page's non-empty text blocks in order, with their text, and (kind, region around it) of every region.
 
@@ -149,6 +205,18 @@ def blocks(page: str) -> tuple[list[tuple[Block, str]], list[tuple[int, int]]]:
     beside: Block | None = None  # of a part of it that stands in another region
     serial, at = 0, 0
     unclosed: set[str] = set()
+    fields: set[int] = set()  # forms that hold one
+
+    def kind_around(region: int) -> int:
+        """The kind of the nearest region that is no form."""
+        while regions[region][0] == FORM:
+            region = regions[region][1]
+        return regions[region][0]
+
+    def field(region: int) -> None:
+        while region and regions[region][0] != FORM:
+            region = regions[region][1]
+        fields.add(region)
 
     def close(upto: int) -> None:
         while len(stack) > upto:
@@ -158,6 +226,8 @@ def blocks(page: str) -> tuple[list[tuple[Block, str]], list[tuple[int, int]]]:
         at = m.end()
         if m[2] is not None:
             name = m[2].lower()
+            if name in FIELD_TAGS:
+                field(stack[-1][1])
             if not m[0].endswith("/>") and name not in unclosed:
                 if end := _ENDS[name].search(page, at):
                     at = end.end()
@@ -186,6 +256,8 @@ def blocks(page: str) -> tuple[list[tuple[Block, str]], list[tuple[int, int]]]:
                 into.linked += len(m[5])
             continue
         if m[3] is None:
+            if m[1] and m[1].lower() == "textarea":
+                field(stack[-1][1])
             continue  # comment, declaration or an element outside the text
         tag = m[3].lower()
         is_block = tag in BLOCK_TAGS
@@ -204,16 +276,19 @@ def blocks(page: str) -> tuple[list[tuple[Block, str]], list[tuple[int, int]]]:
                 close(block)
                 if tag == "tr" and stack[-1][3] and stack[stack[-1][3]][0] == "tr":
                     close(stack[-1][3])
+        _, region, linked, block, parent = stack[-1]
+        if tag in FIELD_TAGS:
+            field(region)
         if tag in VOID_TAGS or m[0].endswith("/>"):
             continue
-        _, region, linked, block, parent = stack[-1]
-        if (kind := element_kind(tag, m[4] or "", regions[region][0])) != NONE:
+        if (kind := element_kind(tag, m[4] or "", kind_around(region))) != NONE:
             regions.append((kind, region))
             region = len(regions) - 1
         serial += 1
         places.setdefault(tag, []).append(len(stack))
         stack.append((tag, region, linked or tag == "a", len(stack) if is_block else block, serial if is_block and tag not in ("p", "li") else parent))
-    return [(b, t) for b in out if (t := b.text())], regions
+    found = [(b, t) for b in out if (t := b.text())]
+    return found, settle(found, regions, fields)
 
 
 def evidence(b: Block, text: str, w: Weights) -> float:
@@ -336,6 +411,8 @@ def extract(page: str, w: Weights = Weights()) -> tuple[str, int, int]:
     """Main text, number of blocks, number of content blocks."""
     found, regions = blocks(page)
     content = source_side(*graph(found, regions, w))
+    if found and not any(content[: len(found)]):  # a short page without marks
+        content = source_side(*graph(found, regions, replace(w, bias=w.bias + w.second)))
     kept = [t for (_, t), c in zip(found, content) if c]
     return "\n".join(kept), len(found), len(kept)
 

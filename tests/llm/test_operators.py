@@ -69,6 +69,43 @@ def test_html_paragraph_around_an_inline_advert_is_one_block():
     assert html_mincut.extract("<article><p>One half of it <span class=ad>Buy. Buy.</span> and the other.</p></article>")[0] == "One half of it and the other."
 
 
+LAYOUTS = (
+    "content has-sidebar", "no-sidebar", "content sidebar-right", "page-with-sidebar", "layout no-comments", "post no-ads", "with-related", "menu-content", "has-left-sidebar", "sidebar-layout", "nav-wrapper page", "toolbar-page", "main-area without-footer",
+    "footer-sticky wrapper", "notice-free", "single has-banner", "hide-sidebar", "two-sidebars", "with-navbar", "navbar-fixed container", "post-content no-share", "sidebar-off", "entry with-cookie-bar", "is-subscribed", "hero show-menu", "masthead-on",
+    "show-breadcrumbs", "free-from-ads", "not-promoted", "menu-open page",
+)
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_html_layout_names_delete_no_article(name):
+    text = "The first sentence of the article is here. It goes on for a while. And it ends."
+    for body in (f"<article><p>{text}</p></article>", f"<p>{text}</p>"):
+        assert html_mincut.extract(f"<html><body><div class='{name}'>{body}</div><footer>By me.</footer></body></html>")[0] == text, body
+
+
+def test_html_forms_and_named_regions_are_weighed_by_what_they_hold():
+    text = "The first sentence of the article is here. It goes on for a while. And it ends."
+    page = f'<form id="aspnetForm"><input type=hidden><div class=nav><a href=/>Home</a></div><h1>Its title</h1><p>{text}</p><p>{text}</p><div class="comments"><p>{text} Mine.</p></div><footer>me</footer></form>'
+    assert html_mincut.extract(page)[0] == f"Its title\n{text}\n{text}"
+    letter = f"<form class=letter><p>{text} Write to us.</p><p>{text} Do it now.</p><input></form>"
+    assert html_mincut.extract(f"<article><p>{text}</p></article>{letter}")[0] == text
+    assert html_mincut.extract(f"<article><p>{text}</p></article><div class=sidebar><p>{text} Side.</p><p>{text} Side again.</p><article><p>{text} Teaser.</p></article></div>")[0] == text
+    assert html_mincut.extract(f"<article><p>{text}</p></article><section id=comments><article><p>{text * 9}</p></article></section>")[0] == text
+    assert html_mincut.extract("<p>Hello world</p><p>Second bit</p>")[0] == "Hello world\nSecond bit" and html_mincut.extract("just plain text")[0] == "just plain text"
+    assert html_mincut.extract("<nav><a href=/>Home</a></nav><div class=cookie-notice>We use cookies.</div>")[0] == ""
+
+
+def test_generated_pages_in_layouts_are_read_as_without():
+    rng = random.Random(3)
+    exact = [0, 0]
+    for k in range(120):
+        page, story = generated_page(rng)
+        inside = page.replace("<body>", f"<body><div class='{LAYOUTS[k % len(LAYOUTS)]}'>").replace("</body>", "</div></body>")
+        for n, p in enumerate((page, inside)):
+            exact[n] += html_mincut.extract(p)[0] == "\n".join(story)
+    assert exact[1] >= exact[0] - 3 and exact[1] > 95, exact
+
+
 def generated_page(rng):
     """A page without an article element, and the blocks that are its article."""
     word = lambda: "".join(rng.choice("aeioubdklmnrst") for _ in range(rng.randint(2, 9)))
