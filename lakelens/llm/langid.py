@@ -4,11 +4,13 @@ Two texts are compared by how many of their distinct character 1-, 2- and
 3-grams they share (blended-spectrum presence kernel, cosine-normalised). A
 bounded sample gives landmarks and training rows; the Nystroem map of the
 kernel to the landmarks feeds one kernel ridge regression per language. Scoring
-a batch is one product of the batch's presence matrix with the landmarks'.
+a batch is a product of its presence with the landmarks', kept as a list of
+landmarks for each n-gram, and one of the kernel with the regressions' weights.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import importable, share, slices
 
 #: Bound of the training sample: rows a language, characters of a row, and landmarks a language.
-ROWS_PER_LANG, MAX_CHARS, LANDMARKS_PER_LANG, MAX_LANGS = 250, 20_000, 16, 400
+ROWS_PER_LANG, MAX_CHARS, LANDMARKS_PER_LANG = 250, 20_000, 16
+#: Most rows and landmarks of all languages; where there are many languages each has its share, and one at least.
+MAX_ROWS, MAX_LANDMARKS = 20_000, 2048
 RIDGE, SHARPNESS = 1e-2, 6.0
 #: Places that n-grams are hashed to.
 PLACES = 1 << 19
@@ -43,8 +47,8 @@ def _hashed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    codes: np.ndarray  # n-gram codes that some landmark has
-    landmarks: np.ndarray  # presence, codes x landmarks
+    starts: np.ndarray  # of each code's landmarks in ``marks``
+    marks: np.ndarray  # landmarks that have the code, as long as all landmarks' distinct n-grams together
     norms: np.ndarray  # distinct n-grams of each landmark
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
@@ -60,21 +64,31 @@ class Model:
             three = two[:-1] + s[2:] * _FACTORS[2]
             return _hashed(np.concatenate([one, two, three]))
 
-    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of presence over ``codes`` and each text's count of distinct n-grams."""
+    def distinct(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Each text's distinct codes."""
         seen = np.zeros(PLACES, bool)
-        rows, norms = np.zeros((len(texts), len(self.codes)), np.float32), np.ones(len(texts))
-        for i, text in enumerate(texts):
+        for text in texts:
             g = self.grams(text)
             seen[g] = True
-            rows[i] = seen[self.codes]
-            norms[i] = max(1, np.count_nonzero(seen))
+            yield np.flatnonzero(seen)
             seen[g] = False
-        return rows, norms
+
+    def know(self, texts: list[str]) -> None:
+        """Take the texts as landmarks."""
+        own = list(self.distinct(texts))
+        codes = np.concatenate(own)
+        order = np.argsort(codes, kind="stable")
+        self.marks = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=PLACES))])
+        self.norms = np.array([max(1, len(x)) for x in own], float)
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        rows, norms = self.presence(texts)
-        return (rows @ self.landmarks) / np.sqrt(norms[:, None] * self.norms[None, :])
+        out = np.zeros((len(texts), len(self.norms)))
+        for i, own in enumerate(self.distinct(texts)):
+            first, n = self.starts[own], self.starts[own + 1] - self.starts[own]
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out[i] = np.bincount(self.marks[at], minlength=len(self.norms)) / math.sqrt(max(1, len(own)))
+        return out / np.sqrt(self.norms)
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language and its softmax share."""
@@ -90,11 +104,9 @@ def learn(sample: pd.DataFrame) -> Model | None:
     if sample.empty:
         return None
     langs = sorted(sample["lang"].unique())
-    marks = sample.groupby("lang", sort=True).head(LANDMARKS_PER_LANG)["text"].tolist()
-    m = Model(np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)), np.zeros(0), langs)
-    m.codes = np.unique(np.concatenate([m.grams(t) for t in marks]))
-    rows, m.norms = m.presence(marks)
-    m.landmarks = np.ascontiguousarray(rows.T)
+    marks = sample.groupby("lang", sort=True).head(max(1, min(LANDMARKS_PER_LANG, MAX_LANDMARKS // len(langs))))["text"].tolist()
+    m = Model(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros((0, 0)), np.zeros(0), langs)
+    m.know(marks)
     values, vectors = np.linalg.eigh(m.kernel(marks).astype(float))
     top = values > 1e-6 * values.max()
     project = vectors[:, top] / np.sqrt(values[top])
@@ -107,17 +119,17 @@ def learn(sample: pd.DataFrame) -> Model | None:
 
 
 def training_sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> pd.DataFrame:
-    """About ``rows_per_lang`` rows of each of the ``MAX_LANGS`` commonest languages, chosen by a hash of the id.
+    """About ``rows_per_lang`` rows of each language, of many languages fewer (about ``MAX_ROWS`` in all), chosen by a hash of the id.
 
     The first ``MAX_CHARS`` characters of a row; this and the row bound keep what reaches the driver small.
     """
     usable = docs.filter(F.col(lang_col).isNotNull() & ((F.length(text_col) > 0)))
-    counts = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col(lang_col) == r[0], F.lit(rows_per_lang / r[1])).otherwise(rate)
-    picked = usable.filter(share(id_col) < rate).select(F.col(id_col).alias("id"), F.substring(text_col, 1, MAX_CHARS).alias("text"), F.col(lang_col).alias("lang"))
-    return picked.limit(3 * rows_per_lang * max(1, len(counts))).toArrow().to_pandas().sort_values(["lang", "id"], kind="stable").reset_index(drop=True)
+    counts = usable.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))  # a row a language
+    n = max(1, counts.count())
+    rows = max(1, min(rows_per_lang, MAX_ROWS // n))
+    picked = usable.select(F.col(id_col).alias("id"), F.substring(text_col, 1, MAX_CHARS).alias("text"), F.col(lang_col).alias("lang"))
+    picked = picked.join(counts, F.col("lang") == F.col("_lang")).filter(share("id") < F.lit(float(rows)) / F.col("_n")).select("id", "text", "lang")
+    return picked.limit(3 * rows * n).toArrow().to_pandas().sort_values(["lang", "id"], kind="stable").reset_index(drop=True)
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:
@@ -130,7 +142,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     """
     importable(docs.sparkSession)
     model = learn(training_sample(train, rows_per_lang, id_col, text_col, lang_col))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # size fixed by the landmark bounds
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # four bytes for each distinct n-gram of a landmark, whose number and length are bounded
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

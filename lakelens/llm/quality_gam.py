@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,14 +38,12 @@ def features(text: str) -> list[float]:
     chars = max(1, len(text) - sum(map(text.count, SPACE)))
     lines = [x for x in text.split("\n") if x.strip(SPACE)]
     distinct = len(set(words))
-    low = text.lower()
-    upper = sum(a != b for a, b in zip(text, low)) if n < 50 else _upper(text, low)
     plain = text.encode("ascii", "ignore")
     return [
         math.log1p(n),
         chars / n,
         sum(map(text.count, SYMBOLS)) / n,
-        upper / chars,
+        np.count_nonzero(capitals()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]) / chars,
         sum(map(text.count, "0123456789")) / chars,
         (text.count(". ") + text.count(".\n")) / n,
         text.count(",") / n,
@@ -58,9 +57,10 @@ def features(text: str) -> list[float]:
     ]
 
 
-def _upper(text: str, low: str) -> int:
-    a, b = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return int(np.count_nonzero(a != b)) if len(a) == len(b) else sum(map(str.isupper, text))
+@lru_cache(1)
+def capitals() -> np.ndarray:
+    """Whether each code point is a capital letter."""
+    return np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000)
 
 
 @dataclass

@@ -8,6 +8,7 @@ held too much of its text.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +29,8 @@ WINDOW = 8
 
 #: Lower-case phrases of boilerplate lines.
 BOILERPLATE = ("all rights reserved", "©", "copyright (c)", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "accept all cookies", "enable javascript", "licensed under ", "released under the ", "sign up for our newsletter", "click here to")
-#: Characters of a line for each such phrase from which the line is text that mentions it.
-CHARS_A_PHRASE = 400
+#: Ends of a line's sentences.
+_END = re.compile(r"(?<=[.!?|])[ \t]+")
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,7 @@ class Rules:
     min_stutter_words: int = 10
     max_stutter_share: float = 0.5  # of a line's words that equal the next one
     nav_separators: int = 3
+    max_phrase_share: float = 0.5  # of a line's characters in sentences with a phrase of boilerplate
     max_lost_share: float = 0.5
 
 
@@ -82,8 +84,10 @@ def base_figures(text: str) -> tuple[int, int, int, int, int]:
 
 def bad_line(line: str, rules: Rules) -> str | None:
     """The first rule that the line fails: boilerplate, navigation, punctuation or repetition; None if it passes."""
-    if len(line) < CHARS_A_PHRASE * sum(map(line.lower().__contains__, BOILERPLATE)):
-        return "boilerplate"
+    if any(map(line.lower().__contains__, BOILERPLATE)):
+        sentences = _END.split(line)
+        if sum(len(x) for x in sentences if any(map(x.lower().__contains__, BOILERPLATE))) > rules.max_phrase_share * sum(map(len, sentences)):
+            return "boilerplate"
     if line.count("|") >= rules.nav_separators or line.count(" > ") + line.count(" » ") >= rules.nav_separators:
         return "navigation"
     words = line.split()
@@ -121,8 +125,9 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
     Returns one row per input row: the id and the columns of ``SCHEMA``.
     ``clean_text`` is the text without failing lines (null if ``with_text`` is
     false). A null or empty text has zero words and fails; repeated rows are
-    judged alike; extra columns, whatever their names, are ignored; one very
-    long line or document is handled whole.
+    judged alike, and so are rows without an id; extra columns, whatever their
+    names, are ignored; one very long line or document is handled whole; an
+    empty table gives an empty result.
     """
     importable(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))

@@ -325,10 +325,11 @@ def brute_verdict(text):
             continue
         size, low = sum(map(len, words)), line.strip(" \t\n\x0b\x0c\r").lower()
         total += size
-        phrases = sum(p in low for p in quality_rules.BOILERPLATE)
+        sentences = re.split(r"(?<=[.!?|])[ \t]+", line.strip(" \t\n\x0b\x0c\r"))
+        phrases = sum(len(x) for x in sentences if any(p in x.lower() for p in quality_rules.BOILERPLATE))
         letters = [c for c in line if c.isalpha()]
         fails = [
-            phrases and len(line.strip(" \t\n\x0b\x0c\r")) < 400 * phrases,
+            phrases > 0.5 * sum(map(len, sentences)),
             line.count("|") >= 3 or line.count(" > ") + line.count(" \u00bb ") >= 3,
             sum(bool(set(w) & set("#*$%&|<>")) for w in words) > 0.3 * len(words),
             len(re.findall("!!", line)) + len(re.findall(r"\?\?\?", line)) > 0.3 * len(words),
@@ -357,6 +358,14 @@ def test_quality_verdict(spark, sf):
     assert got == [("5", n, True, good), ("5", n, True, good), ("6", 0, False, ""), ("7", 0, False, ""), ("None", n, True, good)]
 
 
+def test_boilerplate_is_judged_by_its_share_at_any_length():
+    told = "They read the privacy policy of the house. "
+    for n in (1, 3, 30, 300):
+        plain = "It was a long evening in the town. " * n
+        assert quality_rules.bad_line((told * n + plain * 2).strip(), quality_rules.Rules()) is None
+        assert quality_rules.bad_line((told * 2 * n + plain).strip(), quality_rules.Rules()) == "boilerplate"
+
+
 def test_quality_keeps_clean_and_drops_junk(spark, sf):
     labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
     got = [(labels[r.doc_id], r.kept, r.base_failed) for r in queries.op5_quality_rules(spark, sf).collect() if r.doc_id in labels]
@@ -403,6 +412,73 @@ def test_language_kernel_against_brute_force():
     assert [m.langs[k] for k in best] == ["ru", "zh", "en"]
 
 
+def test_language_model_grows_with_what_landmarks_hold():
+    import pandas as pd
+
+    rng = random.Random(4)
+    rows = [("".join(chr(0x4E00 + 60 * k + rng.randrange(60)) for _ in range(300)), f"l{k:03}") for k in range(300) for _ in range(3)]
+    m = langid.learn(pd.DataFrame(rows, columns=["text", "lang"]))
+    assert len(m.langs) == 300 and len(m.marks) < 900 * len(m.norms) and m.marks.nbytes + m.starts.nbytes < 8e6
+    best, _ = m.predict([t for t, _ in rows[::3]])
+    assert np.mean([m.langs[k] == lang for k, (_, lang) in zip(best, rows[::3])]) > 0.99
+
+
+def test_capitals_are_counted_alike_at_any_length():
+    at = quality_gam.FEATURES.index("upper")
+    for n in (10, 48, 49, 50, 51, 400):
+        text = "\u0130" + " hello" * n
+        assert quality_gam.features(text)[at] == 1 / (1 + 5 * n)
+
+
+def plain_boosting(x, y):
+    """Main effects row by row: each round and feature, the residuals' best cut, then the best cut of either side."""
+    g_ = quality_gam
+    base = np.log((y.sum() + 1) / (len(y) + 2) / (1 - (y.sum() + 1) / (len(y) + 2)))
+    cuts = [sorted({float(q) for q in np.quantile(c, np.linspace(0, 1, g_.BINS + 1)[1:-1])}) for c in x.T]
+    bins = [[sum(e < v for e in c) for v in col] for c, col in zip(cuts, x.T)]
+    tables = [[0.0] * (len(c) + 1) for c in cuts]
+    margin = [base] * len(y)
+    for _ in range(g_.ROUNDS):
+        for own, table_ in zip(bins, tables):
+            p = [1 / (1 + np.exp(-m)) for m in margin]
+            g, h = ([sum(v for b, v in zip(own, vs) if b == k) for k in range(len(table_))] for vs in ([t - q for t, q in zip(y, p)], [q * (1 - q) for q in p]))
+
+            def cut(lo, hi):
+                found, most = None, 1e-9
+                for k in range(lo + 1, hi):
+                    a, b, c, d = sum(g[lo:k]), sum(h[lo:k]), sum(g[k:hi]), sum(h[k:hi])
+                    gain = a * a / (b + 1) + c * c / (d + 1) - (a + c) ** 2 / (b + d + 1)
+                    if b > g_.MIN_LEAF / 8 and d > g_.MIN_LEAF / 8 and gain > most + 1e-12:
+                        found, most = k, gain
+                return found
+
+            edges = [0, len(g)]
+            if (m := cut(0, len(g))) is not None:
+                edges = sorted({0, m, len(g), *(e for e in (cut(0, m), cut(m, len(g))) if e)})
+            for lo, hi in zip(edges, edges[1:]):
+                add = g_.RATE * min(4, max(-4, sum(g[lo:hi]) / (sum(h[lo:hi]) + 1)))
+                for k in range(lo, hi):
+                    table_[k] += add
+            margin = [base + sum(t[b[i]] for t, b in zip(tables, bins)) for i in range(len(y))]
+    return cuts, tables
+
+
+def test_gam_tables_against_plain_boosting(monkeypatch):
+    monkeypatch.setattr(quality_gam, "ROUNDS", 12)
+    monkeypatch.setattr(quality_gam, "BINS", 8)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 3))
+    y = (((x[:, 0] > 0) ^ (x[:, 1] > 0)) | (x[:, 2] > 1)).astype(float)
+    m = quality_gam.learn(x, y)
+    cuts, tables = plain_boosting(x, y)
+    assert all(np.allclose(a, b) for a, b in zip(m.cuts, cuts)) and all(np.allclose(a, b, atol=1e-9) for a, b in zip(m.tables, tables))
+    for row, got in zip(x[:50], m.margin(x[:50])):
+        want = m.base + sum(t[sum(c < v for c in cut)] for cut, t, v in zip(m.cuts, m.tables, row))
+        want += sum(t[sum(c < row[a] for c in m.pair_cuts[a]), sum(c < row[b] for c in m.pair_cuts[b])] for (a, b), t in zip(m.pairs, m.pair_tables))
+        assert abs(want - got) < 1e-9
+    assert (0, 1) in m.pairs and np.mean((m.margin(x) > 0) == (y > 0)) > 0.85
+
+
 def test_language_and_quality_of_empty_tables(spark, sf):
     d, train, labels = docs(spark, ["hello there"]), table(spark, sf, "documents"), table(spark, sf, "labels")
     assert langid.identify(d.limit(0), train).count() == 0 and quality_gam.score(d.limit(0), train, labels).count() == 0
