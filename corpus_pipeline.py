@@ -13,6 +13,8 @@ from lakelens.llm import bpe, jaccard_join, line_templates, mixing, quality_rule
 from lakelens.llm.common import saved, table
 from lakelens.llm.queries import tokenizer
 
+#: A class of more than one row in so many is joined by broadcast.
+HEAVY = 1000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -47,8 +49,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     docs = docs.select(*COLUMNS, F.xxhash64("text", "lang", "source").alias("_tag"))
     rows = jaccard_join.classes(docs, with_links=False, tag_col="_tag").filter("class_id IS NOT NULL").select("class_id", F.struct("doc_id", "_tag").alias("row"))
-    first = rows.groupBy("class_id").agg(F.min("row").alias("first"))
-    losers = rows.join(first, "class_id").filter("row != first").select("row.doc_id", "row._tag").distinct()
+    first = saved(rows.groupBy("class_id").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1"), "pipeline-first")
+    # at most HEAVY classes hold more than one row in HEAVY: their first rows go to every task, so that no key is hot
+    total = first.agg(F.sum("n")).first()[0] or 0
+    heavy = first.filter(F.col("n") * HEAVY > total).select("class_id", F.col("first").alias("of_heavy"))
+    light = first.filter(F.col("n") * HEAVY <= total).select(F.col("class_id").alias("light_id"), F.col("first").alias("of_light"))
+    rows = rows.join(F.broadcast(heavy), "class_id", "left")
+    key = F.when(F.col("of_heavy").isNull(), F.col("class_id")).otherwise(F.xxhash64("row"))
+    rows = rows.withColumn("light_id", key).join(light, "light_id", "left").withColumn("first", F.coalesce("of_heavy", "of_light"))
+    losers = rows.filter("row != first").select("row.doc_id", "row._tag").distinct()
     # rows without a class need neither the join nor the numbering, and would be hot keys there
     classless = F.col("doc_id").isNull() | (F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), F.lit("")) == "")
     again = F.row_number().over(Window.partitionBy("doc_id", "_tag").orderBy(F.lit(0)))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +85,22 @@ def slices(batches: Iterable, rows: int = 256) -> Iterator:
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The roots of places ``x``; paths to them shorten."""
+    while True:
+        up = parent[x]
+        if (up == x).all():
+            return x
+        parent[x] = parent[up]
+        x = parent[x]
+
+
+def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of each pair; the smaller place becomes the root."""
+    while len(a):
+        a, b = find(parent, a), find(parent, b)
+        apart = a != b
+        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        np.minimum.at(parent, b, a)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, importable, saved, slices
+from .common import drop, find, importable, saved, slices, unite
 from .shingles import Hasher, mix
 
 #: A token of more sets than this is frequent, and very frequent.
@@ -50,6 +50,8 @@ SMALL = 24
 BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 20
 #: Most blocks of a territory that all meet; a set is then copied at most so often.
 WHOLE = 16
+#: Sets of a cell that are compared first where only components are asked for.
+PIVOTS = 16
 #: Distinct tokens that a cell of two blocks compares at a time.
 WIDTH = 4096
 #: Most long lists whose keys are sent to every task; beyond, Spark chooses the join.
@@ -382,51 +384,71 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return common
 
 
-def _cell(sids: list[int], before: list[bool], sets: list[np.ndarray], inside: bool, j: Join) -> Iterator[tuple[int, int, int]]:
-    """(sid, n_links, root) of the linked sets of a cell: links inside its one block, or between its two."""
-    left = [k for k, x in enumerate(before) if x]
-    right = left if inside else [k for k, x in enumerate(before) if not x]
-    if not left or not right or inside and len(left) < 2:
+def _linked(left: list[np.ndarray], right: list[np.ndarray], j: Join) -> np.ndarray:
+    """Whether each set on the left is linked with each on the right."""
+    na, nb = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    common = common_counts(left, right)
+    return common * j.den >= (na[:, None] + nb[None, :] - common) * j.num
+
+
+def _cell(sids: list[int], before: list[bool], sets: list[np.ndarray], inside: bool, j: Join, links: bool) -> Iterator[tuple[int, int, int]]:
+    """(sid, n_links, root) of the linked sets of a cell: links inside its one block, or between its two.
+
+    Without ``links`` n_links is 0, and sets already in one component are not compared.
+    """
+    nodes = np.array([k for k, x in enumerate(before) if x] + [k for k, x in enumerate(before) if not x and not inside], np.int64)
+    everyone = np.arange(len(nodes))
+    n_left = sum(before)
+    left, right = everyone[:n_left], everyone[:n_left] if inside else everyone[n_left:]
+    if not len(left) or not len(right) or inside and len(left) < 2:
         return
-    na, nb = (np.array([len(sets[k]) for k in side], np.int64) for side in (left, right))
-    linked = np.zeros((len(left), len(right)), bool)
-    for at in range(0, len(left), 512):
-        part = slice(at, at + 512)
-        common = common_counts([sets[k] for k in left[part]], [sets[k] for k in right])
-        linked[part] = common * j.den >= (na[part, None] + nb[None, :] - common) * j.num
-    if inside:
-        np.fill_diagonal(linked, False)
-    own = [np.array([sids[k] for k in side], np.int64) for side in (left, right)]
-    degree = linked.sum(axis=1), linked.sum(axis=0)
-    seen = np.zeros(len(left), bool)
-    for s in np.flatnonzero(degree[0]):
-        if seen[s]:
-            continue
-        # breadth first over the two sides in turn
-        rows, cols = np.zeros(len(left), bool), np.zeros(len(right), bool)
-        fresh = np.array([s])
-        while len(fresh):
-            rows[fresh] = True
-            new = np.flatnonzero(linked[fresh].any(axis=0) & ~cols)
-            cols[new] = True
-            fresh = np.flatnonzero(linked[:, new].any(axis=1) & ~rows)
-        seen |= rows
-        if inside:
-            rows |= cols
-            seen |= rows
-        root = int(own[0][rows].min()) if inside else int(min(own[0][rows].min(), own[1][cols].min()))
-        yield from ((int(x), int(d), root) for x, d in zip(own[0][rows], degree[0][rows]))
-        if not inside:
-            yield from ((int(x), int(d), root) for x, d in zip(own[1][cols], degree[1][cols]))
-
-
-def _cells(rows: DataFrame, j: Join) -> DataFrame:
+    parent, degree = everyone.copy(), np.zeros(len(nodes), np.int64)
+
+    def meet(a: np.ndarray, b: np.ndarray) -> None:
+        others = [sets[x] for x in nodes[b]]
+        for at in range(0, len(a) if len(b) else 0, 512):
+            part = a[at : at + 512]
+            i, k = np.nonzero(_linked([sets[x] for x in nodes[part]], others, j))
+            i, k = part[i], b[k]
+            apart = i != k
+            i, k = i[apart], k[apart]
+            if links:  # all pairs of the cell meet once, inside a block from either end
+                degree[:] += np.bincount(i, minlength=len(nodes)) + (0 if inside else np.bincount(k, minlength=len(nodes)))
+            unite(parent, i, k)
+
+    if links:
+        meet(left, right)
+    else:
+        done = np.zeros(len(nodes), bool)
+        first = left[:PIVOTS]
+        meet(first, right)
+        done[first] = True
+        while True:
+            root = find(parent, everyone)
+            grown = ~done & np.isin(root, root[done])
+            if not grown.any():
+                break
+            for r in np.unique(root[grown]):
+                for own, other in ((left, right),) if inside else ((left, right), (right, left)):
+                    meet(own[grown[own] & (root[own] == r)], other[root[other] != r])
+            done |= grown
+        # what no component has reached was compared with all that some has
+        meet(left[~done[left]], right[~done[right]])
+    root = find(parent, everyone)
+    own = np.array(sids, np.int64)[nodes]
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, own)
+    for x in np.flatnonzero(np.bincount(root, minlength=len(nodes))[root] > 1):
+        yield int(own[x]), int(degree[x]), int(least[root[x]])
+
+
+def _cells(rows: DataFrame, j: Join, links: bool) -> DataFrame:
     """(sid, n_links, root) of every cell of rows (lo, hi, before, sid, toks)."""
     rows = rows.select("lo", "hi", "before", "sid", "toks").repartition("lo", "hi").sortWithinPartitions("lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(key, held):
-            out = list(_cell(*map(list, zip(*held)), key[0] == key[1], j))
+            out = list(_cell(*map(list, zip(*held)), key[0] == key[1], j, links))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))], names=["sid", "n_links", "root"])
 
         key, held = None, []
@@ -449,8 +471,8 @@ def _blocks(n_sets, n_tokens):
     return F.ceil(F.greatest(n_sets / width, n_tokens / BLOCK_TOKENS)).cast("long")
 
 
-def linked(docs: DataFrame, groups: DataFrame, pairs: DataFrame, long: DataFrame, j: Join) -> DataFrame:
-    """(sid, root, n_links) of the sets that link with others: smallest set reachable, and links to different sets."""
+def linked(docs: DataFrame, groups: DataFrame, pairs: DataFrame, long: DataFrame, j: Join, links: bool = True) -> DataFrame:
+    """(sid, root, n_links) of the sets that link with others: smallest set reachable, and links to different sets (0 without ``links``)."""
     terr = components(pairs.union(long.filter("sid != tie").select("sid", "tie").distinct()))
     members = groups.join(terr.select(F.col("id").alias("sid"), F.col("comp").alias("terr")), "sid").select("sid", "n", "rep", "terr")
     size = members.groupBy("terr").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
@@ -479,12 +501,12 @@ def linked(docs: DataFrame, groups: DataFrame, pairs: DataFrame, long: DataFrame
         return toks.join(of.drop("rep"), "sid").dropDuplicates(["sid"])
 
     alone = whole(members.filter("blocks = 1").select("sid", "terr", "rep"))
-    alone = _cells(alone.select(F.col("terr").alias("lo"), F.col("terr").alias("hi"), F.lit(True).alias("before"), "sid", "toks"), j)
+    alone = _cells(alone.select(F.col("terr").alias("lo"), F.col("terr").alias("hi"), F.lit(True).alias("before"), "sid", "toks"), j, links)
     alone = saved(alone, "jaccard-linked")
     if met.isEmpty():
         drop(members, home, met)
         return alone.select("sid", "root", "n_links")
-    apart = saved(_cells(whole(home.select("sid", "rep", "block")).join(sides, "block"), j), "jaccard-linked")
+    apart = saved(_cells(whole(home.select("sid", "rep", "block")).join(sides, "block"), j, links), "jaccard-linked")
     roots = components(apart.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     added = apart.groupBy("sid").agg(F.sum("n_links").alias("n_links")).join(roots.select(F.col("id").alias("sid"), F.col("comp").alias("root")), "sid")
     out = saved(alone.select("sid", "root", "n_links").union(added.select("sid", "root", "n_links")), "jaccard-linked")
@@ -511,7 +533,7 @@ def classes(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", text_col:
     tag = F.col(tag_col).cast("long") if tag_col else F.lit(0).cast("long")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), tag.alias("tag"))
     mapped, groups, pairs, long = candidates(src, j)
-    found = linked(src, groups, pairs, long, j)
+    found = linked(src, groups, pairs, long, j, with_links)
     least = found.join(groups, "sid").groupBy("root").agg(F.min("rep").alias("comp"))
     of = groups.select("sid", "rep").join(found.join(least, "root").select("sid", "root", "comp", "n_links"), "sid", "left")
     of = of.select("sid", F.coalesce("root", "sid").alias("class_id"), F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

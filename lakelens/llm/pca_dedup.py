@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, importable, saved, slices
+from .common import drop, find, importable, saved, slices, unite
 from .jaccard_join import components
 
 #: Nodes a tile, and values of a block of tiles (what is broadcast at once).
@@ -138,24 +138,6 @@ def linked(a: Tile, b: Tile, axes: Axes, threshold: float) -> tuple[np.ndarray,
     return i[fit], j[fit]
 
 
-def _find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[x]
-        if (up == x).all():
-            return x
-        parent[x] = parent[up]
-        x = parent[x]
-
-
-def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the sets of each pair; the smaller place becomes the root."""
-    while len(a):
-        a, b = _find(parent, a), _find(parent, b)
-        apart = a != b
-        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
-        np.minimum.at(parent, b, a)
-
-
 def _tiles(nodes: DataFrame, dim: int, axes: Axes) -> DataFrame:
     """Tiles of the nodes (x, m, low, k1, k2) of one dimension, in the order of their places."""
     kind = {"float": "f4"}.get(v_type(nodes, "x"), "f8")
@@ -258,9 +240,9 @@ def _compared(tiles: DataFrame, block: tuple[int, int], axes: Axes, threshold: f
             parent = tree[:n]
             hit = np.flatnonzero(mine)
             if len(hit):
-                yield out(t.low[hit], np.frombuffer(row["k"], np.int64).reshape(2, -1)[:, hit], mine[hit], low[_find(tree, hit + n)])
+                yield out(t.low[hit], np.frombuffer(row["k"], np.int64).reshape(2, -1)[:, hit], mine[hit], low[find(tree, hit + n)])
         hit = np.flatnonzero((links > 0) | (parent != np.arange(n)))
-        yield out(low[hit], keys[:, hit], links[hit], low[_find(parent, hit)])
+        yield out(low[hit], keys[:, hit], links[hit], low[find(parent, hit)])
 
     return tiles.filter(F.col("tile") >= lo).mapInArrow(run, "low long, k1 long, k2 long, links long, root long")
 

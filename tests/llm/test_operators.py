@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakelens.llm import bpe, hard_negatives, html_mincut, jaccard_join, langid, line_templates, merkle, mixing, pca_dedup, quality_gam, quality_rules, queries, topk, url_filter
-from lakelens.llm.common import table
+from lakelens.llm.common import find, table, unite
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -947,9 +947,33 @@ def test_union_is_that_of_all_pairs():
     for n, m in ((50, 20), (200, 190), (1000, 3000)):
         a, b = rng.integers(0, n, m), rng.integers(0, n, m)
         parent = np.arange(n)
-        pca_dedup.unite(parent, a, b)
+        unite(parent, a, b)
         plain = list(range(n))
         for x, y in zip(a, b):
             x, y = plain[x], plain[y]
             plain = [min(x, y) if p in (x, y) else p for p in plain]
-        assert pca_dedup._find(parent, np.arange(n)).tolist() == plain
+        assert find(parent, np.arange(n)).tolist() == plain
+
+
+@pytest.mark.parametrize("inside", [True, False])
+def test_cells_tie_the_same_sets_with_and_without_links(inside):
+    rng = np.random.default_rng(7)
+    for n_groups, copies, alone in ((1, 60, 0), (3, 20, 30), (40, 2, 10), (0, 0, 70)):
+        sets = []
+        for _ in range(n_groups):
+            base = rng.integers(0, 1 << 62, 60)
+            sets += [np.unique(np.where(rng.random(60) < 0.07, rng.integers(0, 1 << 62, 60), base)) for _ in range(copies)]
+        sets += [np.unique(rng.integers(0, 1 << 62, 60)) for _ in range(alone)]
+        sets = [sets[k] for k in rng.permutation(len(sets))]
+        sids = rng.permutation(len(sets)).tolist()
+        before = [True] * len(sets) if inside else (rng.random(len(sets)) < 0.5).tolist()
+        j = jaccard_join.Join()
+        got = [sorted(jaccard_join._cell(sids, before, sets, inside, j, links)) for links in (True, False)]
+        near = [[k for k in range(len(sets)) if k != i and (inside or before[i] != before[k]) and 100 * len(np.intersect1d(sets[i], sets[k])) >= 75 * len(np.union1d(sets[i], sets[k]))] for i in range(len(sets))]
+        root = list(range(len(sets)))
+        for i, own in enumerate(near):
+            for k in own:
+                a, b = root[i], root[k]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+        want = sorted((sids[i], len(own), min(sids[k] for k in range(len(sets)) if root[k] == root[i])) for i, own in enumerate(near) if own)
+        assert got[0] == want and got[1] == [(s, 0, r) for s, _, r in want]
