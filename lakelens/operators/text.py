@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -49,41 +52,56 @@ def decode_files(files: DataFrame, bytes_col: str = "content", id_col: str = "id
     return files.select(id_col, bytes_col).mapInPandas(run, f"{id_col} {kind}, text string")
 
 
-def spans(text: str, size: int = 1200, overlap: int = 120) -> Iterator[tuple[int, int]]:
-    """Start and end of each chunk of a text.
+#: What ends a sentence or a line; of a full stop with a blank the blank stays outside.
+_MARK = re.compile(r"[\n。！？]|\. ")
 
-    A chunk ends after the last line end, full stop or question mark in the
-    second half of its window, else at the window's end; the next one starts
-    ``overlap`` characters before that, always further on.
+
+class Marks:
+    """The places of all marks of a text, found in one pass: where each begins, is complete, and lets a chunk end."""
+
+    def __init__(self, text: str):
+        at = np.array([m.span() for m in _MARK.finditer(text)], np.int64).reshape(-1, 2)
+        self.begin, self.complete = at[:, 0], at[:, 1]
+
+    def last(self, low: int, high: int) -> int | None:
+        """End of a chunk at the last mark that lies between two places."""
+        k = int(np.searchsorted(self.complete, high, "right")) - 1
+        return int(self.begin[k]) + 1 if k >= 0 and self.begin[k] >= low else None
+
+
+def spans(text: str, size: int = 1200, overlap: int = 120) -> list[tuple[int, int]]:
+    """Start and end of each chunk of a trimmed text.
+
+    A chunk of at most ``size`` characters ends behind the last mark in the second
+    half of its window, else with the window; the last one ends with the text.
+    The next chunk begins ``overlap`` characters before, but always further on.
     """
-    at, n = 0, len(text)
-    while at < n:
-        end = min(n, at + size)
-        if end < n:
-            best = max(text.rfind(mark, at + size // 2, end) + len(mark) if text.rfind(mark, at + size // 2, end) >= 0 else -1 for mark in ("\n", "。", "！", "？", "!", "?", ". "))
-            end = best if best > at else end
-        yield at, end
-        if end >= n:
-            return
-        at = max(end - overlap, at + 1)
+    marks, out, start = Marks(text), [], 0
+    while text and (not out or out[-1][1] < len(text)):
+        window = start + size
+        end = len(text) if window >= len(text) else marks.last(start + size // 2, window) or window
+        out.append((start, end))
+        start = max(start + 1, end - overlap)
+    return out
 
 
 def chunks(docs: DataFrame, id_col: str = "id", text_col: str = "text", size: int = 1200, overlap: int = 120) -> DataFrame:
-    """One row a chunk: id, chunk_index, content, start_offset, end_offset. Blank chunks and null texts give none."""
+    """One row a chunk: id, chunk_index, content, start_offset, end_offset in the trimmed text. Blank and null texts give none."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for i, text in zip(p[id_col], p[text_col]):
-                k = 0
-                for a, b in spans(text or "", size, overlap):
-                    if piece := text[a:b].strip():
-                        rows.append((i, k, piece, a, b))
-                        k += 1
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "content", "start_offset", "end_offset"])
-
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, chunk_index int, content string, start_offset int, end_offset int")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for at in range(0, b.num_rows, 64):  # whole texts are long
+                rows = []
+                for k, text in enumerate(b.column(1)[at : at + 64].to_pylist()):
+                    text = (text or "").strip()
+                    rows += [(at + k, i, text[x:y], x, y) for i, (x, y) in enumerate(spans(text, size, overlap))]
+                of, *rest = zip(*rows) if rows else ((), (), (), (), ())
+                ids = b.column(0).take(pa.array(of, pa.int64()))
+                kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(rest, kinds))], names=[id_col, "chunk_index", "content", "start_offset", "end_offset"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, chunk_index int, content string, start_offset int, end_offset int")
 
 
 def assemble(sections: DataFrame, segments: DataFrame, frames: DataFrame, captions: DataFrame) -> DataFrame:

@@ -20,12 +20,22 @@ def _(t):
     return x.decode_files(files).select("id", F.md5("text").alias("digest"))
 
 
-@query("a14_chunks")
+# a chunk a step: the longest beginning of the window's second half that ends with a mark
+TRIMMED = r"""SELECT id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM files_v"""
+CHUNKED = r"""
+WITH RECURSIVE d AS (SELECT id, text, length(text) AS n FROM (@trimmed) f WHERE length(text) > 0),
+c(id, k, a, b) AS (SELECT id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM d
+UNION ALL SELECT id, k + 1, s, CASE WHEN s + 1200 >= n THEN n WHEN m = '' THEN s + 1200 ELSE s + 600 + length(m) - CASE WHEN m LIKE '%. ' THEN 1 ELSE 0 END END
+FROM (SELECT *, regexp_extract(substr(text, s + 601, 600), '(?s)^.*(?:\n|。|！|？|\. )') AS m FROM (SELECT d.*, c.k, CASE WHEN c.k < 0 THEN 0 ELSE greatest(c.a + 1, c.b - 120) END AS s FROM c JOIN d ON d.id = c.id WHERE c.k < 0 OR c.b < d.n)))
+""".replace("@trimmed", TRIMMED)
+
+
+@query("a14_chunks", CHUNKED + " SELECT c.id, CAST(k AS INT) AS chunk_index, substr(text, a + 1, b - a) AS content, CAST(a AS INT) AS start_offset, CAST(b AS INT) AS end_offset FROM c JOIN d ON d.id = c.id WHERE k >= 0")
 def _(t):
     return x.chunks(t.files_v)
 
 
-@query("a14_chunk_cover", "SELECT id, CAST(0 AS BIGINT) AS first_start, length(text) AS last_end, CAST(0 AS BIGINT) AS gaps FROM files_v WHERE length(trim(text)) > 0")
+@query("a14_chunk_cover", f"SELECT id, CAST(0 AS BIGINT) AS first_start, length(text) AS last_end, CAST(0 AS BIGINT) AS gaps FROM ({TRIMMED}) f WHERE length(text) > 0")
 def _(t):
     from pyspark.sql import Window
 

@@ -97,6 +97,27 @@ def test_chunks_advance_and_overlap():
     assert all(b - a <= 1200 for a, b in s) and list(text.spans("x" * 3000))[1][0] == 1200 - 120
 
 
+def test_chunks_end_where_the_last_mark_of_the_window_lets_them():
+    plain = "第一段。" * 1000
+    got = text.spans(plain, 300, 30)
+    assert len(got) > 5 and got[0] == (0, 300) and got[1][0] == 270 and got[-1][1] == len(plain)
+    # of a full stop with a blank the blank is in the next chunk; a mark must lie wholly in the window
+    for body, end in (("x" * 79 + ". " + "x" * 60, 80), ("x" * 98 + ". " + "x" * 60, 99), ("x" * 99 + ". " + "x" * 60, 100), ("x" * 99 + "\n" + "x" * 60, 100), ("x" * 49 + "。" + "x" * 90, 100), ("x" * 50 + "。" + "x" * 90, 51)):
+        assert text.spans(body, 100, 10)[0] == (0, end), body
+    for mark in "!?;":
+        assert text.spans("x" * 79 + mark + " " + "x" * 60, 100, 10)[0] == (0, 100)
+    close = text.spans("ab。" * 40, 4, 10)  # an overlap beyond the chunk
+    assert all(y[0] == x[0] + 1 for x, y in zip(close, close[1:])) and close[-1][1] == 120
+
+
+def test_chunks_are_cut_from_trimmed_texts(spark):
+    rows = [(1, "  one \n"), (2, None), (3, " \t\n"), (4, ""), (5, " " + "Words of it. " * 200)]
+    got = text.chunks(spark.createDataFrame(rows, "id long, text string")).orderBy("id", "chunk_index").collect()
+    assert got[0] == (1, 0, "one", 0, 3) and {r.id for r in got} == {1, 5}
+    whole = rows[4][1].strip()
+    assert all(r.content == whole[r.start_offset : r.end_offset] for r in got if r.id == 5) and got[-1].end_offset == len(whole)
+
+
 def test_decoding():
     assert text.decoded("猫咪".encode("gb18030")) == "猫咪" and text.decoded(b"\xef\xbb\xbfabc") == "abc"
 
