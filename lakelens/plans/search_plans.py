@@ -40,7 +40,7 @@ def _qv(t):
 
 
 def _lex(t):
-    return r.lexical(t.files_v, _queries(t), PAGE.candidates, PAGE.per_group)
+    return r.lexical(t.files_v, _queries(t), PAGE.candidates, PAGE.per_group, r.catalog_index(t.files_v))
 
 
 def _sem(t):
@@ -202,7 +202,7 @@ def _(t):
 
 
 def _search(t, **kw):
-    return r.search(t.files_v, _queries(t), _sem(t), feedback=t.feedback_v, page=PAGE, **kw)
+    return r.search(t.files_v, _queries(t), _sem(t), feedback=t.feedback_v, page=PAGE, index=r.catalog_index(t.files_v), **kw)
 
 
 @query("c22_hybrid_search", f"""WITH {LEX}, {KNN}, {BEST}, {FUSED}, {FB}, cand AS (SELECT query_id, id FROM fu), gg AS (SELECT query_id, count(*) AS n FROM terms GROUP BY 1),
@@ -311,7 +311,7 @@ PLAIN = f"{FUSED}, fb AS (SELECT query_id, id, 0.0 AS boost FROM fu WHERE FALSE)
 
 @query("c30_saved_searches", _page_sql(5, PLAIN))
 def _(t):
-    return r.search(t.files_v, _queries(t), _sem(t).join(t.files_v.select("id"), "id", "left_semi"), page=r.Page(5))
+    return r.search(t.files_v, _queries(t), _sem(t).join(t.files_v.select("id"), "id", "left_semi"), page=r.Page(5), index=r.catalog_index(t.files_v))
 
 
 def _cands(t):

@@ -381,3 +381,70 @@ def test_equally_near_clusters_give_the_later_one(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     for block in (1, 2, 100):
         assert {r.vec_id: r.cluster for r in cluster.global_clusters(df, 0.7, block_rows=block).collect()} == {1: 1, 2: 2, 3: 2, 4: 1}, block
+
+
+INDEXED = "id long, name string, path string, caption string, text string"
+
+
+def catalog_rows(n, seed):
+    rng = np.random.default_rng(seed)
+    words = ["alpha", "alphabet", "beta", "gamma.delta", "红色气球", "气球红色气球", "aaaa", "banana", "bananana", "über", "x", "ab", "happy", "birthday"]
+    some = lambda k: " ".join(rng.choice(words, k)) if k else ""
+    return [(i, some(2), "p/" + some(1), None if i % 5 == 0 else some(3), None if i % 7 == 0 else some(int(rng.integers(0, 30))) + rng.choice(["", "\n", "\thappy birthday"])) for i in range(n)]
+
+
+def lexical_rows(files, queries, index=None):
+    return sorted((r.query_id, r.batch, r.id, r.pos, r.score) for r in retrieval.lexical(files, queries, 30, 20, index).collect())
+
+
+def test_search_by_the_index_is_search_by_texts(spark, tmp_path):
+    from lakelens.operators.text_index import TextIndex
+
+    first, second = catalog_rows(60, 1), catalog_rows(60, 2)
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "lphab"), (3, "红色气球 banana"), (4, "ana nan"), (5, "生日 happy"), (6, "gamma.d zzz"), (7, "über"), (8, "absent"), (9, "")], "query_id long, query string")
+    files = spark.createDataFrame(first, INDEXED).repartition(3)
+    index = TextIndex(spark, str(tmp_path / "index"), retrieval.FIELDS)
+    index.add(files, screenshot=retrieval.is_screenshot())
+    want = lexical_rows(files, queries)
+    assert lexical_rows(files, queries, index) == want and {q for q, *_ in want} >= {1, 2, 3, 4, 5, 6, 7}
+    # files 0 to 9 change, 60 to 69 are new, 20 to 29 go
+    rows = {r[0]: r for r in first} | {r[0]: r for r in second[:10]} | {60 + r[0]: (60 + r[0], *r[1:]) for r in second[:10]}
+    batch = spark.createDataFrame([rows[i] for i in (*range(10), *range(60, 70))], INDEXED)
+    index.add(batch, removed=spark.createDataFrame([(i,) for i in range(20, 30)], "id long"), screenshot=retrieval.is_screenshot())
+    now = spark.createDataFrame([r for i, r in rows.items() if i not in range(20, 30)], INDEXED)
+    want = lexical_rows(now, queries)
+    assert lexical_rows(now, queries, index) == want
+    merged = index.merged(str(tmp_path / "merged"))
+    assert merged.segments() == [0] and index.segments() == [0, 1] and lexical_rows(now, queries, merged) == want
+    profile = lambda of: sorted((r.query_id, r.id, r.coverage, r.exact, r.name_match, r.matched) for r in retrieval.profiles(queries.select("query_id").crossJoin(now.select("id")), now, queries, of).collect())
+    assert profile(None) == profile(index) == profile(merged)
+
+
+def test_search_by_the_index_reads_no_text(spark, tmp_path):
+    from lakelens.operators.text_index import TextIndex
+
+    files = spark.createDataFrame(catalog_rows(30, 3), INDEXED)
+    index = TextIndex(spark, str(tmp_path / "index"), retrieval.FIELDS)
+    index.add(files)
+    blind = files.withColumn("text", F.raise_error(F.lit("a text was read")).cast("string"))
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "红色气球")], "query_id long, query string")
+    assert lexical_rows(blind, queries, index) == lexical_rows(files, queries) != []
+    # a segment that was not written to its end does not count
+    (tmp_path / "index/done/0").rename(tmp_path / "index/half")
+    assert index.segments() == []
+
+
+def test_the_index_of_a_catalog_is_built_once(spark, sf):
+    from lakelens.plans.views import view
+
+    files = view(spark, sf, "files_v")
+    a, b = retrieval.catalog_index(files), retrieval.catalog_index(files)
+    assert a.path == b.path and a.segments() == [0]
+    few = index_plan(a, spark)
+    assert "PartitionFilters" in few and "bucket" in few
+
+
+def index_plan(index, spark):
+    """The plan of a lookup of one term."""
+    df = index.occurrences(spark.createDataFrame([("the",)], "term string"))
+    return df._jdf.queryExecution().executedPlan().toString()
