@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.session import shared_dir
 from ..streaming import operators as s
+from ..streaming.ordered import closed
 from .registry import SQL, query
 
 T = "@epoch(ts)"
@@ -23,6 +24,11 @@ def _run(t, stream):
     return s.run_available(stream, f"{shared_dir(t.spark)}/lakelens/stream-{uuid.uuid4().hex}")
 
 
+def _ended(t, rows):
+    """The stream with its end, so that its last rows come out too."""
+    return closed(rows, f"{shared_dir(t.spark)}/lakelens/tick-{uuid.uuid4().hex}")
+
+
 def _watch(e):
     return e.select((F.col("user_id") % 10).alias("library_id"), F.col("ts").cast("timestamp").alias("ts"))
 
@@ -40,7 +46,7 @@ def _(t):
 @query("s2_signature_changes_stream", SQL["s2_signature_changes"], raw=True)
 def _(t):
     rows = _stream(t).selectExpr("user_id % 10 AS library_id", "event_id AS t", "event_id div 37 % 3 AS signature")
-    return _run(t, s.signature_changes_stream(rows))
+    return _run(t, s.signature_changes_stream(_ended(t, rows)))
 
 
 _RULES = [(1, 1, 1, [("kind", "image")]), (2, 2, 1, [("min_size", "3000")]), (3, 3, 0, []), (4, 4, 1, [("extension", "txt")])]
@@ -75,7 +81,7 @@ def _(t):
 
 @query("s5_retries_stream", RETRY)
 def _(t):
-    return _run(t, s.retries_stream(_results(_stream(t))))
+    return _run(t, s.retries_stream(_ended(t, _results(_stream(t)))))
 
 
 @query("s6_rate_limits", f"""
@@ -106,7 +112,7 @@ def _(t):
 
 @query("s7_throttled_stream", THROTTLED)
 def _(t):
-    return _run(t, s.throttled_stream(_requests(_stream(t)), 40))
+    return _run(t, s.throttled_stream(_ended(t, _requests(_stream(t))), 40))
 
 
 @query("s8_liveness", f"SELECT user_id AS worker, max({T}) AS last_t, 1706500000 - max({T}) < 90000 AS alive FROM events GROUP BY 1")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.columns import ranked, retry_delay_s
 from ..functions.session import small, written
 from ..operators.catalog import apply_changes, matches, snapshot_changes
 from ..operators.dedup import refreshed
+from .ordered import STORE, ordered
 
 
 def debounced(events: DataFrame, quiet: str = "5 seconds", late: str = "1 minute") -> DataFrame:
@@ -27,31 +27,13 @@ def signature_changes(signatures: DataFrame) -> DataFrame:
     return signatures.withColumn("was", F.lag("signature").over(w)).filter(F.col("was").isNotNull() & (F.col("was") != F.col("signature"))).drop("was")
 
 
-def in_order(parts: Iterator[pd.DataFrame], value: str) -> Iterator[tuple]:
-    """(t, value) of all parts of a key's rows of one micro-batch, in order of time.
+def signature_changes_stream(signatures: DataFrame, late: str = "1 minute", idle_s: int | None = None) -> DataFrame:
+    """The same on a stream: the last signature of a library is its state. See ``ordered`` for rows out of order and ``idle_s``."""
 
-    A key's rows come in several Arrow parts that are in no order, so they are
-    sorted together; the size of a micro-batch (files or offsets a trigger) bounds what is held.
-    """
-    rows = pd.concat([p[["t", value]] for p in parts], ignore_index=True).sort_values(["t", value], kind="stable")
-    return zip(rows["t"], rows[value])
-
-
-def _changes(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    out = []
-    for t, s in in_order(parts, "signature"):
-        if last is not None and s != last:
-            out.append((key[0], t, s))
-        last = s
-    if last is not None:
-        state.update((last,))
-    yield pd.DataFrame(out, columns=["library_id", "t", "signature"])
+    def step(was, t, s):
+        return s, (t, s) if was is not None and s != was else None
 
-
-def signature_changes_stream(signatures: DataFrame) -> DataFrame:
-    """The same on a stream: the last signature of a library is its state."""
-    return signatures.groupBy("library_id").applyInPandasWithState(_changes, "library_id long, t long, signature long", "signature long", "append", GroupStateTimeout.NoTimeout)
+    return ordered(signatures, "library_id", "signature", step, "library_id long, t long, signature long", late, idle_s)
 
 
 def arrival_runs(files: DataFrame, rules: DataFrame, owners: DataFrame, output_part: str = "/outputs/") -> DataFrame:
@@ -75,24 +57,15 @@ def due_runs(clock: DataFrame, rules: DataFrame, late: str = "5 minutes") -> Dat
     return hit.select("rule_id", "minute_key").distinct()
 
 
-def _retries(most: int, base: float) -> Callable:
-    def run(key, parts, state):
-        n = state.get[0] if state.exists else 0
-        out = []
-        for t, ok in in_order(parts, "ok"):
-            n = 0 if ok else n + 1
-            stop = n >= most
-            wait = 0.0 if ok or stop else min(604_800.0, max(30.0, base) * 2.0 ** (n - 1))
-            out.append((key[0], t, n, stop, wait))
-        state.update((n,))
-        yield pd.DataFrame(out, columns=["key", "t", "attempts", "terminal", "wait_s"])
-
-    return run
+def retries_stream(results: DataFrame, most: int = 6, base: float = 60.0, late: str = "1 minute", idle_s: int | None = None) -> DataFrame:
+    """Attempts, terminal flag and wait of each key after each result of a stream (key, t, ok)."""
 
+    def step(n, t, ok):
+        n = 0 if ok else (n or 0) + 1
+        stop = n >= most
+        return n, (t, n, stop, 0.0 if ok or stop else min(604_800.0, max(30.0, base) * 2.0 ** (n - 1)))
 
-def retries_stream(results: DataFrame, most: int = 6, base: float = 60.0) -> DataFrame:
-    """Attempts, terminal flag and wait of each key after each result of a stream (key, t, ok)."""
-    return results.groupBy("key").applyInPandasWithState(_retries(most, base), "key long, t long, attempts int, terminal boolean, wait_s double", "n int", "append", GroupStateTimeout.NoTimeout)
+    return ordered(results, "key", "ok", step, "key long, t long, attempts int, terminal boolean, wait_s double", late, idle_s)
 
 
 def retries(results: DataFrame, most: int = 6, base: float = 60.0) -> DataFrame:
@@ -118,38 +91,28 @@ def rate_limits(attempts: DataFrame, limits: dict[str, tuple[list[str], int]], w
 
 
 def _throttle(interval: int) -> Callable:
-    def run(key, parts, state):
-        last = state.get[0] if state.exists else None
-        out = []
-        for t, empty in in_order(parts, "queue_empty"):
-            if last is None or t - last >= interval or empty:
-                out.append((key[0], t))
-                last = t
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["job", "t"])
+    def step(last, t, empty):
+        runs = last is None or t - last >= interval or empty
+        return t if runs else last, (t,) if runs else None
 
-    return run
+    return step
 
 
-def throttled_stream(requests: DataFrame, interval_s: int) -> DataFrame:
+def throttled_stream(requests: DataFrame, interval_s: int, late: str = "1 minute", idle_s: int | None = None) -> DataFrame:
     """At most one recompute of a job an interval, unless its queue is empty. ``requests``: job, t, queue_empty."""
-    return requests.groupBy("job").applyInPandasWithState(_throttle(interval_s), "job long, t long", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-class _NoState:
-    exists = False
-
-    def update(self, value):
-        pass
+    return ordered(requests, "job", "queue_empty", _throttle(interval_s), "job long, t long", late, idle_s)
 
 
 def throttled(requests: DataFrame, interval_s: int) -> DataFrame:
     """The same on a table: the running last time makes it a fold inside each job."""
-    fold = _throttle(interval_s)
+    step = _throttle(interval_s)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(iter(fold((pdf["job"].iloc[0],), [pdf], _NoState())))
+        last, out = None, []
+        for t, empty in pdf.sort_values(["t", "queue_empty"], kind="stable")[["t", "queue_empty"]].itertuples(index=False):
+            last, row = step(last, t, empty)
+            out += [row] if row else []
+        return pd.DataFrame({"job": pdf["job"].iloc[0], "t": [t for (t,) in out]}, columns=["job", "t"])
 
     return requests.groupBy("job").applyInPandas(run, "job long, t long")
 
@@ -235,6 +198,12 @@ def batch_upsert(scan: DataFrame, catalog: DataFrame, groups: DataFrame) -> tupl
 
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into Parquet below ``path`` and return the result as a table."""
-    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
+    conf = stream.sparkSession.conf
+    was = conf.get(STORE[0], None)
+    conf.set(*STORE)  # a query keeps the store that it began with
+    try:
+        q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
+    finally:
+        conf.set(STORE[0], was) if was else conf.unset(STORE[0])
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")

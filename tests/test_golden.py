@@ -206,15 +206,48 @@ def test_stateful_streams_sort_all_parts_of_a_key(spark, tmp_path, batch):
     try:
         run = lambda q, where: {tuple(r) for r in st.run_available(q, str(tmp_path / where)).collect()}
         jobs = lambda d: d.select(F.col("key").alias("job"), "t", F.col("flag").alias("queue_empty"))
-        assert run(st.throttled_stream(jobs(source), 40), "a") == {tuple(r) for r in st.throttled(jobs(data), 40).collect()}
+        assert run(st.throttled_stream(jobs(source), 40, late="0 seconds"), "a") == {tuple(r) for r in st.throttled(jobs(data), 40).collect()}
         results = lambda d: d.select("key", "t", F.col("flag").alias("ok"))
-        assert run(st.retries_stream(results(source)), "b") == {tuple(r) for r in st.retries(results(data)).collect()}
+        assert run(st.retries_stream(results(source), late="0 seconds"), "b") == {tuple(r) for r in st.retries(results(data)).collect()}
         signs = lambda d: d.select(F.col("key").alias("library_id"), "t", F.col("v").alias("signature"))
-        assert run(st.signature_changes_stream(signs(source)), "c") == {tuple(r) for r in st.signature_changes(signs(data)).collect()}
+        assert run(st.signature_changes_stream(signs(source), late="0 seconds"), "c") == {tuple(r) for r in st.signature_changes(signs(data)).collect()}
     finally:
         spark.conf.set(name, was)
 
 
+def test_late_rows_are_folded_in_their_place_and_quiet_keys_forgotten(spark, tmp_path):
+    """Files of one micro-batch each: rows up to a minute late give the table's result, later ones are dropped, and state goes after its time."""
+    from lakelens.streaming import operators as st
+    from lakelens.streaming.ordered import STORE
+
+    schema = "library_id long, t long, signature long"
+    was = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+
+    def run(name, batches, **kw):
+        q = None
+        for n, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            source = spark.readStream.schema(schema).parquet(str(tmp_path / name / "in"))
+            q = st.signature_changes_stream(source, **kw).writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "state")).trigger(availableNow=True).start()
+            q.awaitTermination()
+        return sorted(tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / name / "out")).collect())
+
+    try:
+        end = [(9, 10_000, 1)]
+        batches = [[(1, 100, 5), (1, 130, 6)], [(1, 110, 7), (2, 140, 1)], [(1, 125, 5), (2, 120, 2)], end]
+        rows = [r for b in batches for r in b]
+        want = sorted(tuple(r) for r in st.signature_changes(spark.createDataFrame(rows, schema)).collect())
+        assert run("late", batches, late="1 minute") == want != []
+        # 40 comes 160 seconds late and is not there any more
+        assert run("too-late", [[(1, 100, 5), (1, 200, 6)], [(1, 40, 9)], end], late="1 minute") == [(1, 200, 6)]
+        # after 500 quiet seconds the last signature is gone, so 7 is the first again; without that limit it is a change
+        quiet = [[(1, 100, 5)], [(3, 2000, 1)], [(1, 2100, 7)], end]
+        assert run("quiet", quiet, late="1 minute", idle_s=500) == [] and run("kept", quiet, late="1 minute") == [(1, 2100, 7)]
+    finally:
+        spark.conf.set(STORE[0], was) if was else spark.conf.unset(STORE[0])
+
+
 def test_error_fingerprints_mask_temporary_paths_only(spark):
     from lakelens.operators.state import error_fingerprint
 
