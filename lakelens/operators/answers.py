@@ -54,7 +54,7 @@ def focused(sources: DataFrame, chars: int = 1000) -> DataFrame:
 
     ``sources``: id, evidence, terms. Without a match the evidence stays as it is.
     """
-    parts = F.filter(F.transform(F.split("evidence", r"(?<=[。！？!?；;])|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.filter(F.transform(F.split("evidence", r"(?<=[。！？!?；;])\n*|\n+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
     s = sources.select("id", "evidence", F.filter(F.transform("terms", lambda x: F.lower(x)), lambda x: F.trim(x) != "").alias("terms"), parts.alias("parts"))
     rows = s.select("id", "terms", F.posexplode("parts").alias("at", "sentence"))
     hit = F.exists("terms", lambda x: F.lower("sentence").contains(x))

@@ -152,11 +152,16 @@ def scoped(files: DataFrame, *members: DataFrame) -> DataFrame:
 
 
 def visible(files: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
-    """(user_id, file id) by library grants: an admin sees all; a user without grants sees none."""
-    libs = files.select("library_id").distinct()
-    admins = users.filter("admin = 1").select("user_id").distinct().crossJoin(small(libs, 10_000))
-    allowed = grants.filter("admin = 0").select("user_id", "library_id").union(admins).distinct()
-    return files.select("id", "library_id").join(allowed, "library_id").select("user_id", "id")
+    """(user_id, file id) by library grants: an admin sees all; a user without grants sees none.
+
+    Who sees a library is gathered to one row a library, admins to one row in
+    all, so that only the files of the result are multiplied.
+    """
+    admins = users.filter("admin = 1").agg(F.collect_set("user_id").alias("admins"))
+    granted = grants.filter("admin = 0").groupBy("library_id").agg(F.collect_set("user_id").alias("granted"))
+    f = files.select("id", "library_id").join(granted, "library_id", "left").join(F.broadcast(admins))  # one row
+    see = F.array_union(F.coalesce("granted", F.array().cast(granted.schema["granted"].dataType)), F.when(F.col("library_id").isNotNull(), F.col("admins")).otherwise(F.array()))
+    return f.select(F.explode(see).alias("user_id"), "id")
 
 
 #: Most rules that are sent to every task; more are joined by key, with the files of a key dealt over so many parts.

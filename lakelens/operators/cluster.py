@@ -55,19 +55,21 @@ def named_places(centre: DataFrame, names: DataFrame, most_m: float = 65_000.0)
     return out.select("gy", "gx", F.coalesce("pname", F.format_string("%.3f, %.3f", "lat", "lon")).alias("name"))
 
 
-def _cut_long(longest_s: int):
-    """Numbers the times of a run anew where a session began more than ``longest_s`` ago."""
+def _length_parts(times: DataFrame, longest_s: int) -> DataFrame:
+    """(_k, t, part) of the times (_k, t) of long runs: a part ends where a time lies more than ``longest_s`` beyond its first one.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        t, part, at, n = pdf["t"].to_numpy(), np.zeros(len(pdf), np.int64), 0, 0
-        while at < len(t):
-            end = int(np.searchsorted(t, t[at] + longest_s, "right"))
-            part[at:end] = n
-            at, n = end, n + 1
-        return pdf.assign(part=part)
-
-    return run
+    Each time points to the first one beyond its reach. The parts' first times
+    are a chain of such steps from the run's first time; with every round the
+    known part of the chain and the length of a step double.
+    """
+    run = Window.partitionBy("_k").orderBy("t")
+    step = written(times.select("_k", "t", F.min("t").over(run.rangeBetween(longest_s + 1, Window.unboundedFollowing)).alias("to")).filter("to IS NOT NULL"), "steps")
+    first = written(times.groupBy("_k").agg(F.min("t").alias("t")), "starts")
+    while not (more := written(first.join(step, ["_k", "t"]).select("_k", F.col("to").alias("t")), "starts")).isEmpty():
+        first = first.unionByName(more)
+        step = written(step.join(step.select("_k", F.col("t").alias("to"), F.col("to").alias("further")), ["_k", "to"]).select("_k", "t", F.col("further").alias("to")), "steps")
+    marked = times.join(first.withColumn("begins", F.lit(1)), ["_k", "t"], "left")
+    return marked.select("_k", "t", (F.sum(F.coalesce("begins", F.lit(0))).over(run) - 1).alias("part"))
 
 
 def event_sessions(media: DataFrame, by: str = "library_id", gap_s: int = 12 * HOUR, longest_s: int = 7 * DAY, near_gap_s: int = 2 * HOUR, far_m: float = 80_000.0) -> DataFrame:
@@ -76,8 +78,8 @@ def event_sessions(media: DataFrame, by: str = "library_id", gap_s: int = 12 * H
     A session ends after a gap of 12 hours, or of 2 hours with a move of 80 km.
     Rows are sorted inside a library's day; days are then put in a row by a
     table of one row a day, so that a hot library spreads over its days. A run
-    whose whole span is within 7 days is one session; of longer runs, which the
-    length cut resets from a running start, only the distinct times are folded in Python.
+    whose whole span is within 7 days is one session; longer runs are cut by steps
+    between their distinct times, which double in length.
     """
     place = F.struct("t", "latitude", "longitude", valid_point(F.col("latitude"), F.col("longitude")).alias("ok"))
     m = media.withColumn("_day", F.floor(F.col("t") / DAY)).withColumn("_at", place)
@@ -98,12 +100,11 @@ def event_sessions(media: DataFrame, by: str = "library_id", gap_s: int = 12 * H
     spans = m.groupBy(F.col(by).alias("_by"), F.col("run").alias("_run")).agg((F.max("t") - F.min("t")).alias("span"))
     long = spans.filter(F.col("span") > longest_s).select("_by", "_run")
     on = F.col(by).eqNullSafe(F.col("_by")) & (F.col("run") == F.col("_run"))
-    times = m.join(long, on, "left_semi").select(F.col(by).alias("_by"), F.col("run").alias("_run"), F.col("t").alias("_t")).distinct().withColumnRenamed("_t", "t")
-    kind = media.schema[by].dataType.simpleString()
-    folded = times.groupBy("_by", "_run").applyInPandas(_cut_long(longest_s), f"_by {kind}, _run long, t {media.schema['t'].dataType.simpleString()}, part long")
-    folded = folded.withColumnRenamed("t", "_t")
-    out = m.join(folded, on & (F.col("t") == F.col("_t")), "left")
-    return out.select(*media.columns, "run", F.coalesce("part", F.lit(0).cast("long")).alias("part"))
+    times = m.join(long, on, "left_semi").select(F.col(by).alias("_by"), F.col("run").alias("_run"), F.col("t").alias("_t")).distinct()
+    times = times.select(F.struct("_by", "_run").alias("_k"), F.col("_t").alias("t"))
+    parts = _length_parts(written(times, "long-runs"), longest_s).select(F.col("_k._by").alias("_by"), F.col("_k._run").alias("_run"), F.col("t").alias("_t"), "part")
+    out = m.join(parts, on & (F.col("t") == F.col("_t")), "left")
+    return out.select(*media.columns, "run", F.coalesce("part", F.lit(0)).cast("long").alias("part"))
 
 
 def session_summary(sessions: DataFrame, by: str = "library_id", least: int = 3, grid: float = 0.05) -> DataFrame:

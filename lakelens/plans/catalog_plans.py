@@ -6,8 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import compact, present, ranked, valid_point
 from ..operators import catalog as c
+from ..sources.files import inventory
 from .registry import query
 
+@query("a1_inventory")
+def _(t):
+    """Every file of the tables' folder, with its path below it."""
+    files = inventory(t.spark, t.sf_dir, 1)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "extension", "size", "mtime_s", "kind")
+
+
 FILE = "id, library_id, kind, name, size, mtime_s"
 
 
@@ -68,9 +76,9 @@ def _(t):
     return out.select("n", ((F.col("sum_hash") == F.col("s2")) & (F.col("xor_hash") == F.col("x2"))).alias("same"), ((F.col("n") != F.col("n3")) & (F.col("sum_hash") != F.col("s3"))).alias("differs_from_part"))
 
 
-@query("a10_inbox", "SELECT id, library_id, path FROM files_v f WHERE path LIKE '%/inbox/%' AND NOT EXISTS (SELECT 1 FROM versions_v v WHERE v.file_id = f.id AND v.asset_id < 150)")
+@query("a10_inbox", "SELECT id, library_id, path FROM files_v f WHERE path LIKE '%/inbox/%' AND NOT EXISTS (SELECT 1 FROM versions_v v WHERE v.file_id = f.id)")
 def _(t):
-    return c.inbox(t.files_v, t.versions_v.filter("asset_id < 150")).select("id", "library_id", "path")
+    return c.inbox(t.files_v, t.versions_v).select("id", "library_id", "path")
 
 
 @query("a11_inbox_status", "SELECT library_id, count(DISTINCT f.id) AS discovered, count(v.file_id) AS collected FROM files_v f LEFT JOIN (SELECT DISTINCT file_id FROM versions_v) v ON v.file_id = f.id WHERE path LIKE '%/inbox/%' GROUP BY 1")

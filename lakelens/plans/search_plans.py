@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import compact
+from ..functions.columns import compact, unit
+from ..functions.session import written
 from ..operators import answers as a
 from ..operators import retrieval as r
 from ..operators import terms as q
+from ..operators import vector_index as vi
 from .registry import query
 
 QUERIES = "SELECT query_id, query FROM queries_v"
@@ -91,6 +93,27 @@ def _(t):
     return r.knn_lsh(t.vectors_v, _qv(t), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+COPIES = 20
+
+
+def clustered(embeddings, copies: int = COPIES):
+    """Each vector as the middle of a cluster of ``copies`` that differ from it a little, in a way that its id and place give."""
+    e = embeddings.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    noise = lambda x, i: x + F.lit(0.06) * F.sin(F.pmod(F.xxhash64("vec_id", "copy", i), F.lit(100_003)).cast("double"))
+    return e.select((F.col("vec_id") * copies + F.col("copy")).alias("vec_id"), unit(F.transform("embedding", noise)).alias("embedding"))
+
+
+@query("c7_knn_pq")
+def _(t):
+    v = written(clustered(t.embeddings), "clustered")
+    qv = v.filter(F.col("vec_id") % (50 * COPIES) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    n = t.embeddings.count()
+    quantiser = vi.learned(v, max(16, min(4096, n // 4)))
+    index = vi.indexed(v, quantiser)
+    share = vi.candidate_share(index, qv, quantiser, 4).select(F.round("share", 6).alias("candidate_share"))
+    return vi.search(index, v, qv, quantiser, 10, 4).join(F.broadcast(share)).select("query_id", "vec_id", F.round("score", 6).alias("score"), "candidate_share")
+
+
 @query("c8_least_score", f"WITH {KNN} SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM sc WHERE score >= 0.12) s WHERE r <= 100")
 def _(t):
     return r.knn(t.vectors_v, _qv(t), 100, 0.12).select("query_id", "vec_id", F.round("score", 6).alias("score"))
@@ -341,7 +364,12 @@ def _(t):
     return a.select_sources(_cands(t), least=2).select("query_id", "id", "place")
 
 
-@query("c32_focused")
+@query("c32_focused", r"""
+WITH s AS (SELECT doc_id AS id, text, list_filter(list_transform(string_split_regex(regexp_replace(text, '([。！？!?；;])', '\1' || chr(1), 'g'), '\x01|\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents),
+r AS (SELECT id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS spot FROM s), h AS (SELECT *, contains(lower(sentence), 'idiot') OR contains(lower(sentence), 'license') AS hit FROM r),
+k AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY id) AS n, lead(hit) OVER w AS after, lag(hit) OVER w AS before FROM h WINDOW w AS (PARTITION BY id ORDER BY spot)),
+c AS (SELECT id, string_agg(sentence, '' ORDER BY spot) AS f FROM k WHERE hit OR coalesce(after, FALSE) OR (n = 1 AND coalesce(before, FALSE)) GROUP BY id)
+SELECT s.id, md5(coalesce(substr(f, 1, 1000), text)) AS evidence FROM s LEFT JOIN c ON c.id = s.id""", raw=True)
 def _(t):
     s = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("evidence"), F.array(F.lit("Idiot"), F.lit("license")).alias("terms"))
     return a.focused(s).select("id", F.md5("evidence").alias("evidence"))

@@ -65,9 +65,9 @@ def _(t):
     return s.final_status(t.files_v, t.vectors_v.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("chunks")))
 
 
-@query("f9_overview", "SELECT count(*) AS total, count(*) FILTER (status = 'ready') AS ready, CASE WHEN (SELECT count(*) FROM tasks_v WHERE status = 'running' AND type = 'none') > 0 THEN 'running' WHEN count(*) FILTER (status = 'pending') > 0 THEN 'queued' ELSE 'complete' END AS state, round(100.0 * count(*) FILTER (status = 'ready') / count(*), 3) AS ready_pct FROM files_v")
+@query("f9_overview", "SELECT count(*) AS total, count(*) FILTER (status = 'ready') AS ready, CASE WHEN (SELECT count(*) FROM tasks_v WHERE status = 'running') > 0 THEN 'running' WHEN count(*) FILTER (status = 'pending') > 0 THEN 'queued' ELSE 'complete' END AS state, round(100.0 * count(*) FILTER (status = 'ready') / count(*), 3) AS ready_pct FROM files_v")
 def _(t):
-    return s.overview(t.files_v, t.tasks_v.filter("status = 'running' AND type = 'none'"))
+    return s.overview(t.files_v, t.tasks_v.filter("status = 'running'"))
 
 
 @query("f10_throughput", f"""

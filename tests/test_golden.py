@@ -481,3 +481,40 @@ def index_plan(index, spark):
     """The plan of a lookup of one term."""
     df = index.occurrences(spark.createDataFrame([("the",)], "term string"))
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantised_search_finds_the_nearest_among_few_candidates(spark, sf):
+    from lakelens.operators import vector_index as vi
+    from lakelens.plans.search_plans import clustered
+
+    v = clustered(spark.read.parquet(f"{sf}/embeddings.parquet")).cache()
+    q = v.filter("vec_id % 400 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    quantiser = vi.learned(v, 128)
+    index = vi.indexed(v.repartition(5), quantiser)
+    assert index.agg(F.sum("n")).first()[0] == v.count()
+    got = {(r.query_id, r.vec_id) for r in vi.search(index, v, q, quantiser, 10, 4).collect()}
+    want = {(r.query_id, r.vec_id) for r in retrieval.knn(v.withColumn("file_id", F.lit(0)), q, 10).collect()}
+    share = vi.candidate_share(index, q, quantiser, 4).first()
+    assert len(got & want) >= 0.9 * len(want) and share.share <= 0.05 and share.pairs > 0, (len(got & want) / len(want), share)
+    # all cells and all candidates: the exact result
+    exact = vi.search(index, v, q, quantiser, 10, 128, v.count())
+    assert {(r.query_id, r.vec_id) for r in exact.collect()} == want
+    odd = spark.createDataFrame([(1, None), (2, [1.0]), (3, [float("nan")] * 64), (None, [0.1] * 64), (5, [0.1] * 64)], "vec_id long, embedding array<double>")
+    assert vi.indexed(odd, quantiser).agg(F.sum("n")).first()[0] == 1 and vi.indexed(odd.limit(0), quantiser).count() == 0
+    assert vi.search(index, v, q.limit(0), quantiser, 10, 3).count() == 0
+
+
+def test_inbox_holds_what_no_version_has(spark):
+    files = spark.createDataFrame([(1, "a/inbox/x.txt", "txt"), (2, "a/inbox/y.ZIP", "ZIP"), (3, "a/archive/z.txt", "txt"), (4, "a/inbox/w.txt", "txt")], "id long, path string, extension string")
+    held = spark.createDataFrame([(4,), (3,)], "file_id long")
+    assert [r.id for r in catalog.inbox(files, held).collect()] == [1]
+
+
+def test_libraries_of_admins_and_grants(spark):
+    files = spark.createDataFrame([(i, i % 4 if i < 12 else None) for i in range(13)], "id long, library_id long")
+    users = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (1, 1)], "user_id long, admin int")
+    grants = spark.createDataFrame([(2, 0, 0), (2, 1, 0), (2, 1, 0), (1, 3, 0), (3, 9, 0)], "user_id long, library_id long, admin int")
+    got = sorted((r.user_id, r.id) for r in catalog.visible(files, users, grants).collect())
+    assert got == sorted([(1, i) for i in range(12)] + [(2, i) for i in range(12) if i % 4 in (0, 1)])
+    nobody = catalog.visible(files, users.limit(0), grants).collect()
+    assert {r.user_id for r in nobody} == {1, 2} and all(r.id % 4 == 3 for r in nobody if r.user_id == 1)
