@@ -4,13 +4,12 @@ Two texts are compared by how many of their distinct character 1-, 2- and
 3-grams they share (blended-spectrum presence kernel, cosine-normalised). A
 bounded sample gives landmarks and training rows; the Nystroem map of the
 kernel to the landmarks feeds one kernel ridge regression per language. Scoring
-a batch is a product of its presence with the landmarks', kept as a list of
-landmarks for each n-gram, and one of the kernel with the regressions' weights.
+a batch is a product of its presence with that of each group of landmarks, over
+the n-grams of the group alone, and one of the kernel with the regressions' weights.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,6 +28,10 @@ ROWS_PER_LANG, MAX_CHARS, LANDMARKS_PER_LANG = 250, 20_000, 16
 #: Most rows and landmarks of all languages; where there are many languages each has its share, and one at least.
 MAX_ROWS, MAX_LANDMARKS = 20_000, 2048
 RIDGE, SHARPNESS = 1e-2, 6.0
+#: Landmarks whose n-grams are held together: those of a few languages.
+GROUP = 64
+#: Most languages whose counts are sent to every task.
+FEW_LANGS = 10_000
 #: Places that n-grams are hashed to.
 PLACES = 1 << 19
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -47,8 +50,7 @@ def _hashed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    starts: np.ndarray  # of each code's landmarks in ``marks``
-    marks: np.ndarray  # landmarks that have the code, as long as all landmarks' distinct n-grams together
+    groups: list[tuple[np.ndarray, np.ndarray]]  # codes that some landmark of a group has, and the group's presence (codes x landmarks, a byte each)
     norms: np.ndarray  # distinct n-grams of each landmark
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
@@ -76,19 +78,28 @@ class Model:
     def know(self, texts: list[str]) -> None:
         """Take the texts as landmarks."""
         own = list(self.distinct(texts))
-        codes = np.concatenate(own)
-        order = np.argsort(codes, kind="stable")
-        self.marks = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])[order]
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=PLACES))])
         self.norms = np.array([max(1, len(x)) for x in own], float)
+        self.groups = []
+        for at in range(0, len(own), GROUP):
+            part = own[at : at + GROUP]
+            codes = np.unique(np.concatenate(part))
+            held = np.zeros((len(codes), len(part)), np.uint8)
+            for k, x in enumerate(part):
+                held[np.searchsorted(codes, x), k] = 1
+            self.groups.append((codes, held))
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.norms)))
-        for i, own in enumerate(self.distinct(texts)):
-            first, n = self.starts[own], self.starts[own + 1] - self.starts[own]
-            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out[i] = np.bincount(self.marks[at], minlength=len(self.norms)) / math.sqrt(max(1, len(own)))
-        return out / np.sqrt(self.norms)
+        seen = np.zeros(PLACES, bool)
+        rows, norms = [np.zeros((len(texts), len(codes)), np.float32) for codes, _ in self.groups], np.ones(len(texts))
+        for i, text in enumerate(texts):
+            g = self.grams(text)
+            seen[g] = True
+            for x, (codes, _) in zip(rows, self.groups):
+                x[i] = seen[codes]
+            norms[i] = max(1, np.count_nonzero(seen))
+            seen[g] = False
+        common = np.concatenate([x @ held.astype(np.float32) for x, (_, held) in zip(rows, self.groups)], axis=1)
+        return common / np.sqrt(norms[:, None] * self.norms[None, :])
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language and its softmax share."""
@@ -105,7 +116,7 @@ def learn(sample: pd.DataFrame) -> Model | None:
         return None
     langs = sorted(sample["lang"].unique())
     marks = sample.groupby("lang", sort=True).head(max(1, min(LANDMARKS_PER_LANG, MAX_LANDMARKS // len(langs))))["text"].tolist()
-    m = Model(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros((0, 0)), np.zeros(0), langs)
+    m = Model([], np.zeros(0), np.zeros((0, 0)), np.zeros(0), langs)
     m.know(marks)
     values, vectors = np.linalg.eigh(m.kernel(marks).astype(float))
     top = values > 1e-6 * values.max()
@@ -128,7 +139,7 @@ def training_sample(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, id_col:
     n = max(1, counts.count())
     rows = max(1, min(rows_per_lang, MAX_ROWS // n))
     picked = usable.select(F.col(id_col).alias("id"), F.substring(text_col, 1, MAX_CHARS).alias("text"), F.col(lang_col).alias("lang"))
-    picked = picked.join(counts, F.col("lang") == F.col("_lang")).filter(share("id") < F.lit(float(rows)) / F.col("_n")).select("id", "text", "lang")
+    picked = picked.join(F.broadcast(counts) if n <= FEW_LANGS else counts, F.col("lang") == F.col("_lang")).filter(share("id") < F.lit(float(rows)) / F.col("_n")).select("id", "text", "lang")
     return picked.limit(3 * rows * n).toArrow().to_pandas().sort_values(["lang", "id"], kind="stable").reset_index(drop=True)
 
 
@@ -142,7 +153,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     """
     importable(docs.sparkSession)
     model = learn(training_sample(train, rows_per_lang, id_col, text_col, lang_col))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # four bytes for each distinct n-gram of a landmark, whose number and length are bounded
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a byte for each n-gram and landmark of a group, whose number and length are bounded
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
