@@ -107,7 +107,7 @@ class TextIndex:
         asked = written(t.select("term", F.explode(grams(F.col("term"))).alias("gram")), "asked")
         sizes = self.table("sizes").groupBy("gram").agg(F.sum("n").alias("n"))
         rare = asked.join(sizes, "gram", "left").groupBy("term").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
-        held = rare.join(self.table("grams").select("gram", "token").distinct(), "gram").filter(F.col("token").contains(F.col("term")))
+        held = self.table("grams").select("gram", "token").join(small(rare, FEW_MATCHES), "gram").filter(F.col("token").contains(F.col("term"))).select("term", "token").distinct()
         times = (F.length("token") - F.length(F.replace("token", F.col("term"), F.lit("")))) / F.length("term")
         matched = written(held.select("term", "token", times.alias("times"), bucket(F.col("token")).alias("bucket")), "matched")
         hits = self.table("postings").join(small(matched, FEW_MATCHES), ["bucket", "token"])
