@@ -153,8 +153,8 @@ def settle(found: list[tuple[Block, str]], regions: list[tuple[int, int]], field
 
     A form with fields is firm, and so is a region that only a name of a layout
     marks, unless they hold most of the page's text (over half, over two thirds) and no article
-    stands outside. The only article of a page is one even in such a region. All
-    inside a firm region is firm.
+    stands outside. A name around all text, with other regions inside, says nothing.
+    The only article of a page is one even in such a region. All inside a firm region is firm.
     """
     chars = [0] * len(regions)
     for b, t in found:
@@ -177,6 +177,8 @@ def settle(found: list[tuple[Block, str]], regions: list[tuple[int, int]], field
             kind = FIRM if r in fields and (beside[r] or 2 * chars[r] <= total) else NONE
         elif kind == HINT:
             kind = FIRM if beside[r] or 3 * chars[r] <= 2 * total else NONE
+        elif kind == NAMED and chars[r] == total and len(regions) > 2:
+            kind = NONE
         elif kind == INNER:
             kind = ARTICLE if articles == 1 or out[outer][0] != FIRM else NONE
             outer = outer if out[outer][0] != FIRM or kind == NONE else 0
