@@ -83,11 +83,11 @@ def near_pairs(prints: DataFrame, max_distance: int = 8) -> DataFrame:
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), dist.alias("distance")).distinct()
 
 
-def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, root): smallest id reachable. Label propagation with pointer jumping over written tables."""
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, root): smallest id reachable. Label propagation with pointer jumping over written tables, until no label changes."""
     both = written(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "edges")
     label = written(nodes.select("id", F.col("id").alias("root")).distinct(), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label.withColumnsRenamed({"id": "b", "root": "r"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
         step = label.join(near, "id", "left").select("id", F.col("root").alias("was"), F.least("root", F.coalesce("r", "root")).alias("root"))
         up = label.select(F.col("id").alias("root"), F.col("root").alias("up"))
@@ -95,7 +95,6 @@ def components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> Dat
         label = step.select("id", "root")
         if step.filter("root <> was").isEmpty():
             return label
-    raise RuntimeError("components did not settle")
 
 
 def similar_groups(prints: DataFrame, max_distance: int = 8) -> DataFrame:
