@@ -195,7 +195,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     little-endian unsigned 32-bit token ids) and ``decoded`` (binary: the bytes
     those ids stand for). A null text counts as empty and gives two empty
     binaries; texts of any length are encoded whole; special tokens are ordinary
-    text; extra columns are ignored. ``path`` must be readable on every worker.
+    text; extra columns are ignored; repeated rows and rows without an id are
+    encoded alike; an empty table gives an empty result. ``path`` must be readable on every worker.
     """
     importable(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -196,8 +196,9 @@ def score(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, id_col: str
 
     The model learns from the rows of ``train_docs`` that ``labels`` marks (ids
     null or without a label take no part; no labels at all: every score is 0.5).
-    Null texts and texts without a word score 0. Extra columns are
-    ignored; repeated rows score alike.
+    Null texts and texts without a word score 0; texts of any length are read
+    whole. Extra columns, whatever their names, are ignored; repeated rows and
+    rows without an id score alike; an empty table gives an empty result.
     """
     importable(docs.sparkSession)
     rows = training_rows(train_docs, labels, max_rows, id_col, text_col, label_col)

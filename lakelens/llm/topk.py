@@ -28,7 +28,7 @@ def quantised(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     """(vec_id, v array<bigint>): floor(scale * x) of every usable vector.
 
     Vectors that are null or empty, hold a null or a non-finite component, or
-    have a null id take no part.
+    have a null id take no part; other columns, whatever their names, are ignored.
     """
     v = F.col(vec_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

@@ -412,6 +412,18 @@ def test_language_kernel_against_brute_force():
     assert [m.langs[k] for k in best] == ["ru", "zh", "en"]
 
 
+def test_rows_without_an_id_and_repeated_ones_are_judged_by_their_text(spark, sf):
+    train, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    texts = [r.text for r in train.filter("text IS NOT NULL").orderBy("doc_id").limit(6).collect()]
+    plain = docs(spark, texts)
+    same = plain.union(plain.limit(3)).union(plain.withColumn("doc_id", F.lit(None).cast("long"))).withColumn("lang_pred", F.lit("x")).withColumn("out", F.lit("x"))
+    for judge, what in ((lambda d: langid.identify(d, train), "lang_pred"), (lambda d: quality_gam.score(d, train, labels), "score")):
+        want = {r.doc_id: r[what] for r in judge(plain).collect()}
+        got = judge(same).collect()
+        assert sorted(str(r[what]) for r in got if r.doc_id is None) == sorted(str(v) for v in want.values())
+        assert sorted((r.doc_id, r[what]) for r in got if r.doc_id is not None) == sorted([*want.items(), *((i, want[i]) for i in range(3))])
+
+
 def test_language_model_grows_with_what_landmarks_hold():
     import pandas as pd
 
