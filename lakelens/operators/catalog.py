@@ -166,34 +166,92 @@ def visible(files: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
 
 #: Most rules that are sent to every task; more are joined by key, with the files of a key dealt over so many parts.
 FEW_RULES, PARTS = 1000, 32
+#: Longest run of characters of a name that is a key.
+GRAM = 3
+
+
+def _value(field: str) -> Column:
+    """Value of a rule's first condition on a field, null without one."""
+    return F.get(F.filter("conditions", lambda c: c["field"] == field), F.lit(0))["value"]
+
+
+def _bare(extension: Column) -> Column:
+    return F.lower(F.ltrim(extension, F.lit(".")))
+
+
+def _grams(c: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters, as keys."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.concat(F.lit("name "), F.substring(c, i, n))))
+
+
+def _size_class(size: Column) -> Column:
+    """Number of binary digits of a size, 0 for none above zero."""
+    return F.when(size <= 0, 0).otherwise(F.length(F.bin(size)))
+
+
+def _size_keys(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.transform(F.sequence(low, high), lambda n: F.concat(F.lit("size "), n.cast("string")))).otherwise(F.array().cast("array<string>"))
+
+
+def file_keys(lengths: list[int]) -> Column:
+    """Keys of a file: library, extension, kind, size class, and the runs of its name of the given lengths."""
+    key = lambda kind, v: F.concat(F.lit(kind), v.cast("string"))
+    size = F.coalesce(key("size ", _size_class(F.col("size"))), F.lit("size none"))
+    own = F.array(key("library ", F.col("library_id")), key("extension ", F.lower("extension")), key("kind ", F.col("kind")), size)
+    name = F.lower("name")
+    runs = [F.when(F.length(name) >= n, _grams(name, n)).otherwise(F.array().cast("array<string>")) for n in lengths]
+    return F.filter(F.concat(own, *runs), lambda k: k.isNotNull())
+
+
+def rule_options(rules: DataFrame) -> DataFrame:
+    """(rule_id, conditions, keys): ways to find the files of a rule, each by keys of which a matching file has exactly one.
+
+    An equality is one way, each run of a sought part of a name is one, and so is
+    the range of sizes with its classes. A rule without conditions has the range
+    of all sizes; a rule that nothing can meet has no keys.
+    """
+    key = lambda kind, v: F.when(v.isNotNull(), F.array(F.concat(F.lit(kind), v.cast("string"))))
+    part = F.lower(_value("name_contains"))
+    runs = F.when(F.length(part) >= GRAM, _grams(part, GRAM)).when(F.length(part) > 0, F.array(F.concat(F.lit("name "), part)))
+    least, most = _value("min_size"), _value("max_size")
+    low, high = F.coalesce(_size_class(least.try_cast("long")), F.lit(0)), F.coalesce(_size_class(most.try_cast("long")), F.lit(64))
+    sizes = _size_keys(low, high)
+    # a file without a size fits where no size is asked for
+    sizes = F.when(least.isNull() & most.isNull(), F.array_append(sizes, F.lit("size none"))).otherwise(sizes)
+    equal = F.array(key("library ", _value("library_id").try_cast("long")), key("extension ", _bare(_value("extension"))), key("kind ", _value("kind")), sizes)
+    ways = F.concat(equal, F.coalesce(F.transform(runs, lambda k: F.array(k)), F.array().cast("array<array<string>>")))
+    return rules.select("rule_id", "conditions", F.posexplode(F.filter(ways, lambda w: w.isNotNull())).alias("way", "keys"))
 
 
 def matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, file id) where all of a rule's conditions hold; no conditions match every file.
 
-    Conditions are structs of field and value: kind, extension, library_id, name_contains, min_size, max_size.
-    A rule meets the files that have the value of one of its equality
-    conditions; only rules without any meet all files.
+    ``rule_id`` is unique. Conditions are structs of field and value: kind, extension, library_id, name_contains, min_size, max_size.
+    Each rule is looked up by the one of its conditions that the fewest files
+    meet, by a count over the files' keys; parts of names count by their runs of
+    three characters, sizes by their binary digits. What a file meets there is checked in full.
     """
     r = rules.select("rule_id", "conditions")
-    few = r.limit(FEW_RULES + 1).count() <= FEW_RULES
-    value = lambda field: F.get(F.filter("conditions", lambda c: c["field"] == field), F.lit(0))["value"]
-    key = lambda kind, v: F.concat(F.lit(kind), v.cast("string"))
-    extension = lambda v: F.lower(F.ltrim(v, F.lit(".")))
-    first = F.coalesce(key("library ", value("library_id").try_cast("long")), key("extension ", extension(value("extension"))), key("kind ", value("kind")), F.lit("any"))
-    own = F.array(key("library ", F.col("library_id")), key("extension ", F.lower("extension")), key("kind ", F.col("kind")), F.lit("any"))
-    left = files.select("id", "kind", "extension", "library_id", "name", "size", F.explode(own).alias("key"))
-    right = r.withColumn("key", first)
+    seen = r.agg(F.count("*").alias("n"), F.collect_set(F.least(F.length(F.lower(_value("name_contains"))), F.lit(GRAM))).alias("lengths")).first()  # at most GRAM lengths
+    few, lengths = seen["n"] <= FEW_RULES, sorted(n for n in seen["lengths"] if n > 0)
+    keyed = files.select("id", "kind", "extension", "library_id", "name", "size", F.explode(file_keys(lengths)).alias("key"))
+    options = rule_options(r)
+    sought = options.select(F.explode("keys").alias("key")).distinct()
+    sought = small(sought, 500_000)
+    counts = keyed.join(sought, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    costs = options.select("rule_id", "way", F.explode_outer("keys").alias("key")).join(counts, "key", "left").groupBy("rule_id", "way").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cost"))
+    best = costs.groupBy("rule_id").agg(F.min(F.struct("cost", "way")).alias("best")).select("rule_id", F.col("best.way").alias("way"))
+    right = options.join(best, ["rule_id", "way"]).select("rule_id", "conditions", F.explode("keys").alias("key"))
     if few:
-        joined = left.join(F.broadcast(right), "key")
+        joined = keyed.join(F.broadcast(right), "key")
     else:
-        left = left.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+        left = keyed.join(sought, "key", "left_semi").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
         joined = left.join(right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))), ["key", "part"])
 
     def holds(c):
         f, v = c["field"], c["value"]
         return (
-            F.when(f == "kind", F.col("kind") == v).when(f == "extension", F.lower("extension") == extension(v))
+            F.when(f == "kind", F.col("kind") == v).when(f == "extension", F.lower("extension") == _bare(v))
             .when(f == "library_id", F.col("library_id") == v.try_cast("long")).when(f == "name_contains", F.lower("name").contains(F.lower(v)))
             .when(f == "min_size", F.col("size") >= v.try_cast("long")).when(f == "max_size", F.col("size") <= v.try_cast("long")).otherwise(F.lit(False))
         )

@@ -153,6 +153,23 @@ def _(t):
     return c.matches(t.files_v, _rules(t))
 
 
+#: One rule a part: a piece of a name alone, with a kind, with sizes, or a range of sizes in one library.
+PART_RULES = """
+SELECT CAST(p_partkey AS BIGINT) AS rule_id, concat('_', CAST(p_partkey % 1000 AS STRING)) AS part, CASE WHEN p_partkey % 4 = 1 THEN 'image' END AS kind,
+  CASE WHEN p_partkey % 4 IN (2, 3) THEN CAST(p_size * 40 AS BIGINT) END AS low, CASE WHEN p_partkey % 4 = 3 THEN CAST(p_size * 40 + 200 AS BIGINT) END AS high,
+  CASE WHEN p_partkey % 4 = 3 THEN CAST(p_partkey % 20 AS BIGINT) END AS library FROM part"""
+
+
+@query("b5_many_rules", f"SELECT r.rule_id, f.id AS file_id FROM files_v f JOIN ({PART_RULES}) r ON (r.library IS NOT NULL OR contains(f.name, r.part)) AND coalesce(f.kind = r.kind, r.kind IS NULL) AND coalesce(f.size >= r.low, r.low IS NULL) AND coalesce(f.size <= r.high, r.high IS NULL) AND coalesce(f.library_id = r.library, r.library IS NULL)")
+def _(t):
+    """As many rules as parts, each over all files."""
+    r = t.spark.sql(PART_RULES.replace("FROM part", "FROM {part}"), part=t.part)
+    cond = lambda field, v: F.when(v.isNotNull(), F.struct(F.lit(field).alias("field"), v.cast("string").alias("value")))
+    part = F.when(F.col("library").isNull(), F.col("part"))
+    fields = [("name_contains", part), ("kind", F.col("kind")), ("min_size", F.col("low")), ("max_size", F.col("high")), ("library_id", F.col("library"))]
+    return c.matches(t.files_v, r.select("rule_id", F.filter(F.array(*[cond(*x) for x in fields]), lambda x: x.isNotNull()).alias("conditions")))
+
+
 @query("b6_rule_faults", "SELECT DISTINCT CAST(id % 4 AS INT) AS rule_id, CASE id % 4 WHEN 0 THEN 'unknown field' WHEN 1 THEN 'blank value' ELSE 'bad size' END AS fault FROM files_v WHERE id % 4 < 3")
 def _(t):
     cond = lambda f, v: F.array(F.struct(F.lit(f).alias("field"), F.lit(v).alias("value")))

@@ -353,10 +353,12 @@ def test_nearest_rows_against_brute_force(spark, block):
 def test_rules_against_brute_force(spark, monkeypatch, few):
     monkeypatch.setattr(catalog, "FEW_RULES", few)
     kinds, exts = ("image", "video", None), ("jpg", "MP4", None)
-    files = [(i, kinds[i % 3], exts[i % 2 if i % 7 else 2], i % 5, None if i == 11 else f"File_{i}.x", i * 10) for i in range(60)]
+    files = [(i, kinds[i % 3], exts[i % 2 if i % 7 else 2], i % 5, None if i == 11 else f"File_{i}.x" if i % 9 else "", i * 10) for i in range(60)]
+    files += [(60, None, None, None, None, None), (61, "image", "jpg", 3, "File_1_1_1", None), (62, "video", "mp4", 2, "e_", -5), (62, "video", "mp4", 2, "e_", -5)]
     rules = {
         1: [], 2: [("kind", "image")], 3: [("extension", ".Jpg"), ("library_id", "3")], 4: [("library_id", "x")], 5: [("name_contains", "FILE_1")], 6: [("min_size", "100"), ("max_size", "300")], 7: [("kind", "image"), ("kind", "video")],
-        8: [("extension", "mp4"), ("min_size", "200")], 9: [("kind", None)], 10: [("other", "1")],
+        8: [("extension", "mp4"), ("min_size", "200")], 9: [("kind", None)], 10: [("other", "1")], 11: [("name_contains", "e_")], 12: [("name_contains", "")], 13: [("name_contains", "_1"), ("name_contains", "5")], 14: [("max_size", "0")],
+        15: [("min_size", "300"), ("max_size", "100")], 16: [("min_size", "x")], 17: [("name_contains", "_1_1_1")], 18: [("name_contains", "e_5"), ("max_size", "530")], 19: [("name_contains", "zzz"), ("min_size", "5")],
     }
 
     def holds(f, field, v):
@@ -365,13 +367,26 @@ def test_rules_against_brute_force(spark, monkeypatch, few):
             return False
         return {
             "kind": kind == v, "extension": ext is not None and ext.lower() == v.lstrip(".").lower(), "library_id": v.isdigit() and lib == int(v), "name_contains": name is not None and v.lower() in name.lower(),
-            "min_size": v.isdigit() and size >= int(v), "max_size": v.isdigit() and size <= int(v),
+            "min_size": v.isdigit() and size is not None and size >= int(v), "max_size": v.isdigit() and size is not None and size <= int(v),
         }.get(field, False)
 
     want = {(r, f[0]) for r, cs in rules.items() for f in files if all(holds(f, *c) for c in cs)}
     df = spark.createDataFrame(files, "id long, kind string, extension string, library_id long, name string, size long")
     got = catalog.matches(df, spark.createDataFrame(list(rules.items()), "rule_id long, conditions array<struct<field: string, value: string>>")).collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    # rows that repeat are files of their own
+    assert {tuple(r) for r in got} == want and len(got) == len(want) + sum(f == 62 for _, f in want)
+
+
+def test_rules_meet_files_by_their_rarest_condition(spark):
+    files = spark.range(200).selectExpr("id", "'image' AS kind", "'jpg' AS extension", "1L AS library_id", "concat('n', id) AS name", "id AS size")
+    conditions = "array<struct<field: string, value: string>>"
+    rule = spark.createDataFrame([(1, [("kind", "image"), ("name_contains", "n137")])], f"rule_id long, conditions {conditions}")
+    ways = {r.way: r["keys"] for r in catalog.rule_options(rule).collect()}
+    assert sorted(ways.values()) == sorted([["kind image"], ["name n13"], ["name 137"], [*(f"size {i}" for i in range(65)), "size none"]])
+    joined = catalog.matches(files, rule)
+    assert [tuple(r) for r in joined.collect()] == [(1, 137)] and "CartesianProduct" not in joined._jdf.queryExecution().executedPlan().toString()
+    for empty in (catalog.matches(files.limit(0), rule), catalog.matches(files, rule.limit(0))):
+        assert empty.count() == 0
 
 
 def plain_leaders(rows, threshold):
