@@ -25,11 +25,21 @@ def with_kind(files: DataFrame, spark) -> DataFrame:
     return joined.withColumn("kind_of", F.coalesce("kind_of", F.lit("other"))).drop("ext")
 
 
+#: Recycle and snapshot folders and companion files; beginnings of hidden companions and of import folders.
+IGNORED = ("#recycle", "@eaDir", "#snapshot", ".Trash", "$RECYCLE.BIN", ".DS_Store", "Thumbs.db")
+IGNORED_PREFIXES = ("._", ".import-")
+
+
 def not_ignored(path: Column) -> Column:
     """False if any part of the path is a recycle or snapshot folder, an import folder or a hidden companion file."""
-    parts = F.split(path, "/")
-    bad = lambda p: p.isin("#recycle", "@eaDir", "#snapshot", ".Trash", "$RECYCLE.BIN", ".DS_Store", "Thumbs.db") | p.startswith("._") | p.startswith(".import-")
-    return ~F.exists(parts, bad)
+
+    def bad(part: Column) -> Column:
+        out = part.isin(*IGNORED)
+        for prefix in IGNORED_PREFIXES:
+            out = out | part.startswith(prefix)
+        return out
+
+    return ~F.exists(F.split(path, "/"), bad)
 
 
 def snapshot_changes(scan: DataFrame, catalog: DataFrame) -> DataFrame:
