@@ -216,6 +216,18 @@ def _(t):
     return s.runtime_profile(x, ["read", "model", "write"])
 
 
+@query("f28_percentiles", f"SELECT batch // 20 AS hour, stage, count(*) AS n, round(quantile_cont(CAST(seconds AS DOUBLE) + bytes / 1000.0, 0.5), 6) AS p50, round(quantile_cont(CAST(seconds AS DOUBLE) + bytes / 1000.0, 0.95), 6) AS p95, round(quantile_cont(CAST(seconds AS DOUBLE) + bytes / 1000.0, 0.99), 6) AS p99 FROM ({TIMES}) x GROUP BY 1, 2")
+def _(t):
+    """Percentiles of stages over windows of twenty batches, from the sketches kept for each batch."""
+    k = F.col("l_linenumber") % 3
+    batch = (F.col("l_orderkey") % 200).alias("batch")
+    x = t.lineitem.select(batch, F.when(k == 0, "read").when(k == 1, "model").otherwise("write").alias("stage"), (F.col("l_quantity").cast("double") + F.col("l_suppkey") / 1000.0).alias("seconds"))
+    hour = F.floor(F.col("batch") / 20).alias("hour")
+    kept = quality.sketches(x, ["batch", "stage"], "seconds").select(hour, "stage", "sketch")
+    out = quality.percentiles(x.select(hour, "stage", "seconds"), ["hour", "stage"], "seconds", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, kept)
+    return out.select("hour", "stage", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
 RES = "SELECT user_id AS query_id, event_type || '-' || CAST(event_id % 7 AS STRING) AS name, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, value / 1000 AS confidence FROM events"
 CASES = "SELECT DISTINCT user_id AS query_id, ['click-' || CAST(user_id % 7 AS STRING), 'VIEW-1'] AS expected, ['error'] AS forbidden FROM events"
 EVAL = f"""
