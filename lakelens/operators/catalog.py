@@ -86,6 +86,47 @@ def signature(files: DataFrame) -> DataFrame:
     return files.groupBy("library_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("path", "size", "mtime_s")).alias("hash"))
 
 
+def folder_of(path: Column) -> Column:
+    """The path up to its last separator; empty for a file at the top."""
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def folder_signatures(files: DataFrame) -> DataFrame:
+    """Signature of every folder with all that is below it: library_id, folder, n, bytes, hash; the top is the empty folder.
+
+    Files add up to their folder first, and only folders go up to those above
+    them. Signatures of disjoint batches of files combine by sums and xor, so a kept table can be
+    brought forward. Paths are unique in a library; a null path takes no part.
+    """
+    own = files.filter("path IS NOT NULL").groupBy("library_id", folder_of(F.col("path")).alias("own")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("path", "size", "mtime_s")).alias("hash"))
+    parts = F.split("own", "/")
+    above = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    up = own.select("library_id", F.explode(above).alias("folder"), "n", "bytes", "hash")
+    return up.groupBy("library_id", "folder").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor("hash").alias("hash"))
+
+
+def changed_folders(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Folders of two signature tables that differ, with ``deepest``: no folder below it differs, so that its own files do."""
+    o, n = old.alias("o"), new.alias("n")
+    same = F.col("o.n").eqNullSafe(F.col("n.n")) & F.col("o.bytes").eqNullSafe(F.col("n.bytes")) & F.col("o.hash").eqNullSafe(F.col("n.hash"))
+    on = F.col("o.library_id").eqNullSafe(F.col("n.library_id")) & (F.col("o.folder") == F.col("n.folder"))
+    differ = o.join(n, on, "full_outer").filter(~same).select(F.coalesce("o.library_id", "n.library_id").alias("library_id"), F.coalesce("o.folder", "n.folder").alias("folder"))
+    above = differ.filter("folder <> ''").select(F.col("library_id").alias("l"), folder_of(F.col("folder")).alias("f")).distinct()
+    held = differ.join(above, F.col("library_id").eqNullSafe(F.col("l")) & (F.col("folder") == F.col("f")), "left")
+    return held.select("library_id", "folder", F.col("f").isNull().alias("deepest"))
+
+
+def changes_below(scan: DataFrame, catalog: DataFrame, folders: DataFrame) -> DataFrame:
+    """The changes of a scan, looked for in the files of folders that differ only: a row a file that is not ``unchanged``.
+
+    ``folders``: from ``changed_folders`` of the kept and the scan's signatures. Files of other folders are left out by a semi join
+    before the full comparison, so that what is shuffled follows the changes; every changed file's folder differs.
+    """
+    some = small(folders.select(F.col("library_id").alias("l"), F.col("folder").alias("f")), 1_000_000)
+    near = lambda files: files.join(some, F.col("library_id").eqNullSafe(F.col("l")) & (folder_of(F.col("path")) == F.col("f")), "left_semi")
+    return snapshot_changes(near(scan), near(catalog)).filter("change <> 'unchanged'")
+
+
 def fingerprint(rows: DataFrame) -> DataFrame:
     """Order-free fingerprint of a table's whole content in one row."""
     h = F.xxhash64(*rows.columns)

@@ -67,6 +67,20 @@ def _(t):
     return new.join(old, "library_id").select("library_id", "n", "bytes", ((F.col("n") != F.col("n0")) | (F.col("bytes") != F.col("b0")) | (F.col("hash") != F.col("h0"))).alias("changed"))
 
 
+LEVELS = "SELECT '' AS folder, * FROM c UNION ALL SELECT split_part(path, '/', 1), * FROM c UNION ALL SELECT concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)), * FROM c"
+
+
+@query("a8_changed_folders", f"WITH c AS ({CHANGES}) SELECT DISTINCT library_id, folder, length(folder) - length(replace(folder, '/', '')) = 1 AS deepest FROM ({LEVELS}) x WHERE change <> 'unchanged'")
+def _(t):
+    return c.changed_folders(c.folder_signatures(t.catalog_v), c.folder_signatures(t.files_v))
+
+
+@query("a8_changes_below", f"SELECT * FROM ({CHANGES}) x WHERE change <> 'unchanged'")
+def _(t):
+    folders = c.changed_folders(c.folder_signatures(t.catalog_v), c.folder_signatures(t.files_v))
+    return c.changes_below(t.files_v, t.catalog_v, folders)
+
+
 @query("a9_fingerprint", "SELECT count(*) AS n, TRUE AS same, (SELECT count(*) FROM embeddings) > 0 AS differs_from_part FROM embeddings")
 def _(t):
     whole = c.fingerprint(t.embeddings)

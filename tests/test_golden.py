@@ -349,6 +349,28 @@ def test_nearest_rows_against_brute_force(spark, block):
     assert got == {(i, *max(((k, float(x @ vectors[k])) for k in range(9)), key=lambda s: (s[1], -s[0]))) for i, x in enumerate(vectors)}
 
 
+def test_folder_signatures_meet_only_what_changed(spark):
+    old = {f"a/{i % 5}/{'deep/' * (i % 3)}f{i}": (i, 7) for i in range(40)} | {"top": (1, 1), "/abs/x": (2, 2), "a/f": (3, 3), "b/kept": (None, 4)}
+    new = dict(old) | {"a/3/new": (5, 5), "top": (1, 2)}
+    del new["a/1/deep/f1"]
+    table = lambda d: spark.createDataFrame([(n, 1, p, s, m) for n, (p, (s, m)) in enumerate(d.items())] + [(99, 2, "z/same", 1, 1)], "id long, library_id long, path string, size long, mtime_s long")
+    a, b = catalog.folder_signatures(table(old)), catalog.folder_signatures(table(new))
+    n = {r.folder: r.n for r in b.filter("library_id = 1").collect()}
+    folders = {"/".join(p.split("/")[:i]) for p in new for i in range(p.count("/") + 1)}
+    assert n == {f: sum(f == "" or p.startswith(f + "/") for p in new) for f in folders}
+    changed = {(r.library_id, r.folder): r.deepest for r in catalog.changed_folders(a, b).collect()}
+    assert changed == {(1, ""): False, (1, "a"): False, (1, "a/3"): True, (1, "a/1"): False, (1, "a/1/deep"): True}
+    got = catalog.changes_below(table(new), table(old), catalog.changed_folders(a, b)).collect()
+    assert sorted((r.path, r.change) for r in got) == [("a/1/deep/f1", "delete"), ("a/3/new", "insert"), ("top", "update")]
+    none = table(old).limit(0)
+    assert catalog.folder_signatures(none).count() == 0 and catalog.changed_folders(a, a).count() == 0
+    # a kept table and the signatures of a batch of further files combine
+    more = catalog.folder_signatures(spark.createDataFrame([(1, 1, "a/9/x", 3, 3)], "id long, library_id long, path string, size long, mtime_s long"))
+    F = catalog.F
+    joined = a.unionByName(more).groupBy("library_id", "folder").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor("hash").alias("hash"))
+    assert catalog.changed_folders(joined, catalog.folder_signatures(table(old | {"a/9/x": (3, 3)}))).count() == 0
+
+
 @pytest.mark.parametrize("few", [1000, 2])
 def test_rules_against_brute_force(spark, monkeypatch, few):
     monkeypatch.setattr(catalog, "FEW_RULES", few)
