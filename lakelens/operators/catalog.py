@@ -217,6 +217,8 @@ def visible(files: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
 
 #: Most rules that are sent to every task; more are joined by key, with the files of a key dealt over so many parts.
 FEW_RULES, PARTS = 1000, 32
+#: Most keys of rules that are sent to every task with the files' counts of them.
+FEW_KEYS = 500_000
 #: Longest run of characters of a name that is a key.
 GRAM = 3
 
@@ -288,8 +290,10 @@ def matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     keyed = files.select("id", "kind", "extension", "library_id", "name", "size", F.explode(file_keys(lengths)).alias("key"))
     options = rule_options(r)
     sought = options.select(F.explode("keys").alias("key")).distinct()
-    sought = small(sought, 500_000)
-    counts = keyed.join(sought, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    # many rules share a key: where the keys fit in every task, so do their counts
+    fits = F.broadcast if sought.limit(FEW_KEYS + 1).count() <= FEW_KEYS else lambda df: df
+    sought = fits(sought)
+    counts = fits(keyed.join(sought, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")))
     costs = options.select("rule_id", "way", F.explode_outer("keys").alias("key")).join(counts, "key", "left").groupBy("rule_id", "way").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cost"))
     best = costs.groupBy("rule_id").agg(F.min(F.struct("cost", "way")).alias("best")).select("rule_id", F.col("best.way").alias("way"))
     right = options.join(best, ["rule_id", "way"]).select("rule_id", "conditions", F.explode("keys").alias("key"))

@@ -374,6 +374,7 @@ def test_folder_signatures_meet_only_what_changed(spark):
 @pytest.mark.parametrize("few", [1000, 2])
 def test_rules_against_brute_force(spark, monkeypatch, few):
     monkeypatch.setattr(catalog, "FEW_RULES", few)
+    monkeypatch.setattr(catalog, "FEW_KEYS", few)
     kinds, exts = ("image", "video", None), ("jpg", "MP4", None)
     files = [(i, kinds[i % 3], exts[i % 2 if i % 7 else 2], i % 5, None if i == 11 else f"File_{i}.x" if i % 9 else "", i * 10) for i in range(60)]
     files += [(60, None, None, None, None, None), (61, "image", "jpg", 3, "File_1_1_1", None), (62, "video", "mp4", 2, "e_", -5), (62, "video", "mp4", 2, "e_", -5)]
