@@ -72,14 +72,14 @@ def _length_parts(times: DataFrame, longest_s: int) -> DataFrame:
     return marked.select("_k", "t", (F.sum(F.coalesce("begins", F.lit(0))).over(run) - 1).alias("part"))
 
 
-def event_sessions(media: DataFrame, by: str = "library_id", gap_s: int = 12 * HOUR, longest_s: int = 7 * DAY, near_gap_s: int = 2 * HOUR, far_m: float = 80_000.0) -> DataFrame:
+def event_sessions(media: DataFrame, by: str = "library_id", gap_s: int = 12 * HOUR, longest_s: int | None = 7 * DAY, near_gap_s: int = 2 * HOUR, far_m: float = 80_000.0) -> DataFrame:
     """Media with their session: ``run`` by gap and distance cuts, ``part`` by the length cut.
 
     A session ends after a gap of 12 hours, or of 2 hours with a move of 80 km.
     Rows are sorted inside a library's day; days are then put in a row by a
     table of one row a day, so that a hot library spreads over its days. A run
     whose whole span is within 7 days is one session; longer runs are cut by steps
-    between their distinct times, which double in length.
+    between their distinct times, which double in length. Without ``longest_s`` no run is cut by its length.
     """
     place = F.struct("t", "latitude", "longitude", valid_point(F.col("latitude"), F.col("longitude")).alias("ok"))
     m = media.withColumn("_day", F.floor(F.col("t") / DAY)).withColumn("_at", place)
@@ -97,6 +97,8 @@ def event_sessions(media: DataFrame, by: str = "library_id", gap_s: int = 12 * H
     days = days.withColumn("start", cut(F.lag("last").over(row), F.col("first")))
     days = days.select(F.col(by).alias("_by"), F.col("_day").alias("_d"), (F.sum(F.col("start") + F.col("cuts")).over(row) - F.col("cuts")).alias("_before"))
     m = m.join(days, F.col(by).eqNullSafe(F.col("_by")) & F.col("_day").eqNullSafe(F.col("_d"))).select(*media.columns, (F.col("_before") + F.col("_inner")).alias("run"))
+    if longest_s is None:
+        return m.withColumn("part", F.lit(0).cast("long"))
     spans = m.groupBy(F.col(by).alias("_by"), F.col("run").alias("_run")).agg((F.max("t") - F.min("t")).alias("span"))
     long = spans.filter(F.col("span") > longest_s).select("_by", "_run")
     on = F.col(by).eqNullSafe(F.col("_by")) & (F.col("run") == F.col("_run"))
@@ -108,9 +110,13 @@ def event_sessions(media: DataFrame, by: str = "library_id", gap_s: int = 12 * H
 
 
 def session_summary(sessions: DataFrame, by: str = "library_id", least: int = 3, grid: float = 0.05) -> DataFrame:
-    """Start, end, mean of the valid points, cell of that mean, cover and members of sessions of at least ``least``."""
+    """Start, end, mean of the valid points, cell of that mean, cover and members of sessions of at least ``least``.
+
+    A session's rows are added up in order of time and id, so its means do not depend on how rows were dealt.
+    """
     ok = valid_point(F.col("latitude"), F.col("longitude"))
-    s = sessions.groupBy(by, "run", "part").agg(
+    s = sessions.select(by, "run", "part", "id", "t", "latitude", "longitude", "width", "height").repartition(by, "run").sortWithinPartitions(by, "run", "t", "id")
+    s = s.groupBy(by, "run", "part").agg(
         F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("members"), F.avg(F.when(ok, F.col("latitude"))).alias("lat"), F.avg(F.when(ok, F.col("longitude"))).alias("lon"),
         F.max_by("id", F.struct((F.col("width") * F.col("height")).alias("p"), (-F.col("id")).alias("i"))).alias("cover"), F.min("id").alias("first_id"),
     )
