@@ -387,10 +387,11 @@ def slug(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
-def normal_tags(tags: Column) -> Column:
-    """Trimmed tags of at most 50 characters, without blanks or repeats, at most 20."""
-    cut = F.transform(tags, lambda t: F.substring(F.trim(t), 1, 50))
-    return F.slice(F.array_distinct(F.filter(cut, lambda t: t != "")), 1, 20)
+def normal_tags(tags: Column, longest: int | None = 50, most: int | None = 20) -> Column:
+    """Trimmed tags of at most ``longest`` characters, without blanks or repeats, at most ``most``; None: no such limit."""
+    cut = F.transform(tags, lambda t: F.trim(t) if longest is None else F.substring(F.trim(t), 1, longest))
+    out = F.array_distinct(F.filter(cut, lambda t: t != ""))
+    return out if most is None else F.slice(out, 1, most)
 
 
 def public_view(rows: DataFrame, json_col: str) -> DataFrame:
