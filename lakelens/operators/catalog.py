@@ -215,8 +215,8 @@ def visible(files: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
     return f.select(F.explode(see).alias("user_id"), "id")
 
 
-#: Most rules that are sent to every task; more are joined by key, with the files of a key dealt over so many parts.
-FEW_RULES, PARTS = 1000, 32
+#: Most rules that are sent to every task; more are joined by key, with the files of a key dealt over parts of about so many.
+FEW_RULES, PART_FILES = 1000, 20_000
 #: Most keys of rules that are sent to every task with the files' counts of them.
 FEW_KEYS = 500_000
 #: Longest run of characters of a name that is a key.
@@ -290,18 +290,22 @@ def matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     keyed = files.select("id", "kind", "extension", "library_id", "name", "size", F.explode(file_keys(lengths)).alias("key"))
     options = rule_options(r)
     sought = options.select(F.explode("keys").alias("key")).distinct()
-    # many rules share a key: where the keys fit in every task, so do their counts
-    fits = F.broadcast if sought.limit(FEW_KEYS + 1).count() <= FEW_KEYS else lambda df: df
+    # many rules share a key: where the keys fit in every task, so do their counts; tables of a row a rule are never
+    # broadcast, though Spark takes them for as small as the file they come from
+    fits = F.broadcast if sought.limit(FEW_KEYS + 1).count() <= FEW_KEYS else lambda df: df.hint("merge")
     sought = fits(sought)
     counts = fits(keyed.join(sought, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")))
     costs = options.select("rule_id", "way", F.explode_outer("keys").alias("key")).join(counts, "key", "left").groupBy("rule_id", "way").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cost"))
     best = costs.groupBy("rule_id").agg(F.min(F.struct("cost", "way")).alias("best")).select("rule_id", F.col("best.way").alias("way"))
-    right = options.join(best, ["rule_id", "way"]).select("rule_id", "conditions", F.explode("keys").alias("key"))
+    right = options.join(best.hint("merge"), ["rule_id", "way"]).select("rule_id", "conditions", F.explode("keys").alias("key"))
     if few:
         joined = keyed.join(F.broadcast(right), "key")
     else:
-        left = keyed.join(sought, "key", "left_semi").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
-        joined = left.join(right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))), ["key", "part"])
+        # a rule is repeated for each part of its key's files only
+        parts = fits(counts.select("key", (F.floor(F.col("n") / PART_FILES) + 1).alias("parts")))
+        left = keyed.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+        right = right.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        joined = left.join(right.hint("merge"), ["key", "part"])
 
     def holds(c):
         f, v = c["field"], c["value"]
