@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import importable, slices
 
-#: Entries kept in each of a worker's two caches, and the longest text of an entry.
-CACHE_PIECES, CACHE_CHARS = 600_000, 40
+#: Entries kept in each of a task's two caches, the longest text of an entry, and the pairs of tokens it keeps.
+CACHE_PIECES, CACHE_CHARS, CACHE_PAIRS = 400_000, 40, 250_000
 _STOPS = frozenset(",.;:!?")
 _two_blanks = regex.compile(r"\s\s").search
 
@@ -114,7 +114,7 @@ class Codec:
                 bound, strict, left = left, True, a[1]
             else:
                 bound, strict, right = right, False, b[0]
-        if len(self.beside) > 2_000_000:
+        if len(self.beside) >= CACHE_PAIRS:
             self.beside.clear()
         self.beside[key] = ok
         return ok
@@ -130,9 +130,9 @@ class Codec:
     def _after_blank(self, word: str) -> bytes:
         """Ids of a blank and the text up to the next blank."""
         if word.isalpha():
-            return self.pieces[" " + word]
+            return self.pieces.encode(" " + word)  # kept once, as a word
         if word[-1:] in _STOPS and word[:-1].isalpha():
-            return self.pieces[" " + word[:-1]] + self.pieces[word[-1]]
+            return self.words[word[:-1]] + self.pieces[word[-1]]
         return b"".join(map(self.pieces.__getitem__, self.split(" " + word)))
 
     def encode_piece(self, data: bytes) -> list[int]:
@@ -170,6 +170,11 @@ class Codec:
         first, *rest = text.split(" ")
         return b"".join(map(self.pieces.__getitem__, self.split(first))) + b"".join(map(self.words.__getitem__, rest))
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that waits or serves another stage holds only the vocabulary."""
+        for known in (self.pieces, self.words, self.beside):  # what is left of one holds the others' memory pages
+            known.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -203,9 +208,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in slices(batches):
-            ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())], names=["id", "ids", "decoded"])
+        try:
+            for b in slices(batches):
+                ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())], names=["id", "ids", "decoded"])
+        finally:
+            c.forget()
 
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id_col)

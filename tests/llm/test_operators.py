@@ -531,6 +531,25 @@ def test_bpe_round_trip(spark, sf):
     assert bpe.encode_decode(d, path, pattern).count() == d.count() and bpe.encode_decode(d.limit(0), path, pattern).count() == 0
 
 
+def test_bpe_workers_hold_no_texts_after_a_task(spark, sf):
+    path, pattern = queries.tokenizer()
+    c = bpe.Codec(path, pattern)
+    once = c.encode("one unheardofword and unheardofword, again")
+    assert "unheardofword" in c.words and " unheardofword" not in c.pieces
+    assert once == b"".join(bpe.struct_pack(c.encode_piece(x.encode())) for x in c.split("one unheardofword and unheardofword, again"))
+    assert bpe.encode_decode(table(spark, sf, "documents"), path, pattern).filter("length(ids) > 0").count() > 0
+
+    def held(batches):
+        from lakelens.llm import bpe
+
+        for b in batches:
+            n = [sum(map(len, (c.pieces, c.words, c.beside))) for c in bpe._codecs.values()]
+            yield b.from_arrays([[sum(n)]], names=["n"])
+
+    # the workers of the job before serve this one
+    assert {r.n for r in spark.range(0, 8, 1, 4).mapInArrow(held, "n long").collect()} == {0}
+
+
 # -- op9
 
 
