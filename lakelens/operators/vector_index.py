@@ -47,7 +47,7 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """Cells, and the code book of each run of dimensions."""
+    """Cells, and the code book of each run of dimensions, in single precision: they choose candidates, scores come from the vectors."""
 
     cells: np.ndarray
     books: list[np.ndarray]
@@ -55,6 +55,7 @@ class Quantiser:
 
     @classmethod
     def learn(cls, x: np.ndarray, n_cells: int, n_runs: int) -> Quantiser:
+        x = np.asarray(x, np.float32)
         cells = kmeans(x, n_cells)
         rest = x - cells[nearest(x, cells)]
         ends = np.linspace(0, x.shape[1], min(n_runs, x.shape[1]) + 1).astype(int)
@@ -62,6 +63,7 @@ class Quantiser:
         return cls(cells, [kmeans(rest[:, r], CODES) for r in runs], runs)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.asarray(x, np.float32)
         at = nearest(x, self.cells)
         rest = x - self.cells[at]
         return at, np.stack([nearest(rest[:, r], b) for r, b in zip(self.runs, self.books)], axis=1).astype(np.uint8)
