@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where, one_of, present, valid_point
-from ..functions.session import small
+from ..functions.session import small, written
 
 #: Extensions of each kind of file.
 KINDS = {
@@ -219,6 +219,8 @@ def visible(files: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
 FEW_RULES, PART_FILES = 1000, 20_000
 #: Most keys of rules that are sent to every task with the files' counts of them.
 FEW_KEYS = 500_000
+#: About the most rules of the same conditions that are looked up as one.
+SET_RULES = 1000
 #: Longest run of characters of a name that is a key.
 GRAM = 3
 
@@ -257,7 +259,7 @@ def file_keys(lengths: list[int]) -> Column:
 
 
 def rule_options(rules: DataFrame) -> DataFrame:
-    """(rule_id, conditions, keys): ways to find the files of a rule, each by keys of which a matching file has exactly one.
+    """The rules' columns with (way, keys): ways to find the files of a rule, each by keys of which a matching file has exactly one.
 
     An equality is one way, each run of a sought part of a name is one, and so is
     the range of sizes with its classes. A rule without conditions has the range
@@ -273,18 +275,27 @@ def rule_options(rules: DataFrame) -> DataFrame:
     sizes = F.when(least.isNull() & most.isNull(), F.array_append(sizes, F.lit("size none"))).otherwise(sizes)
     equal = F.array(key("library ", _value("library_id").try_cast("long")), key("extension ", _bare(_value("extension"))), key("kind ", _value("kind")), sizes)
     ways = F.concat(equal, F.coalesce(F.transform(runs, lambda k: F.array(k)), F.array().cast("array<array<string>>")))
-    return rules.select("rule_id", "conditions", F.posexplode(F.filter(ways, lambda w: w.isNotNull())).alias("way", "keys"))
+    return rules.select(*rules.columns, F.posexplode(F.filter(ways, lambda w: w.isNotNull())).alias("way", "keys"))
+
+
+def rule_sets(rules: DataFrame) -> DataFrame:
+    """(rule_id, conditions, rules): rules of equal conditions in one row, under the least of their ids; more than about ``SET_RULES`` in several rows."""
+    r = rules.select("rule_id", "conditions", F.sha2(F.to_json("conditions"), 256).alias("same"))
+    large = r.groupBy("same").agg(F.count("*").alias("n")).filter(F.col("n") > SET_RULES)
+    # at most one row a SET_RULES rules goes to every task
+    r = r.join(F.broadcast(large), "same", "left").withColumn("deal", F.pmod(F.xxhash64("rule_id"), F.coalesce(F.ceil(F.col("n") / SET_RULES), F.lit(1))))
+    return r.groupBy("same", "deal").agg(F.min("rule_id").alias("rule_id"), F.first("conditions").alias("conditions"), F.collect_list("rule_id").alias("rules")).drop("same", "deal")
 
 
 def matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, file id) where all of a rule's conditions hold; no conditions match every file.
 
     ``rule_id`` is unique. Conditions are structs of field and value: kind, extension, library_id, name_contains, min_size, max_size.
-    Each rule is looked up by the one of its conditions that the fewest files
+    Rules of equal conditions are looked up as one. Each rule is looked up by the one of its conditions that the fewest files
     meet, by a count over the files' keys; parts of names count by their runs of
     three characters, sizes by their binary digits. What a file meets there is checked in full.
     """
-    r = rules.select("rule_id", "conditions")
+    r = written(rule_sets(rules), "rule-sets")
     seen = r.agg(F.count("*").alias("n"), F.collect_set(F.least(F.length(F.lower(_value("name_contains"))), F.lit(GRAM))).alias("lengths")).first()  # at most GRAM lengths
     few, lengths = seen["n"] <= FEW_RULES, sorted(n for n in seen["lengths"] if n > 0)
     keyed = files.select("id", "kind", "extension", "library_id", "name", "size", F.explode(file_keys(lengths)).alias("key"))
@@ -297,7 +308,7 @@ def matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     counts = fits(keyed.join(sought, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")))
     costs = options.select("rule_id", "way", F.explode_outer("keys").alias("key")).join(counts, "key", "left").groupBy("rule_id", "way").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cost"))
     best = costs.groupBy("rule_id").agg(F.min(F.struct("cost", "way")).alias("best")).select("rule_id", F.col("best.way").alias("way"))
-    right = options.join(best.hint("merge"), ["rule_id", "way"]).select("rule_id", "conditions", F.explode("keys").alias("key"))
+    right = options.join(best.hint("merge"), ["rule_id", "way"]).select("rules", "conditions", F.explode("keys").alias("key"))
     if few:
         joined = keyed.join(F.broadcast(right), "key")
     else:
@@ -315,7 +326,7 @@ def matches(files: DataFrame, rules: DataFrame) -> DataFrame:
             .when(f == "min_size", F.col("size") >= v.try_cast("long")).when(f == "max_size", F.col("size") <= v.try_cast("long")).otherwise(F.lit(False))
         )
 
-    return joined.filter(F.forall("conditions", lambda c: F.coalesce(holds(c), F.lit(False)))).select("rule_id", F.col("id").alias("file_id"))
+    return joined.filter(F.forall("conditions", lambda c: F.coalesce(holds(c), F.lit(False)))).select(F.explode("rules").alias("rule_id"), F.col("id").alias("file_id"))
 
 
 def rule_faults(rules: DataFrame) -> DataFrame:
